@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, packing, url_filter, warc
-from .common import read_table
+from . import embedding_dedup, exact_dedup, langid, mixing, packing, simhash, url_filter, warc
+from .common import held_out, read_table
 
 RULES = (
     url_filter.Rule("allow", "com/"),
@@ -24,6 +24,19 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.embedding_components(read_table(spark, sf_dir, "embeddings"), cosine=0.98)
+
+
+def language_profiles(docs: DataFrame) -> langid.Profiles:
+    return langid.learn_profiles(docs.filter(~held_out("doc_id", 4, 2)))
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return langid.predict_languages(docs.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "text"), language_profiles(docs))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.content_sort_dedup(read_table(spark, sf_dir, "documents"))
 
@@ -45,17 +58,34 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), tokenizer_path(), END_ID, WIDTH)
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_components(read_table(spark, sf_dir, "documents"), shingle=3, radius=2)
+
+
 QUERIES = {
+    "op1_embedding_dedup": op1_embedding_dedup,
+    "op2_language_id": op2_language_id,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_url_filter": op5_url_filter,
     "op7_mixing": op7_mixing,
     "op8_warc": op8_warc,
     "op9_packing": op9_packing,
+    "op10_simhash": op10_simhash,
 }
 
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE_SQL = {
+    "op1_embedding_dedup": """
+        WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+        g AS (SELECT * FROM v WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+        l AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM g a JOIN g b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+        r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+        c AS (SELECT a, min(b) AS least FROM r GROUP BY a),
+        n AS (SELECT a, count(*) AS n_links FROM l GROUP BY a)
+        SELECT vec_id, coalesce(n_links, 0) AS n_links, least(vec_id, coalesce(c.least, vec_id)) AS component_id, vec_id = least(vec_id, coalesce(c.least, vec_id)) AS kept
+        FROM v LEFT JOIN n ON n.a = vec_id LEFT JOIN c ON c.a = vec_id
+    """,
     "op4_exact_dedup": f"""
         WITH d AS (SELECT doc_id, {_LOW} AS t FROM documents),
              g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
