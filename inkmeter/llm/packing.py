@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import bisect
 import json
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -25,23 +24,18 @@ from .common import stable, whole
 
 #: Blocks into which the pieces of one length are dealt for ranking.
 BLOCKS = 128
-#: Cached words; the cache is emptied when full.
-CACHE = 300_000
 
 
-# The splitting pattern of the byte-level pre-tokenizer, and white space that Python's \s knows as well.
+# Fixed value: the splitting pattern of the byte-level pre-tokenizer.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_UNEVEN = re.compile(r"\s\s|^\s|\s$")
 _loaded: dict = {}
 
 
-class WordIds:
-    """Token ids of whole texts as little-endian 32-bit bytes, through a cache of words.
+class TextIds:
+    """Token ids of whole texts as little-endian 32-bit bytes.
 
-    The byte-level pre-tokenizer always starts a new piece at a single space between other characters, so a
-    text is cut there and each part, with its space, has the same ids alone as in the text. Parts that aren't
-    cached go to a merge loop over the same vocabulary where its ids are its merge ranks, else (and wherever
-    an added token occurs) to the tokenizer itself.
+    Where the vocabulary is a byte-level one whose ids are its merge ranks, a faster merge loop over the same
+    vocabulary gives the same ids; else, and in texts where an added token occurs, the tokenizer itself does.
     """
 
     def __init__(self, tokenizer_path: str):
@@ -50,16 +44,15 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         spec = json.loads(self.tokenizer.to_str())
         self.added = [t["content"] for t in spec["added_tokens"]]
-        self.by_words = (spec["pre_tokenizer"] or {}).get("type") == "ByteLevel" and not spec["pre_tokenizer"]["add_prefix_space"] and spec["normalizer"] is None
-        self.by_words &= not any(re.search(r"\s", t) for t in self.added)
-        self.core = self._core(spec) if self.by_words else None
-        self.cache: dict[str, bytes] = {}
+        self.core = self._core(spec)
 
     def _core(self, spec: dict):
         import tiktoken
 
-        model, added = spec["model"], set(self.added)
-        if model["type"] != "BPE" or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix") or model.get("byte_fallback") or model.get("dropout"):
+        model, before, added = spec["model"], spec["pre_tokenizer"] or {}, set(self.added)
+        if before.get("type") != "ByteLevel" or before["add_prefix_space"] or not before.get("use_regex", True) or spec["normalizer"] is not None or spec["truncation"] is not None:
+            return None
+        if model["type"] != "BPE" or any(model.get(k) for k in ("continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "dropout", "ignore_merges")):
             return None
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         byte_of = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(x for x in range(256) if x not in shown)}
@@ -67,46 +60,19 @@ class WordIds:
         made = [model["vocab"]["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
         if made != sorted(made) or len(vocab) != len(made) + 256:
             return None
-        return tiktoken.Encoding("words", pat_str=SPLIT, mergeable_ranks=vocab, special_tokens={})
+        return tiktoken.Encoding("text-ids", pat_str=SPLIT, mergeable_ranks=vocab, special_tokens={})
 
     @classmethod
-    def load(cls, path: str) -> WordIds:
-        """One for each worker process, with its cache."""
+    def load(cls, path: str) -> TextIds:
+        """One for each worker process."""
         if path not in _loaded:
             _loaded[path] = cls(path)
         return _loaded[path]
 
-    def _ids(self, part: str) -> bytes:
-        if self.core is None or any(t in part for t in self.added):
-            return np.asarray(self.tokenizer.encode(part, add_special_tokens=False).ids, "<u4").tobytes()
-        return np.asarray(self.core.encode_ordinary(part), "<u4").tobytes()
-
     def encode(self, text: str) -> bytes:
-        if not self.by_words:
-            return self._ids(text)
-        first, *parts = self._parts(text) if _UNEVEN.search(text) else text.split(" ")
-        cache = self.cache
-        missing = [p for p in set(parts) if p not in cache]
-        if missing:
-            if len(cache) > CACHE:
-                cache.clear()
-                missing = list(set(parts))
-            for p in missing:
-                cache[p] = self._ids(" " + p)
-        return self._ids(first) + b"".join([cache[p] for p in parts])
-
-    @staticmethod
-    def _parts(text: str) -> list[str]:
-        """Cuts only at a space between two characters that are no white space."""
-        out: list[str] = []
-        for k, w in enumerate(text.split(" ")):
-            if k and w and out[-1] and not w[0].isspace() and not out[-1][-1].isspace():
-                out.append(w)
-            elif k:
-                out[-1] += " " + w
-            else:
-                out.append(w)
-        return out
+        if self.core is None or any(t in text for t in self.added):
+            return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return np.asarray(self.core.encode_ordinary(text), "<u4").tobytes()
 
 
 def cut(docs: DataFrame, tokenizer_path: str, end_id: int, width: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -114,7 +80,7 @@ def cut(docs: DataFrame, tokenizer_path: str, end_id: int, width: int, id_col: s
     src = docs.select(F.col(id_col).cast("long").alias("id"), whole(text_col).alias("text"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, end = WordIds.load(tokenizer_path), np.array([end_id], "<u4").tobytes()
+        words, end = TextIds.load(tokenizer_path), np.array([end_id], "<u4").tobytes()
         for b in batches:
             rows: tuple[list, ...] = ([], [], [], [], [], [])
             held = 0
