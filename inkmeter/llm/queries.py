@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, exact_dedup, langid, mixing, packing, simhash, url_filter, warc
+from . import embedding_dedup, exact_dedup, langid, mixing, packing, quality, simhash, url_filter, warc
 from .common import held_out, read_table
 
 RULES = (
@@ -45,6 +45,17 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(read_table(spark, sf_dir, "pages"), RULES).drop("glob")
 
 
+def quality_model(docs: DataFrame, labels: DataFrame) -> quality.Model:
+    seen = ~held_out("doc_id", 5, 0)
+    return quality.learn_quality(docs.filter(seen), labels.filter(seen & (F.col("quality") == 1)))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    model = quality_model(docs, read_table(spark, sf_dir, "labels"))
+    return quality.score_quality(docs.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "text"), model, threshold=0.3)
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(read_table(spark, sf_dir, "documents")).drop("copies")
 
@@ -67,6 +78,7 @@ QUERIES = {
     "op2_language_id": op2_language_id,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_url_filter": op5_url_filter,
+    "op6_quality": op6_quality,
     "op7_mixing": op7_mixing,
     "op8_warc": op8_warc,
     "op9_packing": op9_packing,
