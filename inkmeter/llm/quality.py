@@ -17,7 +17,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -28,9 +28,11 @@ from pyspark.sql import types as T
 from .common import whole
 
 #: Hashed word features, and shape features after them.
-WORDS, SHAPE = 1 << 14, 12
+WORDS, SHAPE = 1 << 10, 12
 #: Rows of each kind from which the model is fitted, at most.
 SAMPLE = 6_000
+#: Deviations from the mean at which a shape feature is cut off.
+REACH = 6.0
 _MARK = re.compile(rb"[^\w\s\x80-\xff]")
 _DOUBLED = re.compile(rb"[^\w\s\x80-\xff]{2}")
 
@@ -77,11 +79,20 @@ class Model:
     weights: np.ndarray
     bias: float
     prior: float
+    mean: np.ndarray | None = None
+    spread: np.ndarray | None = None
 
     def score(self, idx: np.ndarray, values: np.ndarray) -> float:
+        if self.mean is not None:
+            values = _scaled(values, self.mean, self.spread)
         return 1 / (1 + math.exp(-min(30.0, max(-30.0, float(self.weights[idx] @ values) + self.bias))))
 
 
+def _scaled(values: np.ndarray, mean: np.ndarray, spread: np.ndarray) -> np.ndarray:
+    """The row with its shape features, the last ones, in deviations from the mean, within bounds."""
+    return np.concatenate([values[:-SHAPE], np.clip((values[-SHAPE:] - mean) / spread, -REACH, REACH)])
+
+
 class _Rows:
     """Sparse rows of features, one after the other."""
 
@@ -108,7 +119,7 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(pos: _Rows, unl: _Rows, prior: float, epochs: int = 12, rate: float = 0.05, decay: float = 1e-6, seed: int = 11, p_rows: np.ndarray | None = None, u_rows: np.ndarray | None = None) -> Model:
+def fit(pos: _Rows, unl: _Rows, prior: float, epochs: int = 20, rate: float = 0.5, decay: float = 1e-3, seed: int = 11, p_rows: np.ndarray | None = None, u_rows: np.ndarray | None = None) -> Model:
     """Adagrad on the non-negative risk with the logistic loss, over mixed batches."""
     rng = np.random.default_rng(seed)
     p_rows = np.arange(len(pos)) if p_rows is None else p_rows
@@ -152,7 +163,7 @@ def estimate_prior(pos: _Rows, unl: _Rows, seed: int = 5) -> float:
     sp, su = np.zeros(len(pos)), np.zeros(len(unl))
     for side in (True, False):
         p, u = np.flatnonzero(half_p == side), np.flatnonzero(half_u == side)
-        m = fit(pos, unl, 0.5, epochs=6, p_rows=p, u_rows=u)
+        m = fit(pos, unl, 0.5, epochs=10, p_rows=p, u_rows=u)
         q, r = np.flatnonzero(half_p != side), np.flatnonzero(half_u != side)
         sp[q], su[r] = pos.margin(m.weights, m.bias, q), unl.margin(m.weights, m.bias, r)
     best = 1.0
@@ -163,20 +174,29 @@ def estimate_prior(pos: _Rows, unl: _Rows, seed: int = 5) -> float:
     return float(min(0.98, max(0.02, best)))
 
 
+def fit_scaled(pos_rows: list, unl_rows: list, prior: float | None = None, **how) -> Model:
+    """Fit on rows of features, shape features scaled as they spread among the unlabelled ones."""
+    shapes = np.array([v[-SHAPE:] for _, v in unl_rows])
+    mean, spread = shapes.mean(0), shapes.std(0) + 1e-3
+    pos, unl = (_Rows([(i, _scaled(v, mean, spread)) for i, v in rows]) for rows in (pos_rows, unl_rows))
+    m = fit(pos, unl, estimate_prior(pos, unl) if prior is None else min(0.98, max(0.02, prior)), **how)
+    return replace(m, mean=mean, spread=spread)
+
+
 def _sampled(ids: DataFrame, id_col: str, sample: int) -> DataFrame:
     """About ``sample`` of the rows, chosen by a hash of the id; all where there are fewer."""
     n = ids.select(id_col).count()
     return ids if n <= sample else ids.filter(F.pmod(F.xxhash64(F.col(id_col)), F.lit(10**9)) < int(1e9 * sample / n))
 
 
-def learn_quality(docs: DataFrame, positive_ids: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Model:
+def learn_quality(docs: DataFrame, positive_ids: DataFrame, prior: float | None = None, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Fit on about ``sample`` trusted positives and as many rows of ``docs``, taken as unlabelled web text.
 
-    positive_ids: ids of ``docs`` that are known to be good; nulls among them are ignored. The sampled rows'
+    prior: the share of good rows among all, where a sample of judged rows tells it; else it is estimated. positive_ids: ids of ``docs`` that are known to be good; nulls among them are ignored. The sampled rows'
     features, not their texts, come to the driver. Without positives all scores are about 0.
     """
 
-    def rows(picked: DataFrame) -> _Rows:
+    def rows(picked: DataFrame) -> list:
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             make = Features()
             for b in batches:
@@ -186,14 +206,14 @@ def learn_quality(docs: DataFrame, positive_ids: DataFrame, sample: int = SAMPLE
 
         src = picked.select(F.xxhash64(F.col(id_col), F.xxhash64(text_col)).alias("h"), whole(text_col).alias("text"))
         table = src.mapInArrow(work, "h long, idx array<int>, val array<float>").toArrow().sort_by("h")
-        return _Rows([(np.asarray(i.values, np.int64), np.asarray(v.values, float)) for i, v in zip(table.column("idx"), table.column("val"), strict=True)])
+        return [(np.asarray(i.values, np.int64), np.asarray(v.values, float)) for i, v in zip(table.column("idx"), table.column("val"), strict=True)]
 
     good = _sampled(positive_ids.select(id_col).filter(F.col(id_col).isNotNull()).distinct(), id_col, sample)
     pos = rows(docs.join(F.broadcast(good), id_col, "left_semi"))
     unl = rows(_sampled(docs, id_col, sample))
     if not len(pos) or not len(unl):
         return Model(np.zeros(WORDS + SHAPE), -30.0, 0.0)
-    return fit(pos, unl, estimate_prior(pos, unl))
+    return fit_scaled(pos, unl, prior)
 
 
 def score_quality(docs: DataFrame, model: Model, threshold: float = 0.3, text_col: str = "text") -> DataFrame:

@@ -47,7 +47,9 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quality_model(docs: DataFrame, labels: DataFrame) -> quality.Model:
     seen = ~held_out("doc_id", 5, 0)
-    return quality.learn_quality(docs.filter(seen), labels.filter(seen & (F.col("quality") == 1)))
+    judged = labels.filter(seen & F.col("quality").isNotNull())
+    prior = judged.agg(F.avg((F.col("quality") == 1).cast("double"))).head()[0]
+    return quality.learn_quality(docs.filter(seen), judged.filter("quality = 1"), prior)
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
