@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, exact_dedup, langid, mixing, packing, quality, simhash, url_filter, warc
+from . import embedding_dedup, exact_dedup, langid, language_model, mixing, packing, quality, simhash, url_filter, warc
 from .common import held_out, read_table
 
 RULES = (
@@ -37,6 +37,11 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict_languages(docs.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "text"), language_profiles(docs))
 
 
+def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", held_out("doc_id", 7, 2).alias("held_out"), "text")
+    return language_model.language_model_scores(docs, docs.filter("NOT held_out"), carry=("held_out",))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.content_sort_dedup(read_table(spark, sf_dir, "documents"))
 
@@ -78,6 +83,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op2_language_id": op2_language_id,
+    "op3_language_model": op3_language_model,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_url_filter": op5_url_filter,
     "op6_quality": op6_quality,
