@@ -12,6 +12,7 @@ A tree of all fingerprints grows with the corpus and is not broadcast; each tree
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -65,12 +66,17 @@ def fingerprints(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col
     return src.mapInArrow(work, "id long, fp long")
 
 
+def distance(rows: np.ndarray, pivot: np.ndarray) -> np.ndarray:
+    """Differing bits between rows of 64-bit words and one such row."""
+    return np.bitwise_count(rows ^ pivot).sum(1, dtype=np.int32)
+
+
 class BKTree:
-    """A BK-tree over distinct fingerprints, built and searched level by level in numpy.
+    """A BK-tree over distinct fingerprints (rows of 64-bit words), built and searched in numpy.
 
-    ``near`` yields (pivot, members) for every node: the fingerprints within the radius of the node's pivot
-    that stand below or beside it. Each search descends only through children whose key, the distance to the
-    parent, is within the radius of the searched one's own distance.
+    ``near`` yields (pivot, members) for every node: the fingerprints within the radius of the node's pivot.
+    Each search descends only through children whose key, the distance to the parent, is within the radius of
+    the searched one's own distance; all searches that reach a node are compared with it at once.
     """
 
     def __init__(self, values: np.ndarray):
@@ -87,7 +93,7 @@ class BKTree:
                 self.children[parent][key] = node
             rest = below[1:]
             if len(rest):
-                d = np.bitwise_count(values[rest] ^ values[below[0]])
+                d = distance(values[rest], values[below[0]])
                 for k in np.unique(d):
                     stack.append((node, int(k), rest[d == k]))
 
@@ -96,20 +102,20 @@ class BKTree:
         while stack:
             node, queries = stack.pop()
             pivot = self.pivots[node]
-            d = np.bitwise_count(self.values[queries] ^ self.values[pivot])
+            d = distance(self.values[queries], self.values[pivot])
             close = queries[(d <= radius) & (queries != pivot)]
             if len(close):
                 yield pivot, close
             for key, child in self.children[node].items():
-                go = queries[np.abs(d.astype(np.int16) - key) <= radius]
+                go = queries[np.abs(d - key) <= radius]
                 if len(go):
                     stack.append((child, go))
 
 
 def shard_links(values: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links among the fingerprints of a shard, as indices."""
+    """A spanning forest of the links among the fingerprints of a shard, as indices of their rows."""
     if len(values) == 2:
-        return [(0, 1)] if int(values[0] ^ values[1]).bit_count() <= radius else []
+        return [(0, 1)] if distance(values[:1], values[1])[0] <= radius else []
     uf = UnionFind()
     out = []
     for pivot, close in BKTree(values).near(radius):
@@ -147,7 +153,7 @@ def near_groups(prints: DataFrame, radius: int, blocks: int) -> DataFrame:
             flat, at = col.values.to_numpy(), col.offsets.to_numpy()
             for s, e in zip(at[:-1], at[1:], strict=True):
                 part = np.sort(flat[s:e])
-                for i, j in shard_links(part.view(np.uint64), radius):
+                for i, j in shard_links(part.view(np.uint64)[:, None], radius):
                     a.append(part[i])
                     z.append(part[j])
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(z, pa.int64())], names=["a", "b"])
@@ -170,3 +176,85 @@ def simhash_components(docs: DataFrame, shingle: int = 3, radius: int = 2, block
     prints = stable(fingerprints(docs, shingle, id_col, text_col), "simhash")
     groups = stable(near_groups(prints, radius, blocks), "groups")
     return prints.join(groups, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+#: Wide fingerprints: 64-bit words of each.
+WIDE = 4
+#: Wanted share of links at the similarity that meet in a shard.
+RECALL = 0.95
+
+
+def mixed_hashes(h: np.ndarray, k: int) -> np.ndarray:
+    """The k-th family of hashes, from the first by a multiply-and-shift mix."""
+    if k == 0:
+        return h
+    with np.errstate(over="ignore"):
+        x = h + np.uint64((0x9E3779B97F4A7C15 * k) % (1 << 64))
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
+
+
+def sampled_bits(rows: int, share: float) -> np.ndarray:
+    """Tables of bit positions: as many bits as separate ``rows`` fingerprints, as many tables as ``RECALL`` asks for."""
+    bits = max(12, math.ceil(math.log2(max(2, rows))))
+    meets = (1 - share) ** bits
+    tables = math.ceil(math.log(1 - RECALL) / math.log(1 - meets))
+    rng = np.random.default_rng(17)
+    return np.array([np.sort(rng.choice(WIDE * BITS, bits, replace=False)) for _ in range(tables)])
+
+
+def similar_components(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, component_id of every row with an id, for near copies of ``similarity`` or more.
+
+    Fingerprints of ``WIDE`` words estimate the similarity of shingle sets: two documents link where they differ
+    in no more bits than the angle of that similarity gives, and half a deviation. Shards are keyed by samples
+    of the bits, wider for more rows; a pair at the similarity meets in one with a chance of ``RECALL``, a nearer
+    pair almost surely. Rows that repeat an id are in one class; null text counts as empty.
+    """
+    src = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), whole(text_col).alias("text"))
+
+    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for x in b.column("text").cast(pa.binary()):
+                h = shingle_hashes(x.as_buffer().to_pybytes(), shingle)
+                out.append(np.array([fingerprint(mixed_hashes(h, k)) for k in range(WIDE)], "<u8").tobytes())
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(out, pa.binary())], names=["id", "fp"])
+
+    rows = stable(src.mapInArrow(prints, "id long, fp binary"), "wide-prints")
+    distinct = stable(rows.groupBy("fp").agg(F.min("id").alias("node")), "wide-distinct")
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    n = WIDE * BITS
+    radius = round(n * share + 0.5 * math.sqrt(n * share * (1 - share)))
+    picks = sampled_bits(distinct.count(), share)
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        power = 1 << np.arange(picks.shape[1], dtype=np.int64)
+        for b in batches:
+            for s in range(0, b.num_rows, 4096):
+                c = b.slice(s, 4096)
+                raw = np.frombuffer(b"".join(c.column("fp").to_pylist()), np.uint8).reshape(c.num_rows, -1)
+                bits = np.unpackbits(raw, axis=1, bitorder="little")
+                for t, at in enumerate(picks):
+                    key = bits[:, at].astype(np.int64) @ power
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(c.num_rows, t, np.int32)), pa.array(key), *c.columns], names=["table", "key", "fp", "node"])
+
+    shards = distinct.mapInArrow(keys, "table int, key long, fp binary, node long").groupBy("table", "key").agg(F.collect_list(F.struct("node", "fp")).alias("all")).filter(F.size("all") > 1).select("all")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            col = b.column("all")
+            node = col.values.field("node").to_numpy()
+            value = np.frombuffer(b"".join(col.values.field("fp").to_pylist()), "<u8").reshape(len(node), WIDE)
+            at = col.offsets.to_numpy() - col.offsets[0].as_py()
+            a, z = [], []
+            for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                for i, j in shard_links(value[s:e], radius):
+                    a.append(node[s + i])
+                    z.append(node[s + j])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(z, pa.int64())], names=["a", "b"])
+
+    classes = connected_components(shards.mapInArrow(search, "a long, b long"))
+    named = stable(distinct.join(classes, "node", "left").select("fp", F.coalesce("label", "node").alias("component_id")), "wide-classes")
+    return rows.join(named, "fp").select(F.col("id").alias(id_col), "component_id")
