@@ -7,8 +7,6 @@ each is from its rank there, and ``size`` for one that the profile lacks. The ne
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,75 +19,56 @@ from pyspark.sql.window import Window as W
 from .common import whole
 
 SIZE, ORDER = 400, 3
-#: Words and n-grams that a worker caches; both are emptied when full.
-CACHE_WORDS, CACHE_GRAMS = 300_000, 300_000
-_WORD = re.compile(r"[^\W\d_]+")
-_HAS_LETTER = re.compile(r"[^\W\d_]")
-
-
-class Grams:
-    """Numbers n-grams and caches the numbers of each word's n-grams."""
-
-    def __init__(self, order: int):
-        self.order = order
-        self.clear()
-
-    def clear(self) -> None:
-        self.words: dict[str, np.ndarray] = {}
-        self.ids: dict[str, int] = {}
-        self.names: list[str] = []
-        self.sort = np.zeros(1024, np.int64)  # by characters: the order among equal counts
-
-    def of(self, word: str) -> np.ndarray:
-        got = self.words.get(word)
-        if got is None:
-            padded, ids = f"_{word}_", []
-            for n in range(1, self.order + 1):
-                for k in range(len(padded) - n + 1):
-                    g = padded[k : k + n]
-                    if g == "_":
-                        continue
-                    i = self.ids.get(g)
-                    if i is None:
-                        i = self.ids[g] = len(self.names)
-                        self.names.append(g)
-                        if i >= len(self.sort):
-                            self.sort = np.concatenate([self.sort, np.zeros(len(self.sort), np.int64)])
-                        code = 0
-                        for c in g.ljust(3, "\0"):
-                            code = code << 21 | ord(c)
-                        self.sort[i] = code
-                    ids.append(i)
-            got = self.words[word] = np.array(ids, np.int32)
-        return got
-
-    def count(self, text: str) -> np.ndarray:
-        """How often each n-gram occurs in the whole text, by number."""
-        if len(self.words) > CACHE_WORDS or len(self.names) > CACHE_GRAMS:
-            self.clear()
-        words = Counter(_WORD.findall(text.lower()))
-        if not words:
-            return np.zeros(0, np.int64)
-        lists = [self.of(w) for w in words]
-        times = np.repeat(np.fromiter(words.values(), np.int64, len(words)), [len(x) for x in lists])
-        return np.bincount(np.concatenate(lists), times).astype(np.int64)
-
-    def ranked(self, counts: np.ndarray, size: int) -> np.ndarray:
-        """Numbers of the ``size`` most frequent n-grams, ties by their characters."""
-        some = np.flatnonzero(counts)
-        c = counts[some]
-        if len(some) > size:
-            least = np.partition(c, len(c) - size)[len(c) - size]
-            some = some[c >= least]
-            c = counts[some]
-        return some[np.lexsort((self.sort[some], -c))][:size]
+#: n-grams that a task gathers of a language before it sums them up.
+HELD = 2_000_000
+PAD, BITS = ord("_"), 21
+_letters: list[np.ndarray] = []
+
+
+def _is_letter() -> np.ndarray:
+    """Whether each code point is a letter; made once for each process."""
+    if not _letters:
+        _letters.append(np.array([chr(c).isalpha() for c in range(0x110000)]))
+    return _letters[0]
+
+
+def grams(text: str, order: int = ORDER) -> np.ndarray:
+    """All n-grams of the text's words, as numbers that sort like their strings.
+
+    A word is a run of letters in lower case with a pad on both sides; a pad alone is none.
+    """
+    code = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    letter = _is_letter()[code]
+    before = np.concatenate([[True], letter[:-1]]) if len(code) else letter
+    kept = letter | before  # of a run of other characters, the first is the pad
+    c = np.concatenate([[PAD], np.where(letter, code, PAD)[kept], [PAD]])
+    is_word = np.concatenate([[False], letter[kept], [False]])
+    out = [c[is_word] << 2 * BITS]
+    if order >= 2:
+        out.append((c[:-1] << 2 * BITS | c[1:] << BITS)[is_word[:-1] | is_word[1:]])
+    if order >= 3:
+        out.append((c[:-2] << 2 * BITS | c[1:-1] << BITS | c[2:])[is_word[1:-1]])
+    return np.concatenate(out)
+
+
+def gram_text(code: int) -> str:
+    return "".join(chr(x) for x in (code >> 2 * BITS, code >> BITS & (1 << BITS) - 1, code & (1 << BITS) - 1) if x)
+
+
+def ranked(codes: np.ndarray, size: int) -> np.ndarray:
+    """The ``size`` most frequent n-grams, ties by their characters."""
+    u, n = np.unique(codes, return_counts=True)
+    return u[np.argsort(-n, kind="stable")[:size]]
 
 
 @dataclass(frozen=True)
 class Profiles:
     size: int
     order: int
-    ranks: dict[str, list[str]]  # language: its n-grams from the most frequent on
+    ranks: dict[str, np.ndarray]  # language: its n-grams from the most frequent on
+
+    def texts(self, lang: str) -> list[str]:
+        return [gram_text(int(c)) for c in self.ranks[lang]]
 
 
 def learn_profiles(docs: DataFrame, size: int = SIZE, order: int = ORDER, text_col: str = "text", lang_col: str = "lang") -> Profiles:
@@ -99,58 +78,66 @@ def learn_profiles(docs: DataFrame, size: int = SIZE, order: int = ORDER, text_c
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, held = Grams(order), {}
-
-        def flush():
-            rows = [(lang, g, n) for lang, c in held.items() for g, n in c.items()]
+        sums: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        held: dict[str, list[np.ndarray]] = {}
+        room = 0
+
+        def add_up() -> None:
+            for lang, parts in held.items():
+                u, n = np.unique(np.concatenate(parts), return_counts=True)
+                if lang in sums:
+                    all_u, at = np.unique(np.concatenate([sums[lang][0], u]), return_inverse=True)
+                    u, n = all_u, np.bincount(at, np.concatenate([sums[lang][1], n]), len(all_u)).astype(np.int64)
+                sums[lang] = u, n
             held.clear()
-            cols = list(zip(*rows, strict=True)) or [(), (), ()]
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64())], names=["lang", "gram", "n"])
+
+        def rows() -> pa.RecordBatch:
+            langs = [x for lang, (u, _) in sums.items() for x in [lang] * len(u)]
+            u = np.concatenate([u for u, _ in sums.values()]) if sums else np.zeros(0, np.int64)
+            n = np.concatenate([n for _, n in sums.values()]) if sums else np.zeros(0, np.int64)
+            sums.clear()
+            return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(u, pa.int64()), pa.array(n, pa.int64())], names=["lang", "gram", "n"])
 
         for b in batches:
             for lang, text in zip(b.column("lang").to_pylist(), b.column("text"), strict=True):
-                c = grams.count(text.as_py())
-                to = held.setdefault(lang, Counter())
-                some = np.flatnonzero(c)
-                to.update(dict(zip([grams.names[i] for i in some], c[some].tolist(), strict=True)))
-            if sum(map(len, held.values())) > CACHE_GRAMS:
-                yield flush()
-        yield flush()
+                g = grams(text.as_py(), order)
+                held.setdefault(lang, []).append(g)
+                room += len(g)
+                if room > HELD:
+                    add_up()
+                    room = 0
+                    if sum(len(u) for u, _ in sums.values()) > HELD:
+                        yield rows()
+        add_up()
+        yield rows()
 
     labelled = docs.filter(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), whole(text_col).alias("text"))
-    counts = labelled.mapInArrow(work, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = labelled.mapInArrow(work, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     first = W.partitionBy("lang").orderBy(F.col("n").desc(), F.col("gram"))
     top = counts.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= size).select("lang", "gram", "rank").collect()
-    ranks: dict[str, list[str]] = {}
+    ranks: dict[str, list[int]] = {}
     for r in sorted(top, key=lambda r: (r["lang"], r["rank"])):
         ranks.setdefault(r["lang"], []).append(r["gram"])
-    return Profiles(size, order, ranks)
+    return Profiles(size, order, {k: np.array(v, np.int64) for k, v in ranks.items()})
 
 
 class Identifier:
     def __init__(self, p: Profiles):
-        self.p, self.grams, self.langs = p, Grams(p.order), sorted(p.ranks)
-        self.rank = [{g: k for k, g in enumerate(p.ranks[x])} for x in self.langs]
-        self.table = np.zeros((0, len(self.langs)), np.int32)
-        self.known: list[str] | None = None
-
-    def _places(self, ids: np.ndarray) -> np.ndarray:
-        """Rank of each n-gram in each profile, -1 where it lacks it; kept by number."""
-        if self.known is not self.grams.names:
-            self.known, self.table = self.grams.names, np.zeros((0, len(self.langs)), np.int32)
-        if len(self.table) < len(self.known):
-            new = [[r.get(g, -1) for r in self.rank] for g in self.known[len(self.table) :]]
-            self.table = np.concatenate([self.table, np.array(new, np.int32).reshape(-1, len(self.langs))])
-        return self.table[ids]
+        self.p, self.langs = p, sorted(p.ranks)
+        self.known = np.unique(np.concatenate([*p.ranks.values(), np.zeros(1, np.int64)]))
+        self.place = np.full((len(self.known), len(self.langs)), -1)
+        for k, lang in enumerate(self.langs):
+            self.place[np.searchsorted(self.known, p.ranks[lang]), k] = np.arange(len(p.ranks[lang]))
 
     def __call__(self, text: str) -> tuple[str, float]:
         """Language and confidence, from 0 (two languages are as near) to 1; ``und``, 0 without a letter."""
-        counts = self.grams.count(text)
-        if not len(counts) or not self.langs:
+        codes = grams(text, self.p.order)
+        if not len(codes) or not self.langs:
             return "und", 0.0
-        ids = self.grams.ranked(counts, self.p.size)
-        at = self._places(ids)
-        d = np.where(at < 0, self.p.size, np.abs(at - np.arange(len(ids))[:, None])).sum(0)
+        own = ranked(codes, self.p.size)
+        at = np.minimum(np.searchsorted(self.known, own), len(self.known) - 1)
+        there = np.where((self.known[at] == own)[:, None], self.place[at], -1)
+        d = np.where(there < 0, self.p.size, np.abs(there - np.arange(len(own))[:, None])).sum(0)
         best = int(d.argmin())
         rest = np.delete(d, best)
         score = float(1 - d[best] / rest.min()) if len(rest) and rest.min() > 0 else float(not len(rest))
