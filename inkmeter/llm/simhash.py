@@ -195,6 +195,13 @@ def mixed_hashes(h: np.ndarray, k: int) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+def similar_radius(similarity: float) -> tuple[float, int]:
+    """The share of bits in which wide fingerprints of that similarity differ, and the radius of a link."""
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    n = WIDE * BITS
+    return share, round(n * share + 0.5 * math.sqrt(n * share * (1 - share)))
+
+
 def sampled_bits(rows: int, share: float) -> np.ndarray:
     """Tables of bit positions: as many bits as separate ``rows`` fingerprints, as many tables as ``RECALL`` asks for."""
     bits = max(12, math.ceil(math.log2(max(2, rows))))
@@ -224,9 +231,7 @@ def similar_components(docs: DataFrame, shingle: int = 5, similarity: float = 0.
 
     rows = stable(src.mapInArrow(prints, "id long, fp binary"), "wide-prints")
     distinct = stable(rows.groupBy("fp").agg(F.min("id").alias("node")), "wide-distinct")
-    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    n = WIDE * BITS
-    radius = round(n * share + 0.5 * math.sqrt(n * share * (1 - share)))
+    share, radius = similar_radius(similarity)
     picks = sampled_bits(distinct.count(), share)
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
