@@ -46,10 +46,13 @@ def capped_tier(tier: Column, strong: Column, hard_evidence: Column) -> Column:
     return F.when((strong >= 2) & ~hard_evidence & (tier_rank(tier) > 1), F.lit("yellow")).otherwise(tier)
 
 
+def _sums(found: DataFrame, id_col: str) -> DataFrame:
+    return found.filter("scored").groupBy(id_col).agg(F.sum(finding_weight()).alias("weighted_sum"), F.max(F.col("lifecycle") == "hard_evidence").alias("hard_evidence"))
+
+
 def lexical_scores(docs: DataFrame, lexicon: L.Lexicon, id_col: str = "doc_id", text_col: str = "text", register_col: str | None = None) -> DataFrame:
     """id, word_count, weighted_sum, score, tier from entries alone; every document has a row."""
-    found = L.findings(docs, lexicon, id_col, text_col, register_col)
-    sums = found.filter("scored").groupBy(id_col).agg(F.sum(finding_weight()).alias("weighted_sum"), F.max(F.col("lifecycle") == "hard_evidence").alias("hard_evidence"))
+    sums = _sums(L.findings(docs, lexicon, id_col, text_col, register_col), id_col)
     words = docs.select(F.col(id_col), X.ws_word_count(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("word_count"))
     d = words.join(sums, id_col, "left").na.fill({"weighted_sum": 0.0, "hard_evidence": False})
     return d.withColumn("score", density_score(F.col("weighted_sum"), F.col("word_count"))).withColumn("tier", tier_of(F.col("score")))
@@ -64,12 +67,15 @@ def audit(
     empty document is green. findings: entries, rhythm and unused facts, scored or not.
     """
     clean = docs.withColumn(text_col, X.strip_code(F.coalesce(F.col(text_col), F.lit(""))))
-    lexical = lexical_scores(clean, lexicon, id_col, text_col, register_col)
     entry_rows = L.findings(clean, lexicon, id_col, text_col, register_col)
+    sums = _sums(entry_rows, id_col)
+    # what depends on the row alone is computed in one pass over the texts, and joined once with the sums
+    row = rhythm.rhythm_flags(rhythm.strengths(clean.select(id_col, text_col, register_col), text_col, paragraph), text_col, register_col, paragraph)
+    row = row.withColumn("word_count", X.ws_word_count(F.col(text_col)).cast("long")).withColumn("beats", sum((F.col(c).cast("int") for c in rhythm.FLAGS), F.lit(0)))
+    row = row.select(id_col, register_col, "word_count", "beats", "specificity", "concrete_abstract", "burstiness", "strong_signals", "notes")
+    d = row.join(sums, id_col, "left").na.fill({"weighted_sum": 0.0, "hard_evidence": False})
+    d = d.withColumn("score", density_score(F.col("weighted_sum"), F.col("word_count")))
     beat = rhythm.rhythm_findings(clean, id_col, text_col, register_col, paragraph)
-    beats = beat.groupBy(id_col).agg(F.count(F.lit(1)).alias("beats"))
-    strong = rhythm.strengths(clean, text_col, paragraph).select(id_col, register_col, "specificity", "concrete_abstract", "burstiness", "strong_signals", "notes")
-    d = strong.join(lexical, id_col).join(beats, id_col, "left").na.fill({"beats": 0})
     weight = pick(F.col(register_col), V.RHYTHM_WEIGHT, F.lit(V.DEFAULT_RHYTHM_WEIGHT))
     unused = None
     if facts is not None:

@@ -16,6 +16,30 @@ from pyspark.sql import functions as F
 from ..functions import fixed as V
 from ..functions import text as X
 
+#: Lower-case literals one of which stands in every match of a pattern: texts without one need no pattern.
+GATES = {
+    "all-none": ("none of the",), "negative-listing": ("not", "wasn"), "elevation-echo": ("just", "only", "none of"), "stop-start": ("stop",), "not-only-but-also": ("not only",), "at-its-core": ("at its core",),
+    "more-you-less-you": ("the more you",), "thats-where-comes-in": ("comes in",), "not-all-created-equal": ("created equal",), "most-people-believe-wrong": ("most people",), "studies-show-percent": ("studies show that",),
+    "vague-authority-attribution": ("experts", "research", "studies", "report", "observers"),
+    "participial-tail-abstract": ("underscoring", "highlighting", "emphasizing", "emphasising", "reinforcing", "reflecting", "signaling", "signalling", "showcasing", "illustrating", "demonstrating"),
+    "em-dash-rate": ("—", "--"), "ai-utm-source": ("utm_source=", "referrer="), "ai-citation-markup": ("cite", "contentreference", "attached_file", "grok_card"), "ai-placeholder": ("[", "xx", "<!--"),
+    "formulaic-opener": ("world", "landscape", "realm", "space", "field", "domain", "era", "age", "evolve", "forward", "into", "through", "emerged", "increasingly"), "to-name-a-few": ("to name",),
+    "hedge-stack": ("potentially", "eventually", "ultimately", "possibly", "conceivably"), "bulleted-bold-term": ("**",), "markdown-heading-leak": ("#",), "markdown-bold-in-prose": ("**",),
+    "category-contrast-positioning": ("most", "many"), "narrated-intent-scaffold": ("let me", "i'll", "i will"), "parenthetical-hedge": ("(",),
+}
+
+
+def gated_count(text: Column, low: Column, pattern: str, literals: Sequence[str] | None) -> Column:
+    """Matches of a pattern, which is tried only where ``low``, the text in lower case, has one of the literals."""
+    count = F.regexp_count(text, X.rx(pattern)).cast("long")
+    if not literals:
+        return count
+    some = F.lit(False)
+    for x in literals:
+        some = some | low.contains(x)
+    return F.when(some, count).otherwise(F.lit(0).cast("long"))
+
+
 _INFLECTABLE = re.compile(r"[A-Za-z]{3,}")
 #: Forms that may be broadcast; beyond it the join is left to the planner.
 BROADCAST_FORMS = 200_000
@@ -200,8 +224,10 @@ def match_counts(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text
         name = F.col("may_be_name") & F.col("raw").rlike("^[A-Z]") & ~F.col("opens")
         out = hits.filter(~name).groupBy(id_col, "ord").agg(F.count(F.lit(1)).alias("count"))
     if others:
-        found = [F.struct(F.lit(e.ord).alias("ord"), F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), X.rx(lexicon.pattern(e))).cast("long").alias("count")) for e in others]
-        p = d.select(id_col, F.explode(F.filter(F.array(*found), lambda x: x["count"] > 0)).alias("x")).select(id_col, "x.ord", "x.count")
+        gate = lambda e: GATES.get(e.id) if e.pattern is not None else (e.term.lower(),)
+        found = [F.struct(F.lit(e.ord).alias("ord"), gated_count(F.col("_t"), F.col("_low"), lexicon.pattern(e), gate(e)).alias("count")) for e in others]
+        t = d.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("_t")).withColumn("_low", F.lower("_t"))
+        p = t.select(id_col, F.explode(F.filter(F.array(*found), lambda x: x["count"] > 0)).alias("x")).select(id_col, "x.ord", "x.count")
         out = p if out is None else out.unionByName(p)
     if out is None:
         return d.select(id_col, F.lit(0).alias("ord"), F.lit(0).cast("long").alias("count")).limit(0)

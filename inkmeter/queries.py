@@ -347,7 +347,8 @@ _LOOKAROUND = ("em-dash-rate",)
 def _pattern_rows(spark, sf_dir, ids) -> DataFrame:
     own = spark.createDataFrame(_TEXT_ROWS, "id long, text string").select(F.lit("text").alias("kind"), "id", "text")
     both = own.unionByName(table(spark, sf_dir, "documents").select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), "text"))
-    counts = [F.struct(F.lit(p.id).alias("pattern"), F.regexp_count("text", X.rx(p.regex)).cast("long").alias("matches")) for p in V.PATTERNS if p.id in ids]
+    both = both.withColumn("low", F.lower("text"))
+    counts = [F.struct(F.lit(p.id).alias("pattern"), L.gated_count(F.col("text"), F.col("low"), p.regex, L.GATES.get(p.id)).alias("matches")) for p in V.PATTERNS if p.id in ids]
     return both.select("kind", "id", F.inline(F.filter(F.array(*counts), lambda c: c["matches"] > 0)))
 
 
