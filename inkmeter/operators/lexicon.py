@@ -29,15 +29,19 @@ GATES = {
 }
 
 
-def gated_count(text: Column, low: Column, pattern: str, literals: Sequence[str] | None) -> Column:
-    """Matches of a pattern, which is tried only where ``low``, the text in lower case, has one of the literals."""
-    count = F.regexp_count(text, X.rx(pattern)).cast("long")
-    if not literals:
-        return count
-    some = F.lit(False)
-    for x in literals:
-        some = some | low.contains(x)
-    return F.when(some, count).otherwise(F.lit(0).cast("long"))
+def pattern_counts(text: Column, low: Column, rows: Sequence[tuple]) -> Column:
+    """An array of (key, count) of the patterns that match. rows: (key, pattern, literals or None).
+
+    Patterns with literals are elements of one constant array, tried only where ``low``, the text in lower case,
+    has one of them, so the plan stays small however many there are; the others are foldable expressions.
+    """
+    gated = [F.struct(F.lit(k).alias("key"), F.lit(X.java(p)).alias("rx"), F.array(*[F.lit(x) for x in needs]).alias("needs")) for k, p, needs in rows if needs]
+    free = [F.struct(F.lit(k).alias("key"), F.regexp_count(text, X.rx(p)).cast("long").alias("count")) for k, p, needs in rows if not needs]
+    parts = [F.array(*free)] if free else []
+    if gated:
+        near = F.filter(F.array(*gated), lambda g: F.exists(g["needs"], lambda x: F.contains(low, x)))
+        parts.append(F.transform(near, lambda g: F.struct(g["key"].alias("key"), F.regexp_count(text, g["rx"]).cast("long").alias("count"))))
+    return F.filter(F.concat(*parts) if len(parts) > 1 else parts[0], lambda c: c["count"] > 0)
 
 
 _INFLECTABLE = re.compile(r"[A-Za-z]{3,}")
@@ -225,9 +229,9 @@ def match_counts(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text
         out = hits.filter(~name).groupBy(id_col, "ord").agg(F.count(F.lit(1)).alias("count"))
     if others:
         gate = lambda e: GATES.get(e.id) if e.pattern is not None else (e.term.lower(),)
-        found = [F.struct(F.lit(e.ord).alias("ord"), gated_count(F.col("_t"), F.col("_low"), lexicon.pattern(e), gate(e)).alias("count")) for e in others]
         t = d.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("_t")).withColumn("_low", F.lower("_t"))
-        p = t.select(id_col, F.explode(F.filter(F.array(*found), lambda x: x["count"] > 0)).alias("x")).select(id_col, "x.ord", "x.count")
+        found = pattern_counts(F.col("_t"), F.col("_low"), [(e.ord, lexicon.pattern(e), gate(e)) for e in others])
+        p = t.select(id_col, F.explode(found).alias("x")).select(id_col, F.col("x.key").alias("ord"), F.col("x.count").alias("count"))
         out = p if out is None else out.unionByName(p)
     if out is None:
         return d.select(id_col, F.lit(0).alias("ord"), F.lit(0).cast("long").alias("count")).limit(0)

@@ -348,8 +348,8 @@ def _pattern_rows(spark, sf_dir, ids) -> DataFrame:
     own = spark.createDataFrame(_TEXT_ROWS, "id long, text string").select(F.lit("text").alias("kind"), "id", "text")
     both = own.unionByName(table(spark, sf_dir, "documents").select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), "text"))
     both = both.withColumn("low", F.lower("text"))
-    counts = [F.struct(F.lit(p.id).alias("pattern"), L.gated_count(F.col("text"), F.col("low"), p.regex, L.GATES.get(p.id)).alias("matches")) for p in V.PATTERNS if p.id in ids]
-    return both.select("kind", "id", F.inline(F.filter(F.array(*counts), lambda c: c["matches"] > 0)))
+    found = L.pattern_counts(F.col("text"), F.col("low"), [(p.id, p.regex, L.GATES.get(p.id)) for p in V.PATTERNS if p.id in ids])
+    return both.select("kind", "id", F.explode(found).alias("x")).select("kind", "id", F.col("x.key").alias("pattern"), F.col("x.count").alias("matches"))
 
 
 @query(_PATTERN_SQL + " UNION ALL ".join(f"SELECT kind, id, {lit(p.id)} AS pattern, len(regexp_extract_all(text, {lit(X.re2(p.regex))})) AS matches FROM b WHERE matches > 0" for p in V.PATTERNS if p.id not in _LOOKAROUND))
