@@ -178,10 +178,12 @@ def simhash_components(docs: DataFrame, shingle: int = 3, radius: int = 2, block
     return prints.join(groups, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Wide fingerprints: 64-bit words of each.
+#: Wide fingerprints, an estimate of similarity: 64-bit words of each.
 WIDE = 4
-#: Wanted share of links at the similarity that meet in a shard.
-RECALL = 0.95
+#: Near copies: minima that make a bucket's key, and the chance that a pair at the similarity meets in no bucket.
+BAND, MISS = 6, 1e-4
+#: Members of a bucket's tile; larger buckets are compared tile by tile.
+TILE = 512
 
 
 def mixed_hashes(h: np.ndarray, k: int) -> np.ndarray:
@@ -196,70 +198,132 @@ def mixed_hashes(h: np.ndarray, k: int) -> np.ndarray:
 
 
 def similar_radius(similarity: float) -> tuple[float, int]:
-    """The share of bits in which wide fingerprints of that similarity differ, and the radius of a link."""
+    """The share of bits in which wide fingerprints of that similarity differ, and the radius of an estimated link."""
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
     n = WIDE * BITS
     return share, round(n * share + 0.5 * math.sqrt(n * share * (1 - share)))
 
 
-def sampled_bits(rows: int, share: float) -> np.ndarray:
-    """Tables of bit positions: as many bits as separate ``rows`` fingerprints, as many tables as ``RECALL`` asks for."""
-    bits = max(12, math.ceil(math.log2(max(2, rows))))
-    meets = (1 - share) ** bits
-    tables = math.ceil(math.log(1 - RECALL) / math.log(1 - meets))
-    rng = np.random.default_rng(17)
-    return np.array([np.sort(rng.choice(WIDE * BITS, bits, replace=False)) for _ in range(tables)])
+def shingle_set(text: bytes, size: int) -> np.ndarray:
+    """The distinct shingles' hashes, sorted."""
+    return np.unique(shingle_hashes(text, size))
+
+
+class Bands:
+    """Keys of the buckets in which sets of a similarity meet: each from the least values of ``BAND`` hash families."""
+
+    def __init__(self, similarity: float):
+        self.count = math.ceil(math.log(MISS) / math.log(1 - similarity**BAND)) if similarity < 1 else 1
+        rng = np.random.default_rng(17)
+        wide = lambda: rng.integers(0, 1 << 64, self.count * BAND, np.uint64)
+        self.flip, self.times, self.weight = wide()[:, None], wide()[:, None] | np.uint64(1), wide() | np.uint64(1)
+
+    def keys(self, hashes: np.ndarray) -> np.ndarray:
+        """One key for each bucket of a set; none for an empty set."""
+        if not len(hashes):
+            return np.zeros(0, np.int64)
+        least = np.full(self.count * BAND, np.iinfo(np.uint64).max, np.uint64)
+        for at in range(0, len(hashes), 2048):
+            least = np.minimum(least, ((hashes[None, at : at + 2048] ^ self.flip) * self.times).min(1))
+        return (least * self.weight).reshape(self.count, BAND).sum(1, dtype=np.uint64).view(np.int64)
+
+
+def set_links(values: np.ndarray, starts: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs of sets with that Jaccard similarity or more; set k is values[starts[k]:starts[k + 1]].
+
+    Pairs that links already join aren't compared; all others are, exactly.
+    """
+    sizes = np.diff(starts)
+    n = len(sizes)
+    codes = np.unique(values, return_inverse=True)[1]
+    label = np.arange(n)
+    has = np.zeros(len(values), bool)
+    out = []
+    for p in range(n - 1):
+        open_ = label[p + 1 :] != label[p]
+        if not open_.any():
+            continue
+        own = codes[starts[p] : starts[p + 1]]
+        has[own] = True
+        both = np.add.reduceat(has[codes[starts[p + 1] :]], starts[p + 1 : -1] - starts[p + 1], dtype=np.int64)
+        has[own] = False
+        for q in (p + 1 + np.flatnonzero(open_ & (both / (sizes[p + 1 :] + sizes[p] - both) >= similarity))).tolist():
+            if label[q] != label[p]:
+                label[label == label[q]] = label[p]
+                out.append((p, q))
+    return out
 
 
 def similar_components(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, component_id of every row with an id, for near copies of ``similarity`` or more.
 
-    Fingerprints of ``WIDE`` words estimate the similarity of shingle sets: two documents link where they differ
-    in no more bits than the angle of that similarity gives, and half a deviation. Shards are keyed by samples
-    of the bits, wider for more rows; a pair at the similarity meets in one with a chance of ``RECALL``, a nearer
-    pair almost surely. Rows that repeat an id are in one class; null text counts as empty.
+    Two documents link where the Jaccard similarity of their whole texts' sets of shingles is ``similarity`` or
+    more; equal sets, empty ones too, are one. Candidates meet in buckets by least hashes: a pair at the
+    similarity meets in none with a chance of ``MISS``, a nearer pair still less. In a bucket the sets themselves
+    are compared, so nothing links on an estimate. Rows that repeat an id are in one class; null text counts as
+    empty.
     """
     src = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), whole(text_col).alias("text"))
+    bands = Bands(similarity)
 
-    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
+            fp, keys = [], []
             for x in b.column("text").cast(pa.binary()):
-                h = shingle_hashes(x.as_buffer().to_pybytes(), shingle)
-                out.append(np.array([fingerprint(mixed_hashes(h, k)) for k in range(WIDE)], "<u8").tobytes())
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(out, pa.binary())], names=["id", "fp"])
+                s = shingle_set(x.as_buffer().to_pybytes(), shingle)
+                fp.append(xxhash.xxh3_128_digest(s.astype("<u8").tobytes()))
+                keys.append(bands.keys(s))
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(fp, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "fp", "keys"])
+
+    rows = stable(src.mapInArrow(sketches, "id long, fp binary, keys array<long>"), "sketches")
+    distinct = stable(rows.groupBy("fp").agg(F.min("id").alias("node"), F.first("keys").alias("keys")), "distinct-sets")
+    slots = distinct.select("node", F.explode("keys").alias("key"))
+    shared = slots.groupBy("key").agg(F.sort_array(F.collect_set("node")).alias("nodes")).filter(F.size("nodes") > 1)
+    buckets = stable(shared.select("nodes").distinct().withColumn("bucket", F.monotonically_increasing_id()), "buckets")
+
+    # a bucket of several tiles is compared by pairs of tiles, each within itself too
+    n_tiles = F.ceil(F.size("nodes") / TILE).cast("long")
+    members = buckets.select("bucket", n_tiles.alias("tiles"), F.posexplode("nodes").alias("at", "node"))
+    tile = F.floor(F.col("at") / TILE)
+    others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1), lambda u: u != tile)
+    units = F.when(F.col("tiles") == 1, F.array(F.lit(0).cast("long"))).otherwise(F.transform(others, lambda u: F.least(u, tile) * F.col("tiles") + F.greatest(u, tile)))
+    dealt = members.select("bucket", "node", F.explode(units).alias("unit"))
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            s = [shingle_set(x.as_buffer().to_pybytes(), shingle) for x in b.column("text").cast(pa.binary())]
+            fp = [xxhash.xxh3_128_digest(x.astype("<u8").tobytes()) for x in s]
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(fp, pa.binary()), pa.array([x.view(np.int64) for x in s], pa.list_(pa.int64()))], names=["node", "fp", "hashes"])
 
-    rows = stable(src.mapInArrow(prints, "id long, fp binary"), "wide-prints")
-    distinct = stable(rows.groupBy("fp").agg(F.min("id").alias("node")), "wide-distinct")
-    share, radius = similar_radius(similarity)
-    picks = sampled_bits(distinct.count(), share)
+    wanted = stable(buckets.select(F.explode("nodes").alias("id")).distinct(), "candidates")
+    held = src.join(wanted, "id", "left_semi").mapInArrow(sets, "node long, fp binary, hashes array<long>").filter(F.size("hashes") > 0)
+    held = stable(held.groupBy("node", "fp").agg(F.first("hashes").alias("hashes")).drop("fp"), "shingle-sets")
 
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        power = 1 << np.arange(picks.shape[1], dtype=np.int64)
-        for b in batches:
-            for s in range(0, b.num_rows, 4096):
-                c = b.slice(s, 4096)
-                raw = np.frombuffer(b"".join(c.column("fp").to_pylist()), np.uint8).reshape(c.num_rows, -1)
-                bits = np.unpackbits(raw, axis=1, bitorder="little")
-                for t, at in enumerate(picks):
-                    key = bits[:, at].astype(np.int64) @ power
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(c.num_rows, t, np.int32)), pa.array(key), *c.columns], names=["table", "key", "fp", "node"])
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by bucket and unit."""
 
-    shards = distinct.mapInArrow(keys, "table int, key long, fp binary, node long").groupBy("table", "key").agg(F.collect_list(F.struct("node", "fp")).alias("all")).filter(F.size("all") > 1).select("all")
+        def closed(node: list, parts: list) -> pa.RecordBatch:
+            starts = np.concatenate([[0], np.cumsum([len(x) for x in parts])])
+            found = set_links(np.concatenate(parts), starts, similarity)
+            return pa.RecordBatch.from_arrays([pa.array([node[i] for i, _ in found], pa.int64()), pa.array([node[j] for _, j in found], pa.int64())], names=["a", "b"])
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        node: list[int] = []
+        parts: list[np.ndarray] = []
+        last = None
         for b in batches:
-            col = b.column("all")
-            node = col.values.field("node").to_numpy()
-            value = np.frombuffer(b"".join(col.values.field("fp").to_pylist()), "<u8").reshape(len(node), WIDE)
-            at = col.offsets.to_numpy() - col.offsets[0].as_py()
-            a, z = [], []
-            for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-                for i, j in shard_links(value[s:e], radius):
-                    a.append(node[s + i])
-                    z.append(node[s + j])
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(z, pa.int64())], names=["a", "b"])
-
-    classes = connected_components(shards.mapInArrow(search, "a long, b long"))
-    named = stable(distinct.join(classes, "node", "left").select("fp", F.coalesce("label", "node").alias("component_id")), "wide-classes")
-    return rows.join(named, "fp").select(F.col("id").alias(id_col), "component_id")
+            col = b.column("hashes")
+            flat, at = col.values.to_numpy(), col.offsets.to_numpy()
+            for k, (*key, own) in enumerate(zip(*(b.column(c).to_pylist() for c in ("bucket", "unit", "node")), strict=True)):
+                if key != last and node:
+                    yield closed(node, parts)
+                    node, parts = [], []
+                last = key
+                node.append(own)
+                parts.append(flat[at[k] : at[k + 1]].copy())
+        if node:
+            yield closed(node, parts)
+
+    met = dealt.join(held, "node").select("bucket", "unit", "node", "hashes").repartition("bucket", "unit").sortWithinPartitions("bucket", "unit")
+    classes = connected_components(met.mapInArrow(compare, "a long, b long"))
+    named = stable(distinct.select("node", "fp").join(classes, "node", "left").select("fp", F.coalesce("label", "node").alias("component_id")), "similar-classes")
+    return rows.select("id", "fp").join(named, "fp").select(F.col("id").alias(id_col), "component_id")

@@ -77,3 +77,42 @@ def test_similar_texts(spark):
     got = {r.doc_id: r.component_id for r in S.similar_components(docs(spark, rows)).collect()}
     assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 4}
     assert S.similar_components(docs(spark, [])).collect() == []
+
+
+def jaccard_components(rows, similarity=0.8, size=5):
+    """id -> least id of its class, over all pairs of (id, text) by exact similarity of distinct shingles."""
+    up = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    sets = []
+    for _, t in rows:
+        w = (t or "").translate(up).encode().split()
+        sets.append({b" ".join(w[k : k + size]) for k in range(max(1, len(w) - size + 1))} if w else set())
+    comp = {i: i for i, _ in rows}
+
+    def find(x):
+        while comp[x] != x:
+            x = comp[x]
+        return x
+
+    for k, (i, _) in enumerate(rows):
+        for m in range(k):
+            both = len(sets[k] & sets[m])
+            union = len(sets[k]) + len(sets[m]) - both
+            if not union or both / union >= similarity:
+                a, b = find(i), find(rows[m][0])
+                comp[max(a, b)] = min(a, b)
+    return {i: find(i) for i, _ in rows}
+
+
+def test_a_repeated_line_makes_no_near_copy(spark):
+    line = " ".join(f"x{k}" for k in range(20))
+    rows = [(n, " ".join([*(f"{n}-{k}" for k in range(300)), *[line] * 20]), "en", "a") for n in range(1, 9)]
+    got = {r.doc_id: r.component_id for r in S.similar_components(docs(spark, rows)).collect()}
+    assert got == {n: n for n in range(1, 9)}
+
+
+def test_large_buckets_are_compared_in_tiles(spark, monkeypatch):
+    monkeypatch.setattr(S, "TILE", 4)
+    rng = np.random.default_rng(6)
+    base = [f"w{k}" for k in range(150)]
+    rows = [(n, " ".join([*base[: (at := int(rng.integers(140)))], f"new{n}", *base[at + 1 + int(rng.integers(9)) :]]), "en", "a") for n in range(40)]
+    assert {r.doc_id: r.component_id for r in S.similar_components(docs(spark, rows)).collect()} == jaccard_components([r[:2] for r in rows])
