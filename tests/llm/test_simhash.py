@@ -110,6 +110,18 @@ def test_a_repeated_line_makes_no_near_copy(spark):
     assert got == {n: n for n in range(1, 9)}
 
 
+def test_every_pair_at_the_similarity_links_and_none_below_it(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for n in range(150):  # pairs between 0.7 and 0.9 alike, and just about 0.8
+        w = [f"{n}-{k}" for k in range(204)]
+        e = [*w[: 204 - (cut := int(rng.integers(10, 36)))], *(f"{n}-new{k}" for k in range(cut))]
+        rows += [(2 * n, " ".join(w), "en", "a"), (2 * n + 1, " ".join(e), "en", "a")]
+    want = jaccard_components([r[:2] for r in rows])
+    assert 30 < sum(i != c for i, c in want.items()) < 120
+    assert {r.doc_id: r.component_id for r in S.similar_components(docs(spark, rows)).collect()} == want
+
+
 def test_large_buckets_are_compared_in_tiles(spark, monkeypatch):
     monkeypatch.setattr(S, "TILE", 4)
     rng = np.random.default_rng(6)
