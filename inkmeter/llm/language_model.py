@@ -30,11 +30,9 @@ from .common import stable, whole
 #: Words whose counts every worker holds, at most; words and buckets that are tokens of the model.
 HEAD, WORDS, BUCKETS = 200_000, 2048, 64
 HIDDEN = 16
-#: One of so many training documents trains the recurrent weights; all are counted.
-TRAIN_ONE_IN = 8
 #: Documents that make a worker's share, and rounds after which the workers' weights are averaged.
-SHARE, ROUNDS = 384, 3
-STREAMS, WINDOW = 64, 20
+SHARE, ROUNDS = 3072, 3
+STREAMS, WINDOW = 256, 20
 #: In scoring: documents that advance together, and steps of a window.
 TOGETHER, SCORE_WINDOW = 512, 32
 #: Distinct words that a task counts before it hands them on.
@@ -262,14 +260,17 @@ def gradients(w: Weights, starts: np.ndarray, cls_of: np.ndarray, xs: np.ndarray
 
 
 def train(w: Weights, v: Vocabulary, docs: list[np.ndarray], rate: float = 0.1) -> int:
-    """Adagrad over the documents in place, as parallel streams in windows; returns the tokens seen."""
+    """Adagrad over the documents in place, as parallel streams in windows; returns the tokens seen.
+
+    Streams are of one length: the last one goes on with the first tokens, so none is left out.
+    """
     if not docs:
         return 0
     flat = np.concatenate([x for d in docs for x in ([v.end], d)] + [[v.end]]).astype(np.int64)
     streams = max(1, min(STREAMS, (len(flat) - 1) // WINDOW))
-    length = (len(flat) - 1) // streams
-    xs = np.stack([flat[k * length : (k + 1) * length] for k in range(streams)], 1)
-    ys = np.stack([flat[k * length + 1 : (k + 1) * length + 1] for k in range(streams)], 1)
+    length = -(-(len(flat) - 1) // streams)
+    at = (np.arange(streams * length) % (len(flat) - 1)).reshape(streams, length).T
+    xs, ys = flat[at], flat[at + 1]
     cls_of = np.repeat(np.arange(len(v.starts) - 1), np.diff(v.starts))
     h, square = np.zeros((streams, w.hidden), np.float32), np.full(w.flat.shape, 1e-6, np.float32)
     for t in range(0, length, WINDOW):
@@ -306,15 +307,14 @@ def _tokens(v: Vocabulary, head: dict[bytes, int], token: np.ndarray, words: lis
     return out, at, rare
 
 
-def learn_weights(docs: DataFrame, v: Vocabulary, shared: Broadcast, id_col: str = "doc_id", text_col: str = "text", one_in: int = TRAIN_ONE_IN, rounds: int = ROUNDS) -> Weights:
-    """Train on every ``one_in``-th document by a hash of its id; the number of workers' shares grows with them."""
+def learn_weights(docs: DataFrame, v: Vocabulary, shared: Broadcast, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> Weights:
+    """Train on every document, dealt to rounds and shares by a hash; the number of workers' shares grows with them."""
     spark = docs.sparkSession
     w = first_weights(v)
-    part = stable(docs.filter(F.pmod(F.xxhash64(F.col(id_col)), F.lit(one_in)) == 0).select(F.xxhash64(F.col(id_col), F.lit(1)).alias("h"), whole(text_col).alias("text")), "training-part")
-    n = part.count()
-    if not n:
+    part = docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"), whole(text_col).alias("text"))
+    if not v.docs:
         return w
-    shares = max(1, n // SHARE)
+    shares = max(1, v.docs // SHARE)
     for r in range(rounds):
         now = spark.sparkContext.broadcast(w.flat)
 

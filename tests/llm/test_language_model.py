@@ -103,3 +103,25 @@ def test_gradients_equal_differences():
         down = loss()
         w.flat[k] = old
         assert abs((up - down) / 2e-3 - g[k]) < 2e-3 * max(0.05, abs(g[k]))
+
+
+def test_every_token_of_a_share_is_trained_on():
+    v = small()
+    rng = np.random.default_rng(4)
+    docs_ = [rng.integers(0, v.size, n) for n in (97, 0, 1211, 56)]
+    last = next(k for k in range(v.size) if k != v.end)
+    docs_ = [np.where(d == last, v.end, d) for d in docs_]
+    docs_[-1][-3:] = last  # only in the tail after equal streams
+    w = LM.first_weights(v)
+    first = w.gates[last].copy()
+    assert LM.train(w, v, docs_) >= sum(len(d) + 1 for d in docs_)
+    assert (w.gates[last] != first).any()
+
+
+def test_every_training_document_reaches_the_weights(spark):
+    rows = [(n, f"only{n} " * 40, "en", "a") for n in range(40)]
+    d = docs(spark, rows)
+    v, _ = LM.learn_vocabulary(d)
+    w = LM.learn_weights(d, v, spark.sparkContext.broadcast({"id": "every", "vocabulary": v}))
+    moved = (w.gates != LM.first_weights(v).gates).any(1)
+    assert moved[v.token_of_word].all()
