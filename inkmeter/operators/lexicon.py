@@ -22,7 +22,7 @@ GATES = {
     "more-you-less-you": ("the more you",), "thats-where-comes-in": ("comes in",), "not-all-created-equal": ("created equal",), "most-people-believe-wrong": ("most people",), "studies-show-percent": ("studies show that",),
     "vague-authority-attribution": ("experts", "research", "studies", "report", "observers"),
     "participial-tail-abstract": ("underscoring", "highlighting", "emphasizing", "emphasising", "reinforcing", "reflecting", "signaling", "signalling", "showcasing", "illustrating", "demonstrating"),
-    "em-dash-rate": ("—", "--"), "ai-utm-source": ("utm_source=", "referrer="), "ai-citation-markup": ("cite", "contentreference", "attached_file", "grok_card"), "ai-placeholder": ("[", "xx", "<!--"),
+    "em-dash-rate": ("—", "--"), "ai-utm-source": ("utm_source=", "referrer="), "ai-citation-markup": ("cite", "contentreference", "oai_citation", "attached_file", "grok_card"), "ai-placeholder": ("[", "xx", "<!--"),
     "formulaic-opener": ("world", "landscape", "realm", "space", "field", "domain", "era", "age", "evolve", "forward", "into", "through", "emerged", "increasingly"), "to-name-a-few": ("to name",),
     "hedge-stack": ("potentially", "eventually", "ultimately", "possibly", "conceivably"), "bulleted-bold-term": ("**",), "markdown-heading-leak": ("#",), "markdown-bold-in-prose": ("**",),
     "category-contrast-positioning": ("most", "many"), "narrated-intent-scaffold": ("let me", "i'll", "i will"), "parenthetical-hedge": ("(",),

@@ -41,3 +41,25 @@ def test_dialect(spark, pattern, text, n):
     from pyspark.sql import functions as F
 
     assert spark.createDataFrame([(text,)], "t string").select(F.regexp_count("t", X.rx(pattern))).head()[0] == n
+
+
+def test_cases_through_their_literals(spark):
+    from pyspark.sql import functions as F
+
+    from inkmeter.operators import lexicon as L
+
+    rows = spark.createDataFrame([(k, *v) for k, v in CASES.items()], "id string, yes string, no string")
+    found = lambda c: L.pattern_counts(F.col(c), F.lower(c), [(p.id, p.regex, L.GATES.get(p.id)) for p in V.PATTERNS])
+    got = {r["id"]: r for r in rows.select("id", found("yes").key.alias("yes"), found("no").key.alias("no")).collect()}
+    assert [k for k, r in got.items() if k not in r["yes"] or k in r["no"]] == []
+
+
+@pytest.mark.parametrize("text", ["oai_citation", "OAI_Citation", "contentReference[oaicite:1]", "turn0search1", "a citeturn0search2 b"])
+def test_citation_markup_needs_no_other_literal(spark, text):
+    from pyspark.sql import functions as F
+
+    from inkmeter.operators import lexicon as L
+
+    p = next(p for p in V.PATTERNS if p.id == "ai-citation-markup")
+    row = spark.createDataFrame([(text,)], "t string").select(F.regexp_count("t", X.rx(p.regex)).alias("n"), L.pattern_counts(F.col("t"), F.lower("t"), [(p.id, p.regex, L.GATES[p.id])]).alias("found")).head()
+    assert sum(f["count"] for f in row["found"]) == row["n"]
