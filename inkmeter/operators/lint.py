@@ -49,10 +49,10 @@ def finding_order(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return found.withColumn("nth", F.row_number().over(W.partitionBy(id_col).orderBy(F.col("scored").desc(), F.col("count").desc(), "ord")))
 
 
-def grouped(found: DataFrame, id_col: str = "doc_id", cap: int = V.LEXICAL_CAP) -> DataFrame:
+def grouped(found: DataFrame, id_col: str = "doc_id", cap: int | None = V.LEXICAL_CAP) -> DataFrame:
     """Scored findings with group, group_nth, nth and omitted: as the report shows them.
 
-    Lexical findings form one group by count and term, the first ``cap`` of them shown; others stand by category,
+    Lexical findings form one group by count and term, the first ``cap`` of them shown (None: all); others stand by category,
     severity and count. Rhythm and structure come first, then the groups with most matches.
     """
     lexical = F.col("category").isin(*V.LEXICAL_CATEGORIES)
@@ -64,6 +64,8 @@ def grouped(found: DataFrame, id_col: str = "doc_id", cap: int = V.LEXICAL_CAP)
     )
     outer = W.partitionBy(id_col).orderBy((~F.col("grp").rlike("(?i)rhythm|structural")).cast("int"), F.col("_total").desc(), "_first")
     d = d.withColumn("nth", F.row_number().over(inner)).withColumn("group_nth", F.dense_rank().over(outer))
+    if cap is None:
+        return d.withColumn("omitted", F.lit(0)).drop("_total", "_size", "_first")
     shown = ~lexical | (F.col("nth") <= cap)
     omitted = F.when(F.col("grp") == V.LEXICAL_GROUP, F.greatest(F.lit(0), F.col("_size") - cap)).otherwise(F.lit(0))
     return d.filter(shown).withColumn("omitted", omitted).drop("_total", "_size", "_first")

@@ -19,7 +19,8 @@ from ..sources.files import read_files
 def lint(files: DataFrame, lexicon: L.Lexicon, register: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(results, findings) of ``files`` (path, text): one Spark plan for all files.
 
-    Findings are the scored ones, with line and column of each match, equal spans merged, grouped for display.
+    Findings are the scored ones, with line and column of each match, equal spans merged, in groups: all of
+    them; only the text report leaves some out.
     """
     docs = files.select(F.col("path").alias("doc_id"), "text", LI.register_for(F.col("path"), register).alias("register"))
     results, found = A.audit(docs, lexicon)
@@ -28,7 +29,7 @@ def lint(files: DataFrame, lexicon: L.Lexicon, register: str | None = None) -> t
     cols = ["doc_id", "ord", "term", "category", "subcategory", "confidence", "severity", "count", "scored", "hint", "note", "matches"]
     merged = LI.merge_duplicate_spans(entries.select(cols)).select(cols)
     whole = found.filter("ord >= 100000").withColumn("matches", F.lit(None).cast(dict(merged.dtypes)["matches"])).select(cols)
-    shown = LI.grouped(merged.unionByName(whole))
+    shown = LI.grouped(merged.unionByName(whole), cap=None)
     sizes = merged.unionByName(whole).groupBy("doc_id").agg(F.count(F.lit(1)).alias("finding_count"))
     return results.join(sizes, "doc_id", "left").na.fill({"finding_count": 0}), shown
 
@@ -77,9 +78,10 @@ def format_text(results: Sequence[dict], findings: Sequence[dict], threshold: st
         own = sorted((f for f in findings if f["doc_id"] == r["doc_id"]), key=lambda f: (f["group_nth"], f["nth"]))
         for name in dict.fromkeys(f["grp"] for f in own):
             group = [f for f in own if f["grp"] == name]
-            body += [f"  {name}", *_rows(group, name == V.LEXICAL_GROUP)]
-            if group[0]["omitted"]:
-                body.append(f"    …and {group[0]['omitted']} more (use --json for the full list)")
+            shown = group[: V.LEXICAL_CAP] if name == V.LEXICAL_GROUP else group
+            body += [f"  {name}", *_rows(shown, name == V.LEXICAL_GROUP)]
+            if len(group) > len(shown):
+                body.append(f"    …and {len(group) - len(shown)} more (use --json for the full list)")
             body.append("")
         if r["word_count"] >= V.RELIABLE_WORDS:
             body.append(f"  strengths  specificity {r['specificity']:.1f}/1k · concrete:abstract {r['concrete_abstract']:.2f} · burstiness {r['burstiness']:.2f}")

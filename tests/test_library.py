@@ -145,3 +145,15 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.read.parquet(f"{tmp_path}/voices/0").head().sample_count == 6
+
+
+def test_json_report_has_every_lexical_finding(spark, tmp_path):
+    terms = [f"{a}{b}rope" for a in "bdfgk" for b in "aeiou"]
+    (tmp_path / "many.md").write_text(". ".join(f"The {t} holds" for t in terms) + ".\n")
+    lexicon = L.Lexicon.of(L.builtin_entries(), terms)
+    found = json.loads(report.run(spark, [f"{tmp_path}/*.md"], lexicon, as_json=True)[0])["files"][0]
+    lexical = [f for f in found["findings"] if f["grp"] == V.LEXICAL_GROUP]
+    assert len(found["findings"]) == found["finding_count"] and len(lexical) > V.LEXICAL_CAP
+    text = report.run(spark, [f"{tmp_path}/*.md"], lexicon)[0]
+    assert f"…and {len(lexical) - V.LEXICAL_CAP} more (use --json for the full list)" in text
+    assert sum(f"  {f['term']} " in text for f in lexical) <= V.LEXICAL_CAP
