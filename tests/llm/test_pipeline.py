@@ -104,3 +104,13 @@ def test_empty_table(spark):
     for _, stage in P.STAGES:
         d = stage(spark, d, SF)
     assert d.collect() == []
+
+
+def test_near_copies_equal_exact_similarity(spark):
+    from .test_simhash import jaccard_components
+
+    d = P.exact_copies(spark, P.language_id(spark, read_table(spark, "/root/testdata/sf0.01", "documents"), SF), SF)
+    rows = [(r.doc_id, r.text) for r in d.collect()]
+    want = jaccard_components(rows, P.NEAR_SIMILARITY, P.NEAR_SHINGLE)
+    assert any(i != c for i, c in want.items())
+    assert sorted(r.doc_id for r in P.near_copies(spark, d, SF).collect()) == sorted(i for i, c in want.items() if i == c)
