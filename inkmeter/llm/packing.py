@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import bisect
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -28,6 +29,9 @@ BLOCKS = 128
 
 # Fixed value: the splitting pattern of the byte-level pre-tokenizer.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: A run of white space longer than this goes to the tokenizer itself: the faster splitter's pattern backtracks.
+LONG_RUN = 20_000
+_long_run = re.compile(rf"\s{{{LONG_RUN}}}")
 _loaded: dict = {}
 
 
@@ -35,7 +39,8 @@ class TextIds:
     """Token ids of whole texts as little-endian 32-bit bytes.
 
     Where the vocabulary is a byte-level one whose ids are its merge ranks, a faster merge loop over the same
-    vocabulary gives the same ids; else, and in texts where an added token occurs, the tokenizer itself does.
+    vocabulary gives the same ids; else, in texts where an added token or a very long run of white space occurs, and
+    where the faster splitter gives up on a text, the tokenizer itself does.
     """
 
     def __init__(self, tokenizer_path: str):
@@ -70,9 +75,13 @@ class TextIds:
         return _loaded[path]
 
     def encode(self, text: str) -> bytes:
-        if self.core is None or any(t in text for t in self.added):
-            return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        return np.asarray(self.core.encode_ordinary(text), "<u4").tobytes()
+        if self.core is not None and not any(t in text for t in self.added) and not _long_run.search(text):
+            try:
+                return np.asarray(self.core.encode_ordinary(text), "<u4").tobytes()
+            except BaseException as e:  # the splitter's stack overflow arrives as a panic, which is no Exception
+                if type(e).__name__ != "PanicException":
+                    raise
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 def cut(docs: DataFrame, tokenizer_path: str, end_id: int, width: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

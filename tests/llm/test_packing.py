@@ -26,6 +26,33 @@ def test_fast_ids_equal_the_tokenizer(ids):
         assert np.frombuffer(enc.encode(t), "<u4").tolist() == ids(t)[:-1], t
 
 
+RUNS = {"spaces": " " * 2_000_000, "lines": "\n" * 2_000_000, "word": "ab" * 1_000_000, "short of the bound": " \n" * (packing.LONG_RUN // 2 - 1) + "x", "over it": "y" + "\t" * (packing.LONG_RUN + 1) + "x  z"}
+
+
+@pytest.mark.parametrize("name", RUNS)
+def test_long_runs_have_the_tokenizers_ids(ids, name):
+    assert np.frombuffer(packing.TextIds.load(tokenizer_path()).encode(RUNS[name]), "<u4").tolist() == ids(RUNS[name])[:-1]
+
+
+def test_a_splitter_that_gives_up_is_replaced(ids):
+    enc, text = packing.TextIds(tokenizer_path()), "a " * 10
+
+    class PanicException(BaseException):
+        pass
+
+    class Broken:
+        def encode_ordinary(self, text):
+            raise PanicException
+
+    enc.core = Broken()
+    assert np.frombuffer(enc.encode(text), "<u4").tolist() == ids(text)[:-1]
+
+
+def test_packs_very_long_texts(spark, ids):
+    rows = [(k, t, "en", "s") for k, t in enumerate(RUNS.values())]
+    check(packing.pack(docs(spark, rows), tokenizer_path(), END_ID, WIDTH).collect(), rows, ids)
+
+
 def check(got, rows, ids):
     """Every id once, in order; sequences without gaps or overlaps, none too long."""
     want = {}
