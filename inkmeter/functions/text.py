@@ -6,6 +6,7 @@ into Java's by ``java``; ``re2`` gives the form for an engine without lookaround
 
 from __future__ import annotations
 
+import functools
 import re
 
 from pyspark.sql import Column
@@ -16,7 +17,50 @@ from . import fixed as V
 #: White space as the reference dialect has it, as members of a character class.
 WS_MEMBERS = r"\t\n\x0B\f\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 WS, NOT_WS = f"[{WS_MEMBERS}]", f"[^{WS_MEMBERS}]"
+#: The same characters, for native trimming.
+WS_CHARS = "\t\n\x0b\f\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 BOUNDARY = r"(?:(?<!\w)(?=\w)|(?<=\w)(?!\w))"  # ASCII word characters only
+BEFORE_WORD = r"(?<!\w)"  # the same where a word character follows in any case: one look back at each position
+
+
+def _atom_end(body: str, i: int) -> int:
+    """Where the atom of a pattern that starts at ``i`` ends: a character, an escape, a class or a group."""
+    if body[i] == "\\":
+        return i + 2
+    if body[i] == "[":
+        i += 1 + (body[i + 1] == "^")
+        while body[i] != "]":
+            i += 1 + (body[i] == "\\")
+        return i + 1
+    if body[i] != "(":
+        return i + 1
+    i += 1
+    while body[i] != ")":
+        i = _atom_end(body, i)
+    return i + 1
+
+
+def word_first(body: str) -> bool:
+    """Whether every match of a pattern's rest surely begins with a word character; False where unsure."""
+    if not body:
+        return False
+    end = _atom_end(body, 0)
+    if body[end : end + 1] in ("?", "*") or body[end : end + 2] == "{0":
+        return False
+    if body[0] == "\\":
+        return body[1] in "wd"
+    if body[0] != "(":
+        return re.fullmatch(r"\w", body[0], re.A) is not None
+    if body[1] == "?" and body[2] != ":":
+        return False
+    at, start, parts = (3 if body[1] == "?" else 1), 3 if body[1] == "?" else 1, []
+    while body[at] != ")":
+        if body[at] == "|":
+            parts.append(body[start:at])
+            at = start = at + 1
+        else:
+            at = _atom_end(body, at)
+    return all(map(word_first, [*parts, body[start:at]]))
 
 
 def java(pattern: str) -> str:
@@ -35,7 +79,7 @@ def java(pattern: str) -> str:
             elif two == r"\S":
                 out.append(NOT_WS)
             elif two == r"\b":
-                out.append(BOUNDARY)
+                out.append(BEFORE_WORD if word_first(body[i:]) else BOUNDARY)
             else:
                 out.append(two)
             continue
@@ -71,7 +115,12 @@ def nearest(x: Column) -> Column:
 
 
 def trim(x: Column) -> Column:
-    return F.regexp_replace(x, f"^{WS}+|{WS}+\\z", "")
+    return F.btrim(x, F.lit(WS_CHARS))
+
+
+def occurrences(text: Column, character: str) -> Column:
+    """How often one character occurs."""
+    return F.length(text) - F.length(F.replace(text, F.lit(character), F.lit("")))
 
 
 def blank(m: Column) -> Column:
@@ -87,8 +136,9 @@ def replace_each(text: Column, pattern: str, change) -> Column:
 
 def strip_code(text: Column) -> Column:
     """Fenced blocks, then inline spans, blanked in place; line breaks and the length stay."""
-    fenced = replace_each(text, r"(?s)```.*?```|~~~.*?~~~", blank)
-    return replace_each(fenced, r"`[^`\n]+`", blank)
+    has = lambda t, *marks: functools.reduce(lambda a, b: a | b, [F.contains(t, F.lit(m)) for m in marks])
+    fenced = F.when(has(text, "```", "~~~"), replace_each(text, r"(?s)```.*?```|~~~.*?~~~", blank)).otherwise(text)
+    return F.when(has(text, "`"), replace_each(fenced, r"`[^`\n]+`", blank)).otherwise(fenced)
 
 
 def sanitize(text: Column) -> Column:
@@ -104,7 +154,12 @@ def ws_words(text: Column) -> Column:
 
 
 def ws_word_count(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(f"{NOT_WS}+"))
+    return F.regexp_count(text, F.lit(f"{NOT_WS}++"))
+
+
+def even_word_count(line: Column) -> Column:
+    """Words of a trimmed line whose white space is single spaces."""
+    return F.when(line == "", F.lit(0)).otherwise(occurrences(line, " ") + 1)
 
 
 def alpha_words(text: Column) -> Column:
@@ -126,17 +181,27 @@ def opener(text: Column, n: int = V.OPENER_WORDS) -> Column:
 
 
 # splitters
+#: The scan's matches in linear time: what closes no sentence is passed over as a whole, with an empty group.
+SCAN = f"([^.!?]++(?:[.!?]++(?:{WS}++|\\z)|\\z))|[^.!?]++[.!?]++"
+#: White space that isn't a lone space already.
+UNEVEN_SPACE = f" {WS}++|[{WS_MEMBERS.replace(' ', '')}]{WS}*+"
+
+
 def sentences_scan(text: Column) -> Column:
     """By a scan for closed sentences; text between a lone mark and what follows it is lost, as defined."""
-    parts = F.transform(F.regexp_extract_all(text, rx(V.SENTENCE_SCAN), F.lit(0)), trim)
+    parts = F.transform(F.regexp_extract_all(text, F.lit(SCAN), F.lit(1)), trim)
     return F.filter(parts, lambda s: s != "")
 
 
+def sentence_count(trimmed: Column) -> Column:
+    """How many sentences the scan finds in a trimmed text: a lone mark's stretch, the third kind of match, is none."""
+    return F.size(F.array_remove(F.regexp_extract_all(trimmed, F.lit(SCAN), F.lit(1)), ""))
+
+
 def sentences_boundary(text: Column) -> Column:
-    """By white space after a closing mark and before a capital, digit or quote."""
-    one_line = F.regexp_replace(text, f"{WS}+", " ")
-    parts = F.transform(F.split(one_line, r"(?<=[.!?]) +(?=[A-Z0-9\"'])", -1), trim)
-    return F.filter(parts, lambda s: s != "")
+    """By white space after a closing mark and before a capital, digit or quote; white space within is one space."""
+    one_line = trim(F.regexp_replace(text, UNEVEN_SPACE, " "))
+    return F.when(one_line == "", F.array().cast("array<string>")).otherwise(F.split(one_line, r"(?<=[.!?]) (?=[A-Z0-9\"'])", -1))
 
 
 def paragraphs(text: Column, delimiter: str = r"\n\s*\n") -> Column:
@@ -149,8 +214,12 @@ def total(a: Column) -> Column:
     return F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x)
 
 
-def squares(a: Column) -> Column:
-    return F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x.cast("long") * x)
+def moments(a: Column) -> Column:
+    """n, s, s2: number, sum and sum of squares, in one pass."""
+    long = lambda x: x.cast("long")
+    zero = F.struct(long(F.lit(0)).alias("s"), long(F.lit(0)).alias("s2"))
+    add = lambda m, x: F.struct((m["s"] + x).alias("s"), (m["s2"] + long(x) * x).alias("s2"))
+    return F.aggregate(a, zero, add, lambda m: F.struct(long(F.size(a)).alias("n"), m["s"].alias("s"), m["s2"].alias("s2")))
 
 
 def deviation(n: Column, s: Column, s2: Column) -> Column:
@@ -165,12 +234,18 @@ def variation(n: Column, s: Column, s2: Column) -> Column:
 
 # spans
 def spans(text: Column, pattern: Column) -> Column:
-    """start and end, in code points from 0, of every match."""
+    """start and end, in code points from 0, of every match; one pass over the matches."""
     found = F.transform(F.regexp_extract_all(text, pattern, F.lit(0)), F.length)
     between = F.transform(F.split(text, pattern, -1), F.length)
-    start = lambda i: total(F.slice(between, 1, i + 1)) + total(F.slice(found, 1, i))
-    index = F.when(F.size(found) > 0, F.sequence(F.lit(0), F.size(found) - 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(index, lambda i: F.struct(start(i).cast("int").alias("start"), (start(i) + F.get(found, i)).cast("int").alias("end")))
+    steps = F.arrays_zip(F.slice(between, 1, F.size(found)).alias("gap"), found.alias("size"))
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    begun = F.struct(F.lit(0).alias("at"), none.alias("out"))
+
+    def add(a, x):
+        at = a["at"] + x["gap"]
+        return F.struct((at + x["size"]).alias("at"), F.array_append(a["out"], F.struct(at.alias("start"), (at + x["size"]).alias("end"))).alias("out"))
+
+    return F.aggregate(steps, begun, add, lambda a: a["out"])
 
 
 def sentence_start(text: Column, at: Column) -> Column:
@@ -180,12 +255,11 @@ def sentence_start(text: Column, at: Column) -> Column:
 
 
 def line_of(text: Column, at: Column) -> Column:
-    return (F.lit(1) + F.length(F.regexp_replace(F.substring(text, F.lit(1), at), r"[^\n]", ""))).cast("int")
+    return (F.lit(1) + occurrences(F.substring(text, F.lit(1), at), "\n")).cast("int")
 
 
 def column_of(text: Column, at: Column) -> Column:
-    before = F.substring(text, F.lit(1), at)
-    return (F.length(before) - F.length(F.regexp_extract(before, r"(?s)^(.*\n)?", 0)) + 1).cast("int")
+    return (F.length(F.substring_index(F.substring(text, F.lit(1), at), "\n", -1)) + 1).cast("int")
 
 
 def quote(term: str) -> str:

@@ -6,6 +6,7 @@ rows of a table of a few thousand. Phrases and patterns are foldable regular exp
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, replace
@@ -32,16 +33,15 @@ GATES = {
 def pattern_counts(text: Column, low: Column, rows: Sequence[tuple]) -> Column:
     """An array of (key, count) of the patterns that match. rows: (key, pattern, literals or None).
 
-    Patterns with literals are elements of one constant array, tried only where ``low``, the text in lower case,
-    has one of them, so the plan stays small however many there are; the others are foldable expressions.
+    Every pattern is a literal, compiled once a task. One with literals is tried only where ``low``, the text in
+    lower case, has one of them.
     """
-    gated = [F.struct(F.lit(k).alias("key"), F.lit(X.java(p)).alias("rx"), F.array(*[F.lit(x) for x in needs]).alias("needs")) for k, p, needs in rows if needs]
-    free = [F.struct(F.lit(k).alias("key"), F.regexp_count(text, X.rx(p)).cast("long").alias("count")) for k, p, needs in rows if not needs]
-    parts = [F.array(*free)] if free else []
-    if gated:
-        near = F.filter(F.array(*gated), lambda g: F.exists(g["needs"], lambda x: F.contains(low, x)))
-        parts.append(F.transform(near, lambda g: F.struct(g["key"].alias("key"), F.regexp_count(text, g["rx"]).cast("long").alias("count"))))
-    return F.filter(F.concat(*parts) if len(parts) > 1 else parts[0], lambda c: c["count"] > 0)
+    def count(pattern: str, needs: Sequence[str] | None) -> Column:
+        n = F.regexp_count(text, X.rx(pattern)).cast("long")
+        return F.when(functools.reduce(lambda a, b: a | b, [F.contains(low, F.lit(x)) for x in needs]), n).otherwise(F.lit(0).cast("long")) if needs else n
+
+    found = F.array(*[F.struct(F.lit(k).alias("key"), count(p, needs).alias("count")) for k, p, needs in rows])
+    return F.filter(found, lambda c: c["count"] > 0)
 
 
 _INFLECTABLE = re.compile(r"[A-Za-z]{3,}")
@@ -186,9 +186,10 @@ class Lexicon:
         return phrase_pattern(e.term)
 
 
-def _suppressed(e: Entry, register: Column) -> Column:
-    regs = [r for r, ids in V.DETECTOR_SUPPRESSIONS.items() if e.id in ids] + [r for r, terms in V.TERM_SUPPRESSIONS.items() if e.key in terms]
-    return F.coalesce(register.isin(*regs), F.lit(False)) if regs else F.lit(False)
+def suppressed_in(e: Entry) -> list[str]:
+    """The registers that don't count an entry."""
+    by_id = [r for r, ids in V.DETECTOR_SUPPRESSIONS.items() if e.id in ids]
+    return list(dict.fromkeys(by_id + [r for r, terms in V.TERM_SUPPRESSIONS.items() if e.key in terms]))
 
 
 def entry_table(spark: SparkSession, lexicon: Lexicon) -> DataFrame:
@@ -200,13 +201,23 @@ def entry_table(spark: SparkSession, lexicon: Lexicon) -> DataFrame:
 
 
 def token_rows(docs: DataFrame, id_col: str, text_col: str, *keep: str) -> DataFrame:
-    """id, keep, raw, token, opens: maximal runs of word characters; opens: at a sentence's start."""
+    """id, keep, raw, token, gap, pos: maximal runs of word characters, and what stands before each."""
     t = F.coalesce(F.col(text_col), F.lit(""))
     pieces = F.arrays_zip(F.regexp_extract_all(t, F.lit(r"\w+"), F.lit(0)).alias("raw"), F.slice(F.split(t, r"\w+", -1), 1, 1 << 30).alias("gap"))
     rows = docs.select(id_col, *keep, F.posexplode(pieces).alias("pos", "x")).filter(F.col("x.raw").isNotNull())
-    gap = F.regexp_replace(F.col("x.gap"), f"{X.WS}+\\z", "")
-    opens = F.when(gap == "", F.col("pos") == 0).otherwise(F.substring(gap, -1, 1).isin(".", "!", "?"))
-    return rows.select(id_col, *keep, F.col("x.raw").alias("raw"), F.lower("x.raw").alias("token"), opens.alias("opens"))
+    return rows.select(id_col, *keep, F.col("x.raw").alias("raw"), F.lower("x.raw").alias("token"), F.col("x.gap").alias("gap"), "pos")
+
+
+def opens_sentence(gap: Column, pos: Column) -> Column:
+    """Whether a token stands at a sentence's start, by the gap before it; worked out for hits only."""
+    rest = F.rtrim(gap, F.lit(X.WS_CHARS))
+    return F.when(rest == "", pos == 0).otherwise(F.substring(rest, -1, 1).isin(".", "!", "?"))
+
+
+def _small(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A dimension table from the driver; broadcast up to ``BROADCAST_FORMS`` rows, else the planner decides."""
+    table = spark.createDataFrame(rows, schema)
+    return F.broadcast(table) if len(rows) <= BROADCAST_FORMS else table
 
 
 def match_counts(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: str = "text", register_col: str | None = None) -> DataFrame:
@@ -215,60 +226,56 @@ def match_counts(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text
     A single word that stands capitalised within a sentence is taken as a name and doesn't count.
     """
     spark = docs.sparkSession
-    entries = lexicon.resolved()
-    reg = F.col(register_col) if register_col else F.lit(None).cast("string")
+    off = _not_in_force(lexicon, lexicon.resolved())
+    never = {n for r, n in off if r == "*"}
+    entries = [e for e in lexicon.resolved() if e.ord not in never]
+    reg = F.when(F.col(register_col).isin(*V.REGISTERS), F.col(register_col)).otherwise(F.lit("")) if register_col else F.lit("")
     d = docs.select(F.col(id_col), F.col(text_col), reg.alias("_register"))
     words, others = [e for e in entries if e.is_word], [e for e in entries if not e.is_word]
     out = None
     if words:
         forms = [(f, e.ord, e.may_be_name) for e in words for f in lexicon.forms(e)]
-        table = spark.createDataFrame(forms, "token string, ord int, may_be_name boolean")
-        tokens = token_rows(d, id_col, text_col)
-        hits = tokens.join(F.broadcast(table) if len(forms) <= BROADCAST_FORMS else table, "token")
-        name = F.col("may_be_name") & F.col("raw").rlike("^[A-Z]") & ~F.col("opens")
-        out = hits.filter(~name).groupBy(id_col, "ord").agg(F.count(F.lit(1)).alias("count"))
+        hits = token_rows(d, id_col, text_col, "_register").join(_small(spark, forms, "token string, ord int, may_be_name boolean"), "token")
+        name = F.col("may_be_name") & F.col("raw").rlike("^[A-Z]") & ~opens_sentence(F.col("gap"), F.col("pos"))
+        out = hits.filter(~name).groupBy(id_col, "_register", "ord").agg(F.count(F.lit(1)).alias("count"))
     if others:
         gate = lambda e: GATES.get(e.id) if e.pattern is not None else (e.term.lower(),)
-        t = d.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("_t")).withColumn("_low", F.lower("_t"))
+        t = d.select(id_col, "_register", F.coalesce(F.col(text_col), F.lit("")).alias("_t")).withColumn("_low", F.lower("_t"))
         found = pattern_counts(F.col("_t"), F.col("_low"), [(e.ord, lexicon.pattern(e), gate(e)) for e in others])
-        p = t.select(id_col, F.explode(found).alias("x")).select(id_col, F.col("x.key").alias("ord"), F.col("x.count").alias("count"))
+        p = t.select(id_col, "_register", F.explode(found).alias("x")).select(id_col, "_register", F.col("x.key").alias("ord"), F.col("x.count").alias("count"))
         out = p if out is None else out.unionByName(p)
     if out is None:
         return d.select(id_col, F.lit(0).alias("ord"), F.lit(0).cast("long").alias("count")).limit(0)
-    off = _not_in_force(lexicon, entries, register_col)
-    if off is None:
-        return out
-    if register_col:
-        out = out.join(d.select(F.col(id_col), F.col("_register")), id_col)
-    return out.filter(~off).select(id_col, "ord", "count")
-
-
-def _not_in_force(lexicon: Lexicon, entries: list[Entry], register_col: str | None) -> Column | None:
-    """Whether a row's entry is suppressed by its register or gives way to another one with the same term."""
-    reg = F.col("_register") if register_col else F.lit(None).cast("string")
-    twins, off = lexicon.twins(), None
-    upgraded = {e.key for e in entries if e.custom}
+    rules = [x for x in off if x[0] != "*" and (register_col or x[0] == "")]
+    if rules:
+        r = _small(spark, rules, "_in string, _off int")
+        out = out.join(r, (F.col("_register") == F.col("_in")) & (F.col("ord") == F.col("_off")), "left_anti")
+    return out.select(id_col, "ord", "count")
+
+
+def _not_in_force(lexicon: Lexicon, entries: list[Entry]) -> list[tuple[str, int]]:
+    """(register, or * for any, and ord) of entries that are suppressed or give way to another with the same term."""
+    twins, custom = lexicon.twins(), {e.key for e in entries if e.custom}
+    every = (*V.REGISTERS, "")  # the empty one: a document without a register
+    out: list[tuple[str, int]] = []
     for e in entries:
-        cond = None
-        if e.custom and (twin := twins.get(e.key)) is not None and twin.confidence == "red":
-            cond = ~_suppressed(twin, reg) if register_col else F.lit(True)
-        elif not e.custom:
-            if e.key in upgraded and twins[e.key].confidence != "red":
-                cond = F.lit(True)
-            elif register_col:
-                regs = [r for r, ids in V.DETECTOR_SUPPRESSIONS.items() if e.id in ids] + [r for r, terms in V.TERM_SUPPRESSIONS.items() if e.key in terms]
-                if regs:
-                    cond = _suppressed(e, reg)
-        if cond is not None:
-            term = (F.col("ord") == e.ord) & cond
-            off = term if off is None else off | term
-    return off
+        if e.custom:
+            twin = twins.get(e.key)
+            if twin is not None and twin.confidence == "red":  # the built-in entry says it, where it is in force
+                hidden = suppressed_in(twin)
+                out += [("*", e.ord)] if not hidden else [(r, e.ord) for r in every if r not in hidden]
+        elif e.key in custom and twins[e.key].confidence != "red":
+            out.append(("*", e.ord))
+        else:
+            out += [(r, e.ord) for r in suppressed_in(e)]
+    return out
 
 
 def findings(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: str = "text", register_col: str | None = None) -> DataFrame:
     """One row per document and entry that matched, with the entry's columns, count and scored."""
     counts = match_counts(docs, lexicon, id_col, text_col, register_col)
-    f = counts.join(F.broadcast(entry_table(docs.sparkSession, lexicon)), "ord")
+    table = entry_table(docs.sparkSession, lexicon)
+    f = counts.join(F.broadcast(table) if len(lexicon.entries) <= BROADCAST_FORMS else table, "ord")
     return f.withColumn("scored", (F.col("confidence") == "red") | (F.col("count") >= V.OVERUSE))
 
 

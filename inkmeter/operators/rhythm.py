@@ -12,14 +12,15 @@ from .stats import text_stats
 
 def metrics(docs: DataFrame, text_col: str = "text", paragraph: str = r"\n\s*\n") -> DataFrame:
     """``docs`` with paragraph_count, sentence_count, total_words, paragraph_cv, sentence_cv, avg_sentence_words and the lengths."""
-    d = docs.withColumn("_ps", F.transform(X.paragraphs(F.coalesce(F.col(text_col), F.lit("")), paragraph), X.sentences_boundary))
-    d = d.withColumn("paragraph_lengths", F.transform("_ps", F.size)).withColumn("sentence_lengths", F.transform(F.flatten("_ps"), X.ws_word_count))
-    for c, a in (("_p", "paragraph_lengths"), ("_s", "sentence_lengths")):
-        d = d.withColumn(f"{c}n", F.size(a).cast("long")).withColumn(f"{c}1", X.total(F.col(a))).withColumn(f"{c}2", X.squares(F.col(a)))
+    d = docs.withColumn("_pars", X.paragraphs(F.coalesce(F.col(text_col), F.lit("")), paragraph))
+    d = d.withColumn("_ps", F.transform("_pars", X.sentences_boundary))
+    d = d.withColumn("paragraph_lengths", F.transform("_ps", F.size)).withColumn("sentence_lengths", F.transform(F.flatten("_ps"), X.even_word_count))
+    d = d.withColumn("_p", X.moments(F.col("paragraph_lengths"))).withColumn("_s", X.moments(F.col("sentence_lengths")))
+    p, s = F.col("_p"), F.col("_s")
     return d.select(
-        *docs.columns, F.col("_pn").alias("paragraph_count"), F.col("_sn").alias("piece_sentences"), F.col("_s1").alias("total_words"),
-        X.variation(F.col("_pn"), F.col("_p1"), F.col("_p2")).alias("paragraph_cv"), X.variation(F.col("_sn"), F.col("_s1"), F.col("_s2")).alias("sentence_cv"),
-        F.when(F.col("_sn") > 0, F.col("_s1") / F.col("_sn")).otherwise(F.lit(0.0)).alias("avg_sentence_words"), "paragraph_lengths", "sentence_lengths", F.col("_ps").alias("paragraph_sentences"),
+        *docs.columns, p["n"].alias("paragraph_count"), s["n"].alias("piece_sentences"), s["s"].alias("total_words"),
+        X.variation(p["n"], p["s"], p["s2"]).alias("paragraph_cv"), X.variation(s["n"], s["s"], s["s2"]).alias("sentence_cv"),
+        F.when(s["n"] > 0, s["s"] / s["n"]).otherwise(F.lit(0.0)).alias("avg_sentence_words"), "paragraph_lengths", "sentence_lengths", F.col("_ps").alias("paragraph_sentences"), F.col("_pars").alias("paragraphs"),
     )
 
 
@@ -43,19 +44,20 @@ def rhythm_flags(docs: DataFrame, text_col: str = "text", register_col: str = "r
     """``docs`` with the metrics, fragment_z, entropy_z, ordinal_paragraphs and one boolean per detector."""
     reg = F.col(register_col)
     stats = text_stats(docs, text_col, paragraph)
-    d = metrics(stats.select(*docs.columns, "fragment_rate", "structural_entropy"), text_col, paragraph)
+    d = stats.select(*docs.columns, "fragment_rate", "structural_entropy")
+    if "paragraph_sentences" not in docs.columns:
+        d = metrics(d, text_col, paragraph)
     base = baseline(reg, 0, 0).isNotNull()
     d = d.withColumn("fragment_z", z_score(F.col("fragment_rate"), reg, 2)).withColumn("entropy_z", z_score(F.col("structural_entropy"), reg, 3))
     announced = F.exists(
         "paragraph_sentences",
-        lambda p: (F.size(p) == 1) & (X.ws_word_count(F.get(p, F.lit(0))) <= V.ENUMERATION_WORDS) & F.get(p, F.lit(0)).rlike(X.java(V.ENUMERATION)) & F.get(p, F.lit(0)).rlike(X.java(V.SELF_REFERENCE)),
+        lambda p: (F.size(p) == 1) & (X.even_word_count(F.get(p, F.lit(0))) <= V.ENUMERATION_WORDS) & F.get(p, F.lit(0)).rlike(X.java(V.ENUMERATION)) & F.get(p, F.lit(0)).rlike(X.java(V.SELF_REFERENCE)),
     )
-    pars = X.paragraphs(F.coalesce(F.col(text_col), F.lit("")), paragraph)
-    scaffold = F.zip_with(pars, "paragraph_sentences", lambda p, s: p.rlike(X.java(V.ORDINAL_OPENER)) | F.coalesce(F.get(s, F.lit(0)).rlike(X.java(V.LABEL_FRAGMENT)), F.lit(False)))
+    scaffold = F.zip_with("paragraphs", "paragraph_sentences", lambda p, s: p.rlike(X.java(V.ORDINAL_OPENER)) | F.coalesce(F.get(s, F.lit(0)).rlike(X.java(V.LABEL_FRAGMENT)), F.lit(False)))
     d = d.withColumn("ordinal_paragraphs", F.size(F.filter(scaffold, lambda x: x)))
     long = F.col("total_words") >= V.STRUCTURE_WORDS
     return d.select(
-        *docs.columns, "paragraph_count", "piece_sentences", "total_words", "paragraph_cv", "sentence_cv", "avg_sentence_words", "fragment_z", "entropy_z", "ordinal_paragraphs",
+        *[c for c in docs.columns if c not in METRICS], "paragraph_count", "piece_sentences", "total_words", "paragraph_cv", "sentence_cv", "avg_sentence_words", "fragment_z", "entropy_z", "ordinal_paragraphs",
         ((F.col("paragraph_count") >= 4) & (F.col("paragraph_cv") < _threshold(reg, 1))).alias("uniform_paragraphs"),
         ((F.col("piece_sentences") >= 8) & (F.col("sentence_cv") < _threshold(reg, 0))).alias("low_burstiness"),
         F.coalesce(base & (F.col("piece_sentences") >= 8) & ((F.col("fragment_z") <= -V.DRIFT_Z) | (F.col("entropy_z") >= V.DRIFT_Z)), F.lit(False)).alias("register_drift"),
@@ -64,6 +66,8 @@ def rhythm_flags(docs: DataFrame, text_col: str = "text", register_col: str = "r
     )
 
 
+#: What ``metrics`` adds.
+METRICS = ("paragraph_count", "piece_sentences", "total_words", "paragraph_cv", "sentence_cv", "avg_sentence_words", "paragraph_lengths", "sentence_lengths", "paragraph_sentences", "paragraphs")
 FLAGS = ("uniform_paragraphs", "low_burstiness", "register_drift", "announced_enumeration", "ordinal_scaffold")
 #: flag: (id, name, confidence, severity)
 FINDINGS = {
@@ -107,14 +111,17 @@ def rhythm_findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return flags.select(id_col, F.explode(F.array_compact(F.array(*rows))).alias("f")).select(id_col, "f.*")
 
 
-def strengths(docs: DataFrame, text_col: str = "text", paragraph: str = r"\n\s*\n") -> DataFrame:
-    """``docs`` with specificity, concrete_abstract, burstiness, strong_signals and notes."""
+def strengths(docs: DataFrame, text_col: str = "text", paragraph: str = r"\n\s*\n", keep_metrics: bool = False) -> DataFrame:
+    """``docs`` with specificity, concrete_abstract, burstiness, strong_signals and notes, and the metrics if asked for.
+
+    Words are runs between spaces without all but letters, apostrophes and hyphens, read off one string that has a
+    sentence a line: a name is a capital after a space, an abstract noun a word's end after three letters or more.
+    """
     d = metrics(docs, text_col, paragraph)
     t = F.coalesce(F.col(text_col), F.lit(""))
-    clean = F.transform(F.flatten("paragraph_sentences"), lambda s: F.transform(X.ws_words(s), lambda w: F.regexp_replace(w, "[^A-Za-z'-]", "")))
-    d = d.withColumn("_c", clean)
-    names = X.total(F.transform("_c", lambda ws: F.size(F.filter(ws, lambda w, i: (i > 0) & w.rlike(r"^[A-Z][A-Za-z'-]*\z")))))
-    abstract = X.total(F.transform("_c", lambda ws: F.size(F.filter(ws, lambda w: F.lower(w).rlike("^[a-z'-]{3,}(" + "|".join(V.ABSTRACT_SUFFIXES) + r")\z")))))
+    d = d.withColumn("_c", F.regexp_replace(F.array_join(F.flatten("paragraph_sentences"), "\n"), r"[^A-Za-z'\n -]+", ""))
+    names = F.regexp_count(F.col("_c"), F.lit("(?<= )[A-Z]"))
+    abstract = F.regexp_count(F.col("_c"), F.lit("(?i)(?<=[a-z'-]{3})(?:" + "|".join(V.ABSTRACT_SUFFIXES) + r")(?=[ \n]|\z)"))
     d = d.withColumn("_hits", names + F.regexp_count(t, X.rx(V.NUMERAL))).withColumn("_abs", abstract)
     d = d.withColumn("specificity", X.fixed(F.col("_hits") / X.alnum_count(t) * 1000, 1)).withColumn("concrete_abstract", X.fixed(F.col("_hits") / F.greatest(F.lit(1), F.col("_abs")), 2))
     strong = [F.col("specificity") >= V.STRONG_SPECIFICITY, F.col("concrete_abstract") >= V.STRONG_RATIO, F.col("sentence_cv") >= V.STRONG_BURSTINESS]
@@ -124,4 +131,5 @@ def strengths(docs: DataFrame, text_col: str = "text", paragraph: str = r"\n\s*\
         "Real sentence-rhythm variation, not a flattened, uniform cadence.",
     )
     notes = F.array_compact(F.array(*[F.when(s, F.lit(x)) for s, x in zip(strong, says, strict=True)]))
-    return d.select(*docs.columns, "specificity", "concrete_abstract", F.col("sentence_cv").alias("burstiness"), sum(s.cast("int") for s in strong).alias("strong_signals"), notes.alias("notes"))
+    more = METRICS if keep_metrics else ()
+    return d.select(*docs.columns, *more, "specificity", "concrete_abstract", F.col("sentence_cv").alias("burstiness"), sum(s.cast("int") for s in strong).alias("strong_signals"), notes.alias("notes"))

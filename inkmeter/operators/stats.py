@@ -28,29 +28,30 @@ def text_stats(docs: DataFrame, text_col: str = "text", paragraph: str = r"\n\s*
     t = F.coalesce(F.col(text_col), F.lit(""))
     d = docs.withColumn("_t", t).withColumn("_w", X.alpha_words(F.col("_t"))).withColumn("_s", X.sentences_scan(F.col("_t")))
     d = d.withColumn("_l", F.transform("_s", lambda s: F.regexp_count(s, F.lit(V.WORD))))
-    d = d.withColumn("_p", F.transform(X.paragraphs(F.col("_t"), paragraph), lambda p: F.greatest(F.lit(1), F.size(X.sentences_scan(p)))))
-    d = d.withColumn("_o", F.filter(F.transform("_s", lambda s: F.lower(F.regexp_extract(s, V.WORD, 0))), lambda w: w != ""))
-    for name, col in (("_l", "_l"), ("_p", "_p")):
-        d = d.withColumn(f"{name}n", F.size(col).cast("long")).withColumn(f"{name}1", X.total(F.col(col))).withColumn(f"{name}2", X.squares(F.col(col)))
-    n = F.greatest(F.lit(1), F.size("_w"))
-    d = d.withColumn("_n", n)
-    per = lambda pattern, scale: F.regexp_count(F.col("_t"), pattern) / F.col("_n") * scale
+    d = d.withColumn("_p", F.transform(X.paragraphs(F.col("_t"), paragraph), lambda p: F.greatest(F.lit(1), X.sentence_count(p))))
+    d = d.withColumn("_o", F.array_remove(F.transform("_s", lambda s: F.lower(F.regexp_extract(s, V.WORD, 0))), ""))
+    d = d.withColumn("_lm", X.moments(F.col("_l"))).withColumn("_pm", X.moments(F.col("_p")))
+    d = d.withColumn("_n", F.greatest(F.lit(1), F.size("_w")))
+    lengths, pars = F.col("_lm"), F.col("_pm")
+    per = lambda count, scale: count / F.col("_n") * scale
+    apostrophe = F.contains(F.col("_t"), F.lit("'")) | F.contains(F.col("_t"), F.lit("’"))
+    contractions = F.when(apostrophe, F.regexp_count(F.col("_t"), X.rx(V.CONTRACTION))).otherwise(F.lit(0))
     diversity = F.when(F.size("_o") < 2, F.lit(0.0)).otherwise(F.size(F.array_distinct("_o")) / F.size("_o"))
-    variety = sum((F.col("_t").contains(m).cast("int") for m in V.VARIETY_MARKS), F.lit(0)) / F.lit(len(V.VARIETY_MARKS))
+    variety = sum((F.contains(F.col("_t"), F.lit(m)).cast("int") for m in V.VARIETY_MARKS), F.lit(0)) / F.lit(len(V.VARIETY_MARKS))
     sentences = F.size("_s")
     values = {
-        "avg_sentence_length": _share(F.col("_l1"), F.col("_ln")),
-        "sentence_length_sd": X.deviation(F.col("_ln"), F.col("_l1"), F.col("_l2")),
-        "avg_paragraph_sentences": _share(F.col("_p1"), F.col("_pn")),
-        "paragraph_length_cv": F.when(F.col("_p1") > 0, X.deviation(F.col("_pn"), F.col("_p1"), F.col("_p2")) / (F.col("_p1") / F.col("_pn"))).otherwise(F.lit(0.0)),
-        "contraction_rate": per(X.rx(V.CONTRACTION), 100),
-        "em_dash_per_1000": per(F.lit("—"), 1000),
-        "semicolon_per_1000": per(F.lit(";"), 1000),
+        "avg_sentence_length": _share(lengths["s"], lengths["n"]),
+        "sentence_length_sd": X.deviation(lengths["n"], lengths["s"], lengths["s2"]),
+        "avg_paragraph_sentences": _share(pars["s"], pars["n"]),
+        "paragraph_length_cv": F.when(pars["s"] > 0, X.deviation(pars["n"], pars["s"], pars["s2"]) / (pars["s"] / pars["n"])).otherwise(F.lit(0.0)),
+        "contraction_rate": per(contractions, 100),
+        "em_dash_per_1000": per(X.occurrences(F.col("_t"), "—"), 1000),
+        "semicolon_per_1000": per(X.occurrences(F.col("_t"), ";"), 1000),
         "question_rate": _share(F.size(F.filter("_s", lambda s: s.endswith("?"))), sentences),
-        "avg_word_length": X.total(F.transform("_w", F.length)) / F.col("_n"),
+        "avg_word_length": F.length(F.array_join("_w", "")) / F.col("_n"),
         "fragment_rate": _share(F.size(F.filter("_l", lambda k: (k > 0) & (k <= 3))), sentences),
         "structural_entropy": (diversity + variety) / 2,
-        "relational_pronoun_rate": per(X.rx(V.RELATIONAL), 1000),
+        "relational_pronoun_rate": per(F.regexp_count(F.col("_t"), X.rx(V.RELATIONAL)), 1000),
     }
     return d.select(*docs.columns, F.col("_n").cast("long").alias("word_count"), sentences.cast("long").alias("sentence_count"), *[X.fixed(v, NUMERIC[k]).alias(k) for k, v in values.items()])
 

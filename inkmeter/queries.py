@@ -40,7 +40,7 @@ def query(sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return FI.spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def register_of(source: Column) -> Column:

@@ -12,6 +12,20 @@ from pyspark.sql import functions as F
 IGNORED = ("node_modules", ".git", "dist", ".next", ".turbo")
 
 
+#: Bytes that are worth a task of their own; a table that fills all cores with so much each is read as it lies.
+SPREAD_BYTES = 256 << 10
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table dealt to all cores: one row group is one task otherwise, however costly its texts are.
+
+    Decided by the size that the planner knows; beyond 64 times ``SPREAD_BYTES`` a core nothing is moved.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if size > 64 * SPREAD_BYTES * cores else df.repartition(max(1, min(cores, size // SPREAD_BYTES)))
+
+
 def glob_pattern(glob: str) -> str:
     """An anchored pattern: ``?`` one character and ``*`` a run of them within a name, ``**`` any run of folders."""
     out, i = "", 0
