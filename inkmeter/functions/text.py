@@ -20,7 +20,8 @@ WS, NOT_WS = f"[{WS_MEMBERS}]", f"[^{WS_MEMBERS}]"
 #: The same characters, for native trimming.
 WS_CHARS = "\t\n\x0b\f\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 BOUNDARY = r"(?:(?<!\w)(?=\w)|(?<=\w)(?!\w))"  # ASCII word characters only
-BEFORE_WORD = r"(?<!\w)"  # the same where a word character follows in any case: one look back at each position
+#: A run of anything else; visible ASCII characters, nearly all there are, are told by one look-up.
+WORD_RUN = f"(?:[!-~]++|{NOT_WS}++)++"
 
 
 def _atom_end(body: str, i: int) -> int:
@@ -40,35 +41,56 @@ def _atom_end(body: str, i: int) -> int:
     return i + 1
 
 
-def word_first(body: str) -> bool:
-    """Whether every match of a pattern's rest surely begins with a word character; False where unsure."""
+def _alternatives(body: str) -> list[str]:
+    """The alternatives of a pattern's outermost level, up to its end or an unmatched bracket."""
+    parts, start, at = [], 0, 0
+    while at < len(body) and body[at] != ")":
+        if body[at] == "|":
+            parts.append(body[start:at])
+            at = start = at + 1
+        else:
+            at = _atom_end(body, at)
+    return [*parts, body[start:at]]
+
+
+def first_words(body: str) -> set[str] | None:
+    """The word characters (or classes of them) with which a match can begin; None where it may begin otherwise."""
     if not body:
-        return False
+        return None
     end = _atom_end(body, 0)
     if body[end : end + 1] in ("?", "*") or body[end : end + 2] == "{0":
-        return False
+        return None
     if body[0] == "\\":
-        return body[1] in "wd"
+        return {body[:2]} if body[1] in "wd" else None
     if body[0] != "(":
-        return re.fullmatch(r"\w", body[0], re.A) is not None
+        return {body[0]} if re.fullmatch(r"\w", body[0], re.A) else None
     if body[1] == "?" and body[2] != ":":
-        return False
-    at, start, parts = (3 if body[1] == "?" else 1), 3 if body[1] == "?" else 1, []
-    while body[at] != ")":
-        if body[at] == "|":
-            parts.append(body[start:at])
-            at = start = at + 1
-        else:
-            at = _atom_end(body, at)
-    return all(map(word_first, [*parts, body[start:at]]))
+        return None
+    firsts = [first_words(x) for x in _alternatives(body[3 if body[1] == "?" else 1 :])]
+    return None if None in firsts else set().union(*firsts)
+
+
+def _lead(body: str) -> tuple[str, str]:
+    """What a match surely begins with, as a cheap test, and the rest of the pattern.
+
+    Where every alternative begins at a boundary before a word character, the boundary is one look back, tried only
+    before the characters that can follow.
+    """
+    parts = _alternatives(body)
+    if sum(map(len, parts)) + len(parts) - 1 != len(body):
+        return "", body
+    firsts = [first_words(x[2:]) if x.startswith("\\b") else None for x in parts]
+    if None in firsts:
+        return "", body
+    return f"(?=[{''.join(sorted(set().union(*firsts)))}])(?<!\\w)", "(?:" + "|".join(x[2:] for x in parts) + ")"
 
 
 def java(pattern: str) -> str:
     """A neutral pattern in Java's dialect: ASCII boundaries, Unicode white space, strict end of text."""
     m = re.match(r"\(\?([a-z]+)\)", pattern)
     flags = m.group(1) if m else ""
-    body = pattern[m.end() :] if m else pattern
-    out, i, in_class = [], 0, False
+    lead, body = _lead(pattern[m.end() :] if m else pattern)
+    out, i, in_class = [lead], 0, False
     while i < len(body):
         c = body[i]
         if c == "\\":
@@ -79,7 +101,7 @@ def java(pattern: str) -> str:
             elif two == r"\S":
                 out.append(NOT_WS)
             elif two == r"\b":
-                out.append(BEFORE_WORD if word_first(body[i:]) else BOUNDARY)
+                out.append(BOUNDARY)
             else:
                 out.append(two)
             continue
@@ -143,8 +165,16 @@ def strip_code(text: Column) -> Column:
 
 def sanitize(text: Column) -> Column:
     """Terminal escapes go, then control characters but tab and line ends."""
-    no_escapes = F.regexp_replace(text, r"\x1B\[[0-?]*[ -/]*[@-~]|\x1B\][^\x07\x1B]*(?:\x07|\x1B\\)?", "")
-    return F.regexp_replace(no_escapes, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F]", "")
+    for pattern in V.UNPRINTABLE:
+        text = F.regexp_replace(text, pattern, "")
+    return text
+
+
+def sanitize_plain(text: str) -> str:
+    """The same for one text on the driver."""
+    for pattern in V.UNPRINTABLE:
+        text = re.sub(pattern, "", text)
+    return text
 
 
 # tokenizers, each with its own use
@@ -154,7 +184,7 @@ def ws_words(text: Column) -> Column:
 
 
 def ws_word_count(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(f"{NOT_WS}++"))
+    return F.regexp_count(text, F.lit(WORD_RUN))
 
 
 def even_word_count(line: Column) -> Column:
@@ -184,7 +214,7 @@ def opener(text: Column, n: int = V.OPENER_WORDS) -> Column:
 #: The scan's matches in linear time: what closes no sentence is passed over as a whole, with an empty group.
 SCAN = f"([^.!?]++(?:[.!?]++(?:{WS}++|\\z)|\\z))|[^.!?]++[.!?]++"
 #: White space that isn't a lone space already.
-UNEVEN_SPACE = f" {WS}++|[{WS_MEMBERS.replace(' ', '')}]{WS}*+"
+UNEVEN_SPACE = f"(?![!-~])(?: {WS}++|[{WS_MEMBERS.replace(' ', '')}]{WS}*+)"
 
 
 def sentences_scan(text: Column) -> Column:
@@ -201,7 +231,7 @@ def sentence_count(trimmed: Column) -> Column:
 def sentences_boundary(text: Column) -> Column:
     """By white space after a closing mark and before a capital, digit or quote; white space within is one space."""
     one_line = trim(F.regexp_replace(text, UNEVEN_SPACE, " "))
-    return F.when(one_line == "", F.array().cast("array<string>")).otherwise(F.split(one_line, r"(?<=[.!?]) (?=[A-Z0-9\"'])", -1))
+    return F.when(one_line == "", F.array().cast("array<string>")).otherwise(F.split(one_line, r" (?<=[.!?] )(?=[A-Z0-9\"'])", -1))
 
 
 def paragraphs(text: Column, delimiter: str = r"\n\s*\n") -> Column:
@@ -262,6 +292,15 @@ def column_of(text: Column, at: Column) -> Column:
     return (F.length(F.substring_index(F.substring(text, F.lit(1), at), "\n", -1)) + 1).cast("int")
 
 
+def filled(template: str, *values) -> Column:
+    """A text with its ``{}`` replaced by columns, in order; a null value makes it null."""
+    parts = template.split("{}")
+    cols = [F.lit(parts[0])]
+    for v, after in zip(values, parts[1:], strict=True):
+        cols += [(F.col(v) if isinstance(v, str) else v).cast("string"), F.lit(after)]
+    return F.concat(*cols)
+
+
 def quote(term: str) -> str:
     """A term as a pattern that matches just itself."""
     return re.sub(r"[.*+?^${}()|\[\]\\]", lambda m: "\\" + m.group(0), term)

@@ -71,7 +71,8 @@ def audit(
     sums = _sums(entry_rows, id_col)
     # what depends on the row alone is computed in one pass over the texts, and joined once with the sums
     row = rhythm.rhythm_flags(rhythm.strengths(clean.select(id_col, text_col, register_col), text_col, paragraph, keep_metrics=True), text_col, register_col, paragraph)
-    row = row.withColumn("word_count", X.ws_word_count(F.col(text_col)).cast("long")).withColumn("beats", sum((F.col(c).cast("int") for c in rhythm.FLAGS), F.lit(0)))
+    # sentences and paragraphs break at white space only, so their words add up to the text's
+    row = row.withColumn("word_count", F.col("total_words")).withColumn("beats", sum((F.col(c).cast("int") for c in rhythm.FLAGS), F.lit(0)))
     row = row.select(id_col, register_col, "word_count", "beats", "specificity", "concrete_abstract", "burstiness", "strong_signals", "notes")
     d = row.join(sums, id_col, "left").na.fill({"weighted_sum": 0.0, "hard_evidence": False})
     d = d.withColumn("score", density_score(F.col("weighted_sum"), F.col("word_count")))

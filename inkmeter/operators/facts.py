@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 from ..functions import fixed as V
 from ..functions import text as X
 
-USED_SHARE, USED_FACTS = 0.5, 2
-
-
 def evidentiary(sentence: Column) -> Column:
     """A number, sum or percentage, a name within the sentence, or an achievement verb."""
     clean = F.transform(X.ws_words(sentence), lambda w: F.regexp_replace(w, "[^A-Za-z'-]", ""))
@@ -31,15 +28,12 @@ def fact_usage(docs: DataFrame, facts: DataFrame, id_col: str = "doc_id", text_c
     bound = lambda w: F.concat(F.lit(X.BOUNDARY), w, F.lit(X.BOUNDARY))
     within = lambda text, w: F.rlike(text, bound(w))
     hits = F.size(F.filter("words", lambda w: within(F.col("low"), w)))
-    used = (F.size("words") > 0) & (hits / F.size("words") >= USED_SHARE)
+    used = (F.size("words") > 0) & (hits / F.size("words") >= V.USED_SHARE)
     plain = F.exists("plain", lambda s: F.exists(F.col("words"), lambda w: within(F.lower(s), w)))
     g = j.withColumn("used", used).withColumn("plain_use", F.col("used") & plain).groupBy(id_col).agg(
         F.count(F.lit(1)).alias("total_facts"), F.sum(F.col("used").cast("int")).alias("used_facts"), F.max("plain_use").alias("plain_use")
     )
-    g = g.withColumn("meets_quota", (F.col("used_facts") >= USED_FACTS) & F.col("plain_use"))
-    only = F.when((F.col("used_facts") > 0) & ~F.col("plain_use"), F.lit(", all only inside sentences that are already proving a qualification")).otherwise(F.lit(""))
-    note = F.concat(
-        F.col("used_facts").cast("string"), F.lit(" of "), F.col("total_facts").cast("string"), F.lit(" elicited detail(s) used"), only,
-        F.lit(". The bar: at least two used, and at least one in a sentence that isn't proving anything. Without new material this reads as a rearrangement, not a richer draft."),
-    )
+    g = g.withColumn("meets_quota", (F.col("used_facts") >= V.USED_FACTS) & F.col("plain_use"))
+    only = F.when((F.col("used_facts") > 0) & ~F.col("plain_use"), F.lit(V.ONLY_PROVING)).otherwise(F.lit(""))
+    note = X.filled(V.FACTS_NOTE, "used_facts", "total_facts", only)
     return g.withColumn("note", note)

@@ -116,14 +116,13 @@ def inflected(terms: DataFrame, term_col: str = "term") -> DataFrame:
     return words.join(explicit, "form", "left_anti").select("term", "form")
 
 
-def builtin_entries(hard: Sequence[tuple] = V.HARD_TERMS, soft: dict | None = None) -> list[Entry]:
+def builtin_entries(hard: Sequence[tuple] = V.HARD_TERMS, soft: Sequence[tuple] = V.SOFT_TERMS) -> list[Entry]:
     """Hard terms, soft terms and structural patterns, in the order that ties follow. ``hard`` is an input table."""
     out: list[Entry] = []
     for term, category, subcategory, hint in hard:
         out.append(Entry(len(out), term, category, subcategory, "red", V.HARD_STRENGTH, hint=hint))
-    for (category, subcategory), terms in (V.SOFT_TERMS if soft is None else soft).items():
-        for term in terms.split("|"):
-            out.append(Entry(len(out), term, category, subcategory, "orange", V.SOFT_STRENGTH))
+    for term, category, subcategory, note in soft:
+        out.append(Entry(len(out), term, category, subcategory, "orange", V.SOFT_STRENGTH, note=note))
     for p in V.PATTERNS:
         out.append(Entry(len(out), p.term, p.category, p.subcategory, p.confidence, p.strength, p.lifecycle, p.regex, p.id))
     return out

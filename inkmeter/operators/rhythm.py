@@ -69,44 +69,19 @@ def rhythm_flags(docs: DataFrame, text_col: str = "text", register_col: str = "r
 #: What ``metrics`` adds.
 METRICS = ("paragraph_count", "piece_sentences", "total_words", "paragraph_cv", "sentence_cv", "avg_sentence_words", "paragraph_lengths", "sentence_lengths", "paragraph_sentences", "paragraphs")
 FLAGS = ("uniform_paragraphs", "low_burstiness", "register_drift", "announced_enumeration", "ordinal_scaffold")
-#: flag: (id, name, confidence, severity)
-FINDINGS = {
-    "uniform_paragraphs": ("uniform-paragraph-length", "Uniform paragraph length", "orange", "medium"),
-    "low_burstiness": ("low-burstiness", "Low sentence-length burstiness", "orange", "medium"),
-    "register_drift": ("mechanical-register-drift", "Rhythm/mechanics off this register's baseline", "orange", "medium"),
-    "announced_enumeration": ("self-describing-enumeration", "Self-describing structure: announced enumeration", "red", "high"),
-    "ordinal_scaffold": ("self-describing-ordinal-scaffold", "Self-describing structure: ordinal slot scaffold", "orange", "medium"),
-}
-
-
 def rhythm_details(register_col: str = "register") -> dict[str, Column]:
     """The sentence that explains each finding."""
-    whole = lambda c: F.col(c).cast("string")
-    return {
-        "uniform_paragraphs": F.concat(whole("paragraph_count"), F.lit(" paragraphs, most running about the same length with little variation between them. Vary paragraph length more.")),
-        "low_burstiness": F.concat(
-            whole("piece_sentences"), F.lit(" sentences averaging "), X.nearest(F.col("avg_sentence_words")).cast("string"),
-            F.lit(" words, with little variation in length from one sentence to the next. Mix short sentences with long; allow fragments."),
-        ),
-        "register_drift": F.concat(
-            F.lit("Fragment rate and structural variety (sentence openers, punctuation mix) sit off where "), F.col(register_col),
-            F.lit(" prose typically lands. Allow more sentence fragments and vary openers/punctuation more."),
-        ),
-        "announced_enumeration": F.lit(
-            'A short, standalone paragraph announces how many things/reasons/parts are coming ("Three parts of my track record speak directly to...") instead of the organization just being clear from the writing. Cut the announcement.'
-        ),
-        "ordinal_scaffold": F.concat(
-            whole("ordinal_paragraphs"),
-            F.lit(' paragraphs open as a bare "first / second / third / finally" slot (e.g. "Major gifts, first.") instead of an idea in its own right. Let each paragraph argue on its own terms.'),
-        ),
+    values = {
+        "uniform_paragraphs": ("paragraph_count",), "low_burstiness": ("piece_sentences", X.nearest(F.col("avg_sentence_words"))), "register_drift": (register_col,), "announced_enumeration": (), "ordinal_scaffold": ("ordinal_paragraphs",),
     }
+    return {k: X.filled(V.RHYTHM_DETAILS[k], *v) for k, v in values.items()}
 
 
 def rhythm_findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", register_col: str = "register", paragraph: str = r"\n\s*\n") -> DataFrame:
     """id, finding_id, name, confidence, severity, note: one row per finding."""
     flags, notes = rhythm_flags(docs, text_col, register_col, paragraph), rhythm_details(register_col)
     rows = [
-        F.when(F.col(k), F.struct(F.lit(i).alias("finding_id"), F.lit(n).alias("name"), F.lit(c).alias("confidence"), F.lit(s).alias("severity"), notes[k].alias("note"))) for k, (i, n, c, s) in FINDINGS.items()
+        F.when(F.col(k), F.struct(F.lit(i).alias("finding_id"), F.lit(n).alias("name"), F.lit(c).alias("confidence"), F.lit(s).alias("severity"), notes[k].alias("note"))) for k, (i, n, c, s) in V.RHYTHM_FINDINGS.items()
     ]
     return flags.select(id_col, F.explode(F.array_compact(F.array(*rows))).alias("f")).select(id_col, "f.*")
 
@@ -119,17 +94,14 @@ def strengths(docs: DataFrame, text_col: str = "text", paragraph: str = r"\n\s*\
     """
     d = metrics(docs, text_col, paragraph)
     t = F.coalesce(F.col(text_col), F.lit(""))
-    d = d.withColumn("_c", F.regexp_replace(F.array_join(F.flatten("paragraph_sentences"), "\n"), r"[^A-Za-z'\n -]+", ""))
-    names = F.regexp_count(F.col("_c"), F.lit("(?<= )[A-Z]"))
-    abstract = F.regexp_count(F.col("_c"), F.lit("(?i)(?<=[a-z'-]{3})(?:" + "|".join(V.ABSTRACT_SUFFIXES) + r")(?=[ \n]|\z)"))
+    lines = F.concat(F.array_join(F.flatten("paragraph_sentences"), "\n"), F.lit("\n"))
+    d = d.withColumn("_c", F.regexp_replace(lines, r"[^A-Za-z'\n -]+", ""))
+    names = F.regexp_count(F.col("_c"), F.lit(" [A-Z]"))
+    ends = "(?:" + "|".join(V.ABSTRACT_SUFFIXES) + ")"
+    abstract = F.regexp_count(F.lower("_c"), F.lit(rf"[ \n](?<=[a-z'-]{{3}}{ends}[ \n])"))
     d = d.withColumn("_hits", names + F.regexp_count(t, X.rx(V.NUMERAL))).withColumn("_abs", abstract)
     d = d.withColumn("specificity", X.fixed(F.col("_hits") / X.alnum_count(t) * 1000, 1)).withColumn("concrete_abstract", X.fixed(F.col("_hits") / F.greatest(F.lit(1), F.col("_abs")), 2))
     strong = [F.col("specificity") >= V.STRONG_SPECIFICITY, F.col("concrete_abstract") >= V.STRONG_RATIO, F.col("sentence_cv") >= V.STRONG_BURSTINESS]
-    says = (
-        "Specific: names, numbers, and concrete detail carry real weight here.",
-        "Grounded: concrete detail outweighs abstract nominalizations by a healthy margin.",
-        "Real sentence-rhythm variation, not a flattened, uniform cadence.",
-    )
-    notes = F.array_compact(F.array(*[F.when(s, F.lit(x)) for s, x in zip(strong, says, strict=True)]))
+    notes = F.array_compact(F.array(*[F.when(s, F.lit(x)) for s, x in zip(strong, V.STRENGTH_NOTES, strict=True)]))
     more = METRICS if keep_metrics else ()
     return d.select(*docs.columns, *more, "specificity", "concrete_abstract", F.col("sentence_cv").alias("burstiness"), sum(s.cast("int") for s in strong).alias("strong_signals"), notes.alias("notes"))

@@ -386,7 +386,7 @@ def match_line_col(spark, sf_dir):
     return spans.select("doc_id", F.col("m.start").alias("match_start"), F.col("m.end").alias("match_end"), "m.line", "m.col")
 
 
-_TERMS = sorted({t for s in V.SOFT_TERMS.values() for t in s.split("|")} | {t[0] for t in V.HARD_TERMS})
+_TERMS = sorted({t[0] for t in (*V.SOFT_TERMS, *V.HARD_TERMS)})
 
 
 @query(

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed as V
+from ..functions.text import sanitize_plain
 from ..operators.lexicon import dedupe_words, remove_word
 
 # fixed values: file names of a repository's configuration, in order, and the alphabet of short ids
@@ -98,9 +99,7 @@ class Instructions:
         return (self.file.load().get(scope) or {}).get("instructions", "")
 
     def set(self, text: str, scope: str = GLOBAL) -> str:
-        import re
-
-        clean = re.sub(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]", "", re.sub(r"\x1b\[[0-?]*[ -/]*[@-~]|\x1b\][^\x07\x1b]*(?:\x07|\x1b\\)?", "", text.strip()))
+        clean = sanitize_plain(text.strip())
         data = self.file.load()
         data[scope] = {"instructions": clean, "updatedAt": _now()}
         self.file.save(data)
