@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import embedding_dedup, exact_dedup, langid, language_model, mixing, packing, quality, simhash, url_filter, warc
-from .common import held_out, read_table
+from .common import held_out, read_table, stable
 
 RULES = (
     url_filter.Rule("allow", "com/"),
@@ -50,17 +50,11 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(read_table(spark, sf_dir, "pages"), RULES).drop("glob")
 
 
-def quality_model(docs: DataFrame, labels: DataFrame) -> quality.Model:
-    seen = ~held_out("doc_id", 5, 0)
-    judged = labels.filter(seen & F.col("quality").isNotNull())
-    prior = judged.agg(F.avg((F.col("quality") == 1).cast("double"))).head()[0]
-    return quality.learn_quality(docs.filter(seen), judged.filter("quality = 1"), prior)
-
-
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
-    model = quality_model(docs, read_table(spark, sf_dir, "labels"))
-    return quality.score_quality(docs.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "text"), model, threshold=0.3)
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "text")
+    table = stable(quality.features(docs), "features")  # texts are read once, for learning and scoring
+    positives = read_table(spark, sf_dir, "labels").filter(~held_out("doc_id", 5, 0) & (F.col("quality") == 1))
+    return quality.score_from(table, quality.learn_from(table.filter("NOT held_out"), positives), threshold=0.3)
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
