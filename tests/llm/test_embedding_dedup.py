@@ -4,6 +4,8 @@ import numpy as np
 
 from inkmeter.llm import embedding_dedup as ED
 
+from .helpers import clashing
+
 
 def brute(rows, cosine):
     """id: (links, component) by comparing all rows."""
@@ -83,12 +85,52 @@ def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     v = [1.0, 2.0, 3.0]
     rows = [(1, v, 1), (2, v, 1), (3, v, 2), (4, v, None), (5, None, 1), (6, [0.0, 0.0, 0.0], 1), (7, [nan, 1.0, 2.0], 1), (8, [inf, 1.0, 2.0], 1), (9, [None, 1.0, 2.0], 1), (10, [], 1), (11, [1e-30, 2e-30, 3e-30], 1), (12, [1.0, 2.0], 1)]
-    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in ED.embedding_components(table(spark, [*rows, (1, v, 1), (None, v, 1)])).collect()}
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in ED.embedding_components(table(spark, rows)).collect()}
     assert got == {i: (2, 1, i == 1) if i in (1, 2, 11) else (0, i, True) for i, *_ in rows}
     assert ED.embedding_components(table(spark, [])).collect() == []
     assert [tuple(r) for r in ED.embedding_components(table(spark, [(3, None, 1)])).collect()] == [(3, 0, 3, True)]
 
 
+def test_every_row_is_a_vector(spark):
+    """Rows that repeat an id or have none keep their links, and no row hides another."""
+    v, w = [1.0, 2.0, 3.0], [-1.0, 2.0, 0.5]
+    rows = [(1, v, 1), (1, v, 1), (None, v, 1), (7, w, None), (7, w, 2), (5, w, 2), (None, [3.0, -1.0, 0.0], 3), (9, None, None)]
+    got = sorted((tuple(r) for r in ED.embedding_components(table(spark, rows)).collect()), key=str)
+    want = [(1, 2, 1, True), (1, 2, 1, True), (None, 2, 1, False), (7, 0, 7, True), (7, 1, 5, False), (5, 1, 5, True), (None, 0, None, True), (9, 0, 9, True)]
+    assert got == sorted(want, key=str)
+
+
+def test_lengths_link_within_themselves(spark):
+    rng = np.random.default_rng(9)
+    rows = []
+    for dim, start in ((3, 0), (2, 100), (24, 1000)):
+        for k in range(30):
+            c = rng.standard_normal(dim)
+            rows += [(start + 2 * k, [float(x) for x in c], 1), (start + 2 * k + 1, [float(x) for x in c * 2], 1)]
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in ED.embedding_components(table(spark, rows)).collect()}
+    assert got == brute(as_float32(rows), 0.98)
+
+
+def test_copies_are_counted_without_being_compared(spark):
+    rows = [(k, [1.0, 0.0, 0.0, 0.0], 1) for k in range(5000)] + [(9000, [1.0, 0.05, 0.0, 0.0], 1), (9001, [0.0, 1.0, 0.0, 0.0], 1)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in ED.embedding_components(table(spark, rows), tile=16).collect()}
+    assert got == {k: (5000, 0) for k in range(5000)} | {9000: (5000, 0), 9001: (0, 9001)}
+
+
+def test_clashing_columns(spark):
+    rows = [(1, [1.0, 2.0], 1), (2, [1.0, 2.0], 1)]
+    d = clashing(table(spark, rows), "cid", "v", "dim", "n", "known", "digest", "n_links", "component_id", "kept", "bucket")
+    assert sorted(tuple(r) for r in ED.embedding_components(d).collect()) == [(1, 1, 1, True), (2, 1, 1, False)]
+
+
+def test_runs_that_are_too_long_come_in_parts():
+    import pyarrow as pa
+
+    batches = [pa.RecordBatch.from_pydict({"bucket": x}) for x in ([1, 1, 2], [2, 2, 2], [2, 3], [3, 4])]
+    got = [(t.column("bucket").to_pylist(), more) for t, more in ED._whole_runs(iter(batches), ("bucket",), 3)]
+    assert got == [([1, 1], False), ([2, 2, 2, 2], True), ([2], False), ([3, 3], False), ([4], False)]
+
+
 def test_codes_are_balanced():
     rng = np.random.default_rng(7)
     x = rng.standard_normal((2000, 24)) * np.linspace(3, 0.3, 24)
