@@ -46,3 +46,25 @@ def test_carry_returns_whole_rows_of_kept_ones(spark):
 
 def test_empty_table(spark):
     assert content_sort_dedup(docs(spark, [])).collect() == []
+
+
+def test_texts_come_back_as_they_were(spark):
+    rows = [(k, t, "en", "s") for k, t in enumerate([None, "", "Ab C", "ab c", "ÉÀ Éé \U0001f600 Z", "a" * 9 + "B", "x" * 70 + "Y" * 9, "x" * 70 + "y" * 9])]
+    kept = content_sort_dedup(docs(spark, rows), carry=True).filter("kept").select("row.*").collect()
+    assert sorted((r.doc_id, r.text, r.lang) for r in kept) == [(k, t, "en") for k, t, *_ in rows if k not in (0, 2, 6)]
+
+
+def test_long_shared_beginnings_over_many_partitions(spark):
+    random.seed(2)
+    same = "The same beginning of every text, longer than what splitters hold of it. " * 3
+    rows = [(k, same + random.choice("abcdefAB") * random.choice((1, 1, 5000)), "en", "s") for k in range(600)]
+    spark.conf.set("spark.sql.shuffle.partitions", "17")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = content_sort_dedup(docs(spark, rows)).collect()
+        kept = content_sort_dedup(docs(spark, rows), carry=True).filter("kept").select("row.*").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert sorted(repr(tuple(r)) for r in got) == brute(rows)
+    assert sorted((r.doc_id, r.text) for r in kept) == sorted((i, t) for i, t, *_ in rows if i in {r.doc_id for r in got if r.kept})
