@@ -18,32 +18,85 @@ from pyspark.sql.window import Window as W
 from .common import stable
 
 
+#: Sources that may come to the driver, a size and a weight each.
+FEW = 10_000
+
+
 def word_count(col: str) -> Column:
     """Number of runs without ASCII white space; null: 0."""
     return F.coalesce(F.regexp_count(F.col(col), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
+def _numbered(by_source: DataFrame) -> DataFrame:
+    """source, source_size, nth: sources by code point from 1, null last; ranked within ranges, not in one task."""
+    dealt = stable(by_source.repartitionByRange(F.col("source").asc_nulls_last()).withColumn("part", F.spark_partition_id()), "sources-by-range")
+    at, base = 0, []
+    for r in sorted(dealt.groupBy("part").count().collect()):  # a row a partition
+        base.append((r["part"], at))
+        at += r["count"]
+    bases = dealt.sparkSession.createDataFrame(base, "part int, base long")
+    local = F.row_number().over(W.partitionBy("part").orderBy(F.col("source").asc_nulls_last()))
+    return dealt.withColumn("local", local).join(F.broadcast(bases), "part").select("source", "source_size", (F.col("base") + F.col("local")).alias("nth"))
+
+
+def _level(sources: DataFrame, share: float, cap: int) -> float | None:
+    """The target per weight of sources that aren't capped; None where all are.
+
+    In order of size per weight the capped sources come first, so the first one that its level fits decides. Sums
+    between quantiles narrow the place down until ``FEW`` sources are left, and these come to the driver.
+    """
+    total = sources.agg(F.sum("source_size").alias("s"), F.sum("w").alias("w")).head()
+    if total["w"] is None:
+        return None
+    level = lambda s, w: (total["s"] * share - s * cap) / (total["w"] - w) if total["w"] > w else None
+    left, size, weight = sources.withColumn("fill", F.col("source_size") / F.col("w")), 0, 0  # sums of those known to be capped
+    top = None  # (size, weight) of all before the bracket's upper end, where one is known to fit beyond it
+    n = left.count()
+    while n > FEW:
+        cuts = sorted(set(left.agg(F.percentile_approx("fill", [k / 64 for k in range(1, 64)], 10_000)).head()[0]))
+        slot = sum(((F.col("fill") >= c).cast("int") for c in cuts), F.lit(0))
+        sums = {r["slot"]: r for r in left.groupBy(slot.alias("slot")).agg(F.sum("source_size").alias("s"), F.sum("w").alias("w")).collect()}  # 64 rows
+        lo = None
+        for k, c in enumerate(cuts):
+            below = sums.get(k)
+            s, w = (size + below["s"], weight + below["w"]) if below else (size, weight)
+            x = level(s, w)
+            if x is not None and x <= cap * c:
+                top = (s, w)
+                left = left.filter(F.col("fill") < c)
+                break
+            size, weight, lo = s, w, c
+        if lo is not None:
+            left = left.filter(F.col("fill") >= lo)
+        before, n = n, left.count()
+        if n == before:  # one value fills the bracket's lower end: decide it, and go on above it
+            least = left.agg(F.min("fill")).head()[0]
+            x = level(size, weight)
+            if x <= cap * least:
+                return x
+            here = left.filter(F.col("fill") == least).agg(F.sum("source_size").alias("s"), F.sum("w").alias("w")).head()
+            size, weight, left = size + here["s"], weight + here["w"], left.filter(F.col("fill") > least)
+            n = left.count()
+    for r in left.groupBy("fill").agg(F.sum("source_size").alias("s"), F.sum("w").alias("w")).orderBy("fill").collect():  # FEW rows at most
+        x = level(size, weight)
+        if x <= cap * r["fill"]:
+            return x
+        size, weight = size + r["s"], weight + r["w"]
+    return level(*top) if top else None
+
+
 def source_targets(sizes: DataFrame, weights: Sequence[int], share: float, cap: int) -> DataFrame:
     """source, source_size, target: one row a source.
 
     Sources by code point, null last, take ``weights`` in turn. Where a target would pass ``cap`` times the
-    source's size it stops there and the excess is shared among the others by weight, until none is above: in
-    order of size per weight, the capped sources come first, so running sums find the level in one pass.
+    source's size it stops there and the excess is shared among the others by weight, until none is above.
     """
-    w = F.element_at(F.array(*[F.lit(int(x)) for x in weights]), (F.pmod(F.col("nth") - 1, F.lit(len(weights))) + 1).cast("int"))
     by_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    named = by_source.withColumn("nth", F.row_number().over(W.orderBy(F.col("source").asc_nulls_last()))).withColumn("w", w.cast("long"))
-    order = W.orderBy(F.col("source_size") / F.col("w"), F.col("source").asc_nulls_last())
-    before = order.rowsBetween(W.unboundedPreceding, -1)
-    everything = W.partitionBy()
-    level = (F.sum("source_size").over(everything) * F.lit(share) - F.coalesce(F.sum("source_size").over(before), F.lit(0)) * cap) / (
-        F.sum("w").over(everything) - F.coalesce(F.sum("w").over(before), F.lit(0))
-    )
-    fits = F.col("level") * F.col("w") <= F.col("source_size") * cap
-    leveled = named.withColumn("level", level)
-    first = F.min(F.when(fits, F.struct(F.col("source_size") / F.col("w"), F.col("nth"), F.col("level"))))
+    w = F.element_at(F.array(*[F.lit(int(x)) for x in weights]), (F.pmod(F.col("nth") - 1, F.lit(len(weights))) + 1).cast("int"))
+    named = stable(_numbered(by_source).withColumn("w", w.cast("long")), "sources")
+    level = _level(named, share, cap)
     top = F.col("source_size") * F.lit(float(cap))
-    return leveled.withColumn("first", first.over(everything)).select("source", "source_size", F.least(F.coalesce(F.col("first.level") * F.col("w"), top), top).alias("target"))
+    return named.select("source", "source_size", (top if level is None else F.least(F.lit(level) * F.col("w"), top)).alias("target"))
 
 
 def offset_of(source: Column, seed: str) -> Column:

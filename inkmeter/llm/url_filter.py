@@ -18,7 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: (verdict, rule) for hosts that no listed rule covers: the first match decides, else the URL is allowed.
+#: A sample of (verdict, glob) for URLs that no listed rule covers: the first match decides, else the URL is allowed. A
+#: real list is a table, see ``globs_of``.
 DEFAULT_GLOBS = (
     ("block", "spam*"), ("block", "*spam-**"), ("block", "*-spam*"), ("block", "*.spam*"), ("block", "*casino**"),
     ("block", "*porn**"), ("block", "*.xxx"), ("block", "*.xxx/**"), ("block", "**/wp-login.php"),
@@ -123,6 +124,21 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+#: Globs that a list may have: all of them are packed into the masks of every worker.
+MOST_GLOBS = 20_000
+
+
+def globs_of(table: DataFrame, order: str = "priority", verdict: str = "verdict", glob: str = "glob") -> list[tuple[str, str]]:
+    """The rows of a glob list by ``order``, ties by glob; null globs and those of another verdict than allow or block go.
+
+    A list of more than ``MOST_GLOBS`` raises ``ValueError``.
+    """
+    rows = table.filter(F.col(glob).isNotNull() & F.col(verdict).isin("allow", "block")).orderBy(order, glob).select(verdict, glob).limit(MOST_GLOBS + 1).collect()
+    if len(rows) > MOST_GLOBS:
+        raise ValueError(f"more than {MOST_GLOBS} globs")
+    return [(r[0], r[1]) for r in rows]
+
+
 #: Characters of canonical URLs that are stepped together.
 SLICE = 4_000_000
 

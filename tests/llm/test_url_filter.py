@@ -5,7 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from inkmeter.llm.queries import RULES
-from inkmeter.llm.url_filter import Automaton, filter_urls
+from inkmeter.llm.url_filter import Automaton, filter_urls, globs_of
 
 
 def as_regex(glob):
@@ -41,3 +41,11 @@ def test_rules_and_odd_urls(spark):
     assert got[6] == ("", None, "allow") == got[7] == got[12] and got[8] == ("spam-farm.org", None, "block")
     assert got[9] == ("notexample.com", "com/", "allow") and got[10][1:] == (None, "allow") and got[11] == ("a.example.org", None, "allow") and got[13][1] == "com/"
     assert filter_urls(rows.limit(0), RULES).collect() == []
+
+
+def test_globs_from_a_table(spark):
+    table = spark.createDataFrame([(2, "block", "*.org/**"), (1, "allow", "good.org/**"), (3, "deny", "x"), (4, "block", None)], "priority int, verdict string, glob string")
+    globs = globs_of(table)
+    assert globs == [("allow", "good.org/**"), ("block", "*.org/**")]
+    rows = spark.createDataFrame([(1, "http://good.org/a"), (2, "http://bad.org/a"), (3, "http://spam.tv/"), (None, "http://bad.org/")], "page_id long, url string")
+    assert {r.page_id: (r.verdict, r.glob) for r in filter_urls(rows, RULES, globs).collect()} == {1: ("allow", "good.org/**"), 2: ("block", "*.org/**"), 3: ("allow", None), None: ("block", "*.org/**")}
