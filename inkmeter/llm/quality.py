@@ -36,7 +36,7 @@ from .common import stable, whole
 WORDS, SHAPE = 1 << 10, 12
 #: Positives from which the model is fitted, at most: the bound on labelled rows.
 SAMPLE = 6_000
-#: Unlabelled rows of a share in a round; rows of a batch: many, as the negative risk must not fall below zero by chance; steps of a share at least.
+#: Unlabelled rows of a share in a round; rows of a batch: many, as the negative risk must not fall below zero by chance; steps of a round in all at least.
 SHARE, BATCH, STEPS = 16_384, 1024, 200
 #: Deviations from the mean at which a shape feature is cut off; bins of a histogram of margins, within MARGIN.
 REACH, BINS, MARGIN = 6.0, 4_000, 30.0
@@ -191,15 +191,14 @@ def risk_gradient(w: np.ndarray, b: float, pos: tuple, n_pos: int, unl: tuple, n
     return float(risk), g, float(gp.sum() + gu.sum())
 
 
-def descend(state: np.ndarray, pos: _Rows, unl: _Rows, prior: float, steps: int = STEPS, rate: float = 0.5, decay: float = 1e-3, seed: int = 11) -> np.ndarray:
-    """Adagrad over batches of ``unl``, every row at least once, until ``steps`` are done; positives go round beside."""
+def descend(state: np.ndarray, pos: _Rows, unl: _Rows, prior: float, epochs: int = STEPS, rate: float = 0.5, decay: float = 1e-3, seed: int = 11) -> np.ndarray:
+    """Adagrad over batches of ``unl``, so many times over its rows; positives go round beside."""
     rng = np.random.default_rng(seed)
     state = state.copy()
     k = WORDS + SHAPE + 1
     theta, squares = state[:k], state[k:]
-    done = 0
     p_order, p_at = rng.permutation(len(pos)), 0
-    while True:
+    for _ in range(epochs):
         for u in np.array_split(rng.permutation(len(unl)), max(1, len(unl) // BATCH)):
             if p_at + BATCH > len(p_order):
                 p_order, p_at = np.concatenate([p_order[p_at:], rng.permutation(len(pos))]), 0
@@ -209,9 +208,7 @@ def descend(state: np.ndarray, pos: _Rows, unl: _Rows, prior: float, steps: int
             grad = np.append(g + decay * theta[:-1], g0)
             squares += grad * grad
             theta -= rate * grad / np.sqrt(squares)
-            done += 1
-        if done >= steps:
-            return state
+    return state
 
 
 def tail_prior(sp: np.ndarray, above: np.ndarray, edges: np.ndarray, n_unl: int) -> float:
@@ -254,8 +251,9 @@ class _Training:
             self.pos = _Rows.read(pos, self.mean, self.spread)
             self.half = np.array(pos.column("__h").to_pylist(), np.int64) & 1
 
-    def _states(self, rows: DataFrame, shares: int, sides: list[tuple[int | None, np.ndarray]], prior: float) -> list[np.ndarray]:
-        """New states after a round: each share descends from the old ones, on rows of its side; means by rows."""
+    def _states(self, rows: DataFrame, shares: int, sides: list[tuple[int | None, np.ndarray]], prior: float, n: int) -> list[np.ndarray]:
+        """New states after a round of ``n`` rows: each share descends from the old ones, on rows of its side; means by rows."""
+        epochs = max(1, min(STEPS, -(-STEPS * BATCH // max(1, n))))
         known = self.spark.sparkContext.broadcast((self.pos, self.half, self.mean, self.spread, sides))
         width = len(sides[0][1])
 
@@ -271,7 +269,7 @@ class _Training:
                 for k, (side, _) in enumerate(sides):
                     mine = t if side is None else t.filter(pa.array(own == side))
                     if mine.num_rows:
-                        now[k] = descend(now[k], ours[k], _Rows.read(mine, mean, spread), prior)
+                        now[k] = descend(now[k], ours[k], _Rows.read(mine, mean, spread), prior, epochs)
                         seen[k] += mine.num_rows
                 held.clear()
 
@@ -297,7 +295,7 @@ class _Training:
     def prior(self) -> float:
         """Each half of the rows is ordered by a model fitted on the other half."""
         shares = max(1, self.n // (2 * SHARE))
-        states = self._states(self.unl, shares, [(0, first_state()), (1, first_state())], 0.5)
+        states = self._states(self.unl, shares, [(0, first_state()), (1, first_state())], 0.5, self.n // 2)
         known = self.spark.sparkContext.broadcast((states, self.mean, self.spread))
         last = WORDS + SHAPE
 
@@ -327,7 +325,7 @@ class _Training:
         state = first_state()
         for r in range(rounds):
             part = self.unl.filter(F.pmod(F.shiftright("__h", 1), F.lit(rounds)) == r)
-            state = self._states(part, max(1, total // rounds), [(None, state)], prior)[0]
+            state = self._states(part, max(1, total // rounds), [(None, state)], prior, self.n // rounds)[0]
         return Model(state[: WORDS + SHAPE], float(state[WORDS + SHAPE]), prior, self.mean, self.spread)
 
 

@@ -99,7 +99,7 @@ def test_every_unlabelled_row_is_dealt_once_whatever_its_id(spark, monkeypatch):
     monkeypatch.setattr(Q, "SHARE", 500)
     seen = []
     real = Q._Training._states
-    monkeypatch.setattr(Q._Training, "_states", lambda self, rows, shares, sides, prior: (seen.append((rows.count(), shares, sides[0][0])), real(self, rows, shares, sides, prior))[1])
+    monkeypatch.setattr(Q._Training, "_states", lambda self, rows, shares, sides, prior, n: (seen.append((rows.count(), shares, sides[0][0])), real(self, rows, shares, sides, prior, n))[1])
     d = spark.createDataFrame([(None if k % 2 else k, f"word{k} and word{k % 7}") for k in range(3000)], "doc_id long, text string")
     Q.learn_quality(d, d.select("doc_id").limit(40))
     assert seen[0][0] == 3000 and sum(n for n, _, side in seen if side is None) == 3000 and len(seen) > 3
