@@ -5,7 +5,8 @@ tokens; every other word is a bucket token (by its ending) times its smoothed sh
 gives every possible word a probability. Tokens fall into frequency classes, and the output is a softmax over
 classes times one within the class. The model starts as the unigram model and is trained by truncated
 backpropagation in numpy: streams of documents are cut into windows, gradients stop at a window's start and the
-state goes on. Workers train on their own documents and their weights are averaged after each round. In scoring,
+state goes on. Workers train on their own documents; their weights and step sizes are averaged after each round and go on from
+there. In scoring,
 many documents advance together, and each one's state is carried from window to window to its end.
 
 Counts of words beyond the ``HEAD`` most frequent ones are joined, not broadcast.
@@ -30,14 +31,17 @@ from .common import stable, whole
 #: Words whose counts every worker holds, at most; words and buckets that are tokens of the model.
 HEAD, WORDS, BUCKETS = 200_000, 2048, 64
 HIDDEN = 16
-#: Documents that make a worker's share, and rounds after which the workers' weights are averaged.
-SHARE, ROUNDS = 3072, 3
-STREAMS, WINDOW = 256, 20
+#: Documents that make a worker's share of a round, rounds after which the workers' weights are averaged, at least, and
+#: shares of a round from which on more documents give more rounds too.
+SHARE, ROUNDS, WIDE = 1024, 3, 8
+#: Parallel streams, steps of a window, and Adagrad's rate.
+STREAMS, WINDOW, RATE = 512, 20, 0.2
 #: In scoring: documents that advance together, and steps of a window.
 TOGETHER, SCORE_WINDOW = 512, 32
 #: Distinct words that a task counts before it hands them on.
 HELD = 400_000
-PIECES = 64
+#: Tokens of a share that are trained on together, and pieces in which weights are added up.
+HELD_TOKENS, PIECES = 8_000_000, 64
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -106,16 +110,16 @@ def learn_vocabulary(docs: DataFrame, text_col: str = "text") -> tuple[Vocabular
     n_docs = docs.count()
     level = F.floor(F.log2("n") * 16).cast("int")
     by_level = sorted(((r["l"], r["k"], r["s"]) for r in counts.groupBy(level.alias("l")).agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("s")).collect()), reverse=True)  # 16 a doubling
-    held, least = 0, None
+    held, first = 0, None  # the levels that are head words as a whole
+    chosen = F.lit(False)
     for lev, k, _ in by_level:
-        if held + k > HEAD:
+        if held + k > HEAD:  # of the next level, as many as there is room for, by a hash of the word
+            chosen = (level == lev) & (F.pmod(F.xxhash64("word"), F.lit(10**9)) < int(0.95e9 * (HEAD - held) / k))
             break
-        held, least = held + k, lev
-    head: list[bytes] = []
-    sizes = np.zeros(0)
-    if least is not None:
-        t = counts.filter(level >= least).toArrow().sort_by([("n", "descending"), ("word", "ascending")])  # HEAD rows at most
-        head, sizes = t.column("word").to_pylist(), t.column("n").to_numpy().astype(float)
+        held, first = held + k, lev
+    picked = counts.filter(chosen if first is None else chosen | (level >= first))
+    t = picked.limit(HEAD).toArrow().sort_by([("n", "descending"), ("word", "ascending")])
+    head, sizes = t.column("word").to_pylist(), t.column("n").to_numpy().astype(float)
     tokens, distinct = sum(s for _, _, s in by_level), sum(k for _, k, _ in by_level)
 
     own = frozenset(head[:WORDS])
@@ -180,22 +184,41 @@ def step(w: Weights, x: np.ndarray, h: np.ndarray):
     return new + keep * (h - new), (keep, reset, new, a[:, 2 * d :])
 
 
+def bounded(weight: np.ndarray, bias: np.ndarray) -> bool:
+    """Whether no exponential of logits can overflow: states lie in [-1, 1], so the rows' sums bound them."""
+    return bool((np.abs(weight).sum(1) + np.abs(bias)).max(initial=0.0) < 80.0)
+
+
+def _exponentials(z: np.ndarray, safe: bool) -> tuple[np.ndarray, np.ndarray | float]:
+    """exp of each row of logits in place, and what was taken off before."""
+    top: np.ndarray | float = 0.0
+    if not safe:
+        top = z.max(1)
+        z -= top[:, None]
+    return np.exp(z, out=z), top
+
+
 def log_probs(w: Weights, starts: np.ndarray, cls_of: np.ndarray, states: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Log-probability of each target: of its class, and of it within the class."""
-    c = cls_of[target]
-    z = states @ w.cls.T + w.cls_b
-    top = z.max(1)
-    out = z[np.arange(len(c)), c] - top - np.log(np.exp(z - top[:, None]).sum(1))
+    c, rows = cls_of[target], np.arange(len(target))
+    z = states @ w.cls.T
+    z += w.cls_b
+    said = z[rows, c]
+    e, top = _exponentials(z, bounded(w.cls, w.cls_b))
+    out = said - top - np.log(e @ np.ones(e.shape[1], e.dtype))
+    safe = bounded(w.out, w.out_b)
     order = np.argsort(c, kind="stable")
     cut = np.searchsorted(c[order], np.arange(len(starts)))
     for k in np.flatnonzero(np.diff(cut)):
         a, b = starts[k], starts[k + 1]
         if b - a == 1:
             continue
-        rows = order[cut[k] : cut[k + 1]]
-        z = states[rows] @ w.out[a:b].T + w.out_b[a:b]
-        top = z.max(1)
-        out[rows] += z[np.arange(len(rows)), target[rows] - a] - top - np.log(np.exp(z - top[:, None]).sum(1))
+        at = order[cut[k] : cut[k + 1]]
+        z = states[at] @ w.out[a:b].T
+        z += w.out_b[a:b]
+        said = z[rows[: len(at)], target[at] - a]
+        e, top = _exponentials(z, safe)
+        out[at] += said - top - np.log(e @ np.ones(b - a, e.dtype))
     return out
 
 
@@ -214,31 +237,33 @@ def gradients(w: Weights, starts: np.ndarray, cls_of: np.ndarray, xs: np.ndarray
     g = w.like()
     s, y = states.reshape(n, d), ys.ravel()
     c, rows = cls_of[y], np.arange(n)
-    z = s @ w.cls.T + w.cls_b
-    z -= z.max(1, keepdims=True)
-    p = np.exp(z)
-    p /= p.sum(1, keepdims=True)
+    z = s @ w.cls.T
+    z += w.cls_b
+    p, _ = _exponentials(z, bounded(w.cls, w.cls_b))
+    p /= (p @ np.ones(p.shape[1], p.dtype))[:, None]
     loss = -np.log(p[rows, c]).sum()
     p[rows, c] -= 1
     p /= n
-    g.cls[:], g.cls_b[:] = p.T @ s, p.sum(0)
+    g.cls[:], g.cls_b[:] = p.T @ s, np.ones(n, p.dtype) @ p
     ds = p @ w.cls
     order = np.argsort(c, kind="stable")
     cut = np.searchsorted(c[order], np.arange(len(starts)))
+    safe = bounded(w.out, w.out_b)
     for k in np.flatnonzero(np.diff(cut)):
         a, e = starts[k], starts[k + 1]
         if e - a == 1:
             continue
         r = order[cut[k] : cut[k + 1]]
-        z = s[r] @ w.out[a:e].T + w.out_b[a:e]
-        z -= z.max(1, keepdims=True)
-        q = np.exp(z)
-        q /= q.sum(1, keepdims=True)
-        at = (np.arange(len(r)), y[r] - a)
+        own = s[r]
+        z = own @ w.out[a:e].T
+        z += w.out_b[a:e]
+        q, _ = _exponentials(z, safe)
+        q /= (q @ np.ones(e - a, q.dtype))[:, None]
+        at = (rows[: len(r)], y[r] - a)
         loss -= np.log(q[at]).sum()
         q[at] -= 1
         q /= n
-        g.out[a:e], g.out_b[a:e] = q.T @ s[r], q.sum(0)
+        g.out[a:e], g.out_b[a:e] = q.T @ own, np.ones(len(r), q.dtype) @ q
         ds[r] += q @ w.out[a:e]
     ds = ds.reshape(steps, b, d)
     dh = np.zeros((b, d), np.float32)
@@ -255,14 +280,28 @@ def gradients(w: Weights, starts: np.ndarray, cls_of: np.ndarray, xs: np.ndarray
         g.rec += before.T @ da
         g.rec_b += da.sum(0)
         dh = (dh * keep + da @ w.rec.T) * fresh
-    np.add.at(g.gates, xs.ravel(), dx.reshape(n, 3 * d))
+    x = xs.ravel()
+    by = np.argsort(x, kind="stable")
+    first = np.concatenate([[0], np.flatnonzero(np.diff(x[by])) + 1])
+    g.gates[x[by[first]]] = np.add.reduceat(dx.reshape(n, 3 * d)[by], first, axis=0)
     return g, h, float(loss / n)
 
 
-def train(w: Weights, v: Vocabulary, docs: list[np.ndarray], rate: float = 0.1) -> int:
+def first_squares(w: Weights) -> np.ndarray:
+    return np.full(w.flat.shape, 1e-6, np.float32)
+
+
+def rounds_and_shares(docs: int) -> tuple[int, int]:
+    """More documents give more shares, and by their logarithm more rounds: training deepens with the corpus."""
+    total = max(1, docs // SHARE)
+    rounds = max(ROUNDS, min(total // WIDE, ROUNDS + total.bit_length()))
+    return rounds, max(1, total // rounds)
+
+
+def train(w: Weights, v: Vocabulary, docs: list[np.ndarray], rate: float = RATE, square: np.ndarray | None = None) -> int:
     """Adagrad over the documents in place, as parallel streams in windows; returns the tokens seen.
 
-    Streams are of one length: the last one goes on with the first tokens, so none is left out.
+    square: the sums of squares so far, changed in place too. Streams are of one length: the last one goes on with the first tokens, so none is left out.
     """
     if not docs:
         return 0
@@ -272,7 +311,8 @@ def train(w: Weights, v: Vocabulary, docs: list[np.ndarray], rate: float = 0.1)
     at = (np.arange(streams * length) % (len(flat) - 1)).reshape(streams, length).T
     xs, ys = flat[at], flat[at + 1]
     cls_of = np.repeat(np.arange(len(v.starts) - 1), np.diff(v.starts))
-    h, square = np.zeros((streams, w.hidden), np.float32), np.full(w.flat.shape, 1e-6, np.float32)
+    h = np.zeros((streams, w.hidden), np.float32)
+    square = first_squares(w) if square is None else square
     for t in range(0, length, WINDOW):
         g, h, _ = gradients(w, v.starts, cls_of, xs[t : t + WINDOW], ys[t : t + WINDOW], h, v.end)
         norm = float(np.linalg.norm(g.flat))
@@ -307,24 +347,41 @@ def _tokens(v: Vocabulary, head: dict[bytes, int], token: np.ndarray, words: lis
     return out, at, rare
 
 
-def learn_weights(docs: DataFrame, v: Vocabulary, shared: Broadcast, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> Weights:
-    """Train on every document, dealt to rounds and shares by a hash; the number of workers' shares grows with them."""
+def learn_weights(docs: DataFrame, v: Vocabulary, shared: Broadcast, id_col: str = "doc_id", text_col: str = "text") -> Weights:
+    """Train on every document, dealt to rounds and shares by a hash; weights and Adagrad's sums are averaged by tokens."""
     spark = docs.sparkSession
     w = first_weights(v)
+    square = first_squares(w)
     part = docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"), whole(text_col).alias("text"))
     if not v.docs:
         return w
-    shares = max(1, v.docs // SHARE)
+    rounds, shares = rounds_and_shares(v.docs)
     for r in range(rounds):
-        now = spark.sparkContext.broadcast(w.flat)
+        now = spark.sparkContext.broadcast((w.flat, square))
 
         def work(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
             v, head, token = _lookup(shared)
-            own = Weights(v.size, len(v.starts) - 1, HIDDEN, now.value.copy())
-            texts = sorted((h, x) for b in batches for h, x in zip(b.column("h").to_pylist(), b.column("text").to_pylist(), strict=True))
-            seen = train(own, v, [_tokens(v, head, token, words_of(x.encode("utf-8", "surrogatepass")))[0] for _, x in texts])
-            cut = np.array_split(own.flat.astype(np.float64) * seen, PIECES)
-            yield _batch(piece=pa.array(np.arange(PIECES)), sums=pa.array(cut, pa.list_(pa.float64())), seen=pa.array(np.full(PIECES, seen)))
+            flat, square = (x.copy() for x in now.value)
+            own = Weights(v.size, len(v.starts) - 1, HIDDEN, flat)
+            seen, held, size = 0, [], 0
+
+            def go_on() -> int:
+                texts = sorted(held, key=lambda x: x[0])
+                held.clear()
+                return train(own, v, [t for _, t in texts], square=square)
+
+            for b in batches:
+                for h, x in zip(b.column("h").to_pylist(), b.column("text").cast(pa.binary()), strict=True):
+                    t = _tokens(v, head, token, words_of(x.as_buffer().to_pybytes()))[0].astype(np.int32)
+                    held.append(((h, t.tobytes()), t))
+                    size += len(t)
+                if size > HELD_TOKENS:  # however long the texts of a share are, so many tokens are held
+                    seen, size = seen + go_on(), 0
+            if held:
+                seen += go_on()
+            if seen:
+                cut = np.array_split(np.concatenate([flat, square]).astype(np.float64) * seen, PIECES)
+                yield _batch(piece=pa.array(np.arange(PIECES)), sums=pa.array(cut, pa.list_(pa.float64())), seen=pa.array(np.full(PIECES, seen)))
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums: dict[int, np.ndarray] = {}
@@ -342,7 +399,8 @@ def learn_weights(docs: DataFrame, v: Vocabulary, shared: Broadcast, id_col: str
         got = mine.repartition("piece").mapInArrow(add, kind).toArrow().sort_by("piece")  # PIECES rows
         total = got.column("seen")[0].as_py() if got.num_rows else 0
         if total:
-            w = w.like((np.concatenate([np.asarray(x.values) for x in got.column("sums")]) / total).astype(np.float32))
+            both = (np.concatenate([np.asarray(x.values) for x in got.column("sums")]) / total).astype(np.float32)
+            w, square = w.like(both[: len(w.flat)].copy()), both[len(w.flat) :].copy()
     return w
 
 

@@ -125,3 +125,62 @@ def test_every_training_document_reaches_the_weights(spark):
     w = LM.learn_weights(d, v, spark.sparkContext.broadcast({"id": "every", "vocabulary": v}))
     moved = (w.gates != LM.first_weights(v).gates).any(1)
     assert moved[v.token_of_word].all()
+
+
+def slow_score(text, v, w, counts):
+    """log10 of the model's probability, word by word in plain Python."""
+    exp = lambda xs: [math.exp(x) for x in xs]
+    dot = lambda a, b: sum(float(x) * float(y) for x, y in zip(a, b))
+    sig = lambda x: 1 / (1 + math.exp(-x))
+    d = w.hidden
+    own = {x: int(t) for x, t in zip(v.head, v.token_of_word)}
+    cls_of = [k for k in range(len(v.starts) - 1) for _ in range(v.starts[k], v.starts[k + 1])]
+    h, x, total = [0.0] * d, v.end, 0.0
+    for word in [*words(text), None]:
+        y, share = v.end, 0.0
+        if word is not None:
+            b = LM.bucket_of(word)
+            y = own.get(word, int(v.token_of_bucket[b]))
+            share = 0.0 if word in own else math.log((counts.get(word, 0) + 1) / v.bucket_mass[b])
+        a = [dot(h, w.rec[:, j]) + float(w.rec_b[j]) for j in range(3 * d)]
+        g = [float(z) for z in w.gates[x]]
+        keep, reset = [sig(g[j] + a[j]) for j in range(d)], [sig(g[d + j] + a[d + j]) for j in range(d)]
+        new = [math.tanh(g[2 * d + j] + reset[j] * a[2 * d + j]) for j in range(d)]
+        h = [new[j] + keep[j] * (h[j] - new[j]) for j in range(d)]
+        c = cls_of[y]
+        e = exp([dot(row, h) + float(b0) for row, b0 in zip(w.cls, w.cls_b)])
+        total += math.log(e[c] / sum(e)) + share
+        at, z = v.starts[c], v.starts[c + 1]
+        e = exp([dot(row, h) + float(b0) for row, b0 in zip(w.out[at:z], w.out_b[at:z])])
+        total += math.log(e[y - at] / sum(e))
+        x = y
+    return total / math.log(10)
+
+
+def test_scores_equal_a_slow_version(spark, monkeypatch):
+    monkeypatch.setattr(LM, "HEAD", 60)
+    monkeypatch.setattr(LM, "WORDS", 25)
+    texts = [r.text for r in read_table(spark, SF, "documents").limit(40).collect()]
+    rows = [(k, t[:400], "en", "a") for k, t in enumerate(texts)] + [(100, None, "en", "a"), (101, "never seen words", "en", "a"), (102, "The the THE \n the", "en", "a")]
+    d = docs(spark, rows)
+    training = d.filter("doc_id < 100")
+    v, table = LM.learn_vocabulary(training)
+    shared = spark.sparkContext.broadcast({"id": "slow", "vocabulary": v})
+    w = LM.learn_weights(training, v, shared)
+    assert 0 < len(v.head) <= 60
+    counts = {bytes(r.word): r.n for r in table.collect()}
+    for r in LM.score_documents(d, v, table, w, shared).collect():
+        want = slow_score(rows[[x[0] for x in rows].index(r.doc_id)][1], v, w, counts)
+        assert abs(r.score - want) < 1e-3 * max(1, abs(want))
+
+
+def test_more_documents_give_more_rounds():
+    got = [LM.rounds_and_shares(n) for n in (0, 10, 8_000, 44_000, 220_000, 10**9)]
+    assert got[0] == (3, 1) and [r for r, _ in got] == sorted(r for r, _ in got) and got[-1][0] > 20 and got[-1][1] > 10_000
+
+
+def test_a_head_wider_than_its_bound_is_not_empty(spark, monkeypatch):
+    monkeypatch.setattr(LM, "HEAD", 50)
+    d = docs(spark, [(k, f"w{k} v{k}", "en", "a") for k in range(300)])
+    v, _ = LM.learn_vocabulary(d)
+    assert 10 < len(v.head) <= 50
