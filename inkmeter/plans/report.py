@@ -14,6 +14,7 @@ from ..operators import audit as A
 from ..operators import lexicon as L
 from ..operators import lint as LI
 from ..sources.files import read_files
+from ..sources.stores import find_config
 
 
 def lint(files: DataFrame, lexicon: L.Lexicon, register: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -66,16 +67,25 @@ def _rows(group: list, lexical: bool) -> list[str]:
     return out
 
 
+def by_file(findings: Sequence[dict]) -> dict[str, list[dict]]:
+    """The findings of each file, in the order of the report."""
+    out: dict[str, list[dict]] = {}
+    for f in sorted(findings, key=lambda f: (f["doc_id"], f["group_nth"], f["nth"])):
+        out.setdefault(f["doc_id"], []).append(f)
+    return out
+
+
 def format_text(results: Sequence[dict], findings: Sequence[dict], threshold: str = "orange", config: str | None = None) -> str:
     """The report of collected rows, file by file."""
-    bad = [r for r in results if V.TIERS.index(r["tier"]) >= V.TIERS.index(threshold)]
+    bad = {r["doc_id"] for r in results if V.TIERS.index(r["tier"]) >= V.TIERS.index(threshold)}
+    found = by_file(findings)
     out = [f"Using config: {config}", ""] if config else []
     for r in sorted(results, key=lambda r: r["doc_id"]):
         note = f", register: {r['register']}" if r["register"] != "general" else ""
-        out.append(f"{'✗' if r in bad else '✓'} {r['doc_id']}  {r['tier'].upper()} {r['score']}/100  ({_count(r['finding_count'], 'finding')}, {_count(r['word_count'], 'word')}{note})")
+        out.append(f"{'✗' if r['doc_id'] in bad else '✓'} {r['doc_id']}  {r['tier'].upper()} {r['score']}/100  ({_count(r['finding_count'], 'finding')}, {_count(r['word_count'], 'word')}{note})")
         out += wrap(r["summary"], "  ")
         body: list[str] = []
-        own = sorted((f for f in findings if f["doc_id"] == r["doc_id"]), key=lambda f: (f["group_nth"], f["nth"]))
+        own = found.get(r["doc_id"], [])
         for name in dict.fromkeys(f["grp"] for f in own):
             group = [f for f in own if f["grp"] == name]
             shown = group[: V.LEXICAL_CAP] if name == V.LEXICAL_GROUP else group
@@ -96,16 +106,44 @@ def format_text(results: Sequence[dict], findings: Sequence[dict], threshold: st
 
 def format_json(results: Sequence[dict], findings: Sequence[dict], threshold: str = "orange", config: str | None = None) -> str:
     bad = sum(V.TIERS.index(r["tier"]) >= V.TIERS.index(threshold) for r in results)
-    files = [dict(r) | {"findings": [f for f in findings if f["doc_id"] == r["doc_id"]]} for r in sorted(results, key=lambda r: r["doc_id"])]
+    found = by_file(findings)
+    files = [dict(r) | {"findings": found.get(r["doc_id"], [])} for r in sorted(results, key=lambda r: r["doc_id"])]
     return json.dumps({"threshold": threshold, "configPath": config, "failingCount": bad, "files": files}, indent=2, ensure_ascii=False)
 
 
-def run(spark: SparkSession, globs: Sequence[str], lexicon: L.Lexicon, threshold: str = "orange", register: str | None = None, as_json: bool = False, config: str | None = None) -> tuple[str, int]:
-    """(report, exit code): 0 fine, 1 with a file at or above the threshold, 2 without a file."""
-    files = read_files(spark, globs)
+#: Files whose report is made on the driver; beyond it the report is written by ``write_json``.
+CONSOLE_FILES = 50_000
+
+
+def run(
+    spark: SparkSession, globs: Sequence[str], lexicon: L.Lexicon | None = None, threshold: str | None = None, register: str | None = None, as_json: bool = False, config: str | None = None, cwd: str = ".",
+    hard_terms: Sequence[tuple] = V.HARD_TERMS,
+) -> tuple[str, int]:
+    """(report, exit code): 0 fine, 1 with a file at or above the threshold, 2 without a file.
+
+    A repository's configuration at or above ``cwd`` gives words, register and threshold where no argument does; a
+    malformed one raises ``ValueError``. ``lexicon``: in place of the built-in one with the configured words. More than
+    ``CONSOLE_FILES`` files raise ``ValueError``: their report belongs in a table.
+    """
+    repo = find_config(cwd)
+    if repo is not None:
+        threshold, register, config = threshold or repo.threshold, register or repo.register, config or repo.path
+    if lexicon is None:
+        lexicon = L.Lexicon.of(L.builtin_entries(hard_terms), repo.banned if repo else (), repo.allowed if repo else ())
+    files = read_files(spark, globs, cwd)
     results, found = lint(files, lexicon, register)
-    rows = [r.asDict(True) for r in results.collect()]  # one small row a linted file, for the console
+    rows = [r.asDict(True) for r in results.limit(CONSOLE_FILES + 1).collect()]  # one small row a linted file
     if not rows:
-        return "No files matched.", 2
+        return f"No files matched: {', '.join(globs)}", 2
+    if len(rows) > CONSOLE_FILES:
+        raise ValueError(f"more than {CONSOLE_FILES} files: use lint and write_json")
+    threshold = threshold or "orange"
     text = (format_json if as_json else format_text)(rows, [f.asDict(True) for f in found.collect()], threshold, config)
     return text, int(any(V.TIERS.index(r["tier"]) >= V.TIERS.index(threshold) for r in rows))
+
+
+def write_json(results: DataFrame, findings: DataFrame, path: str) -> None:
+    """One JSON object a file, with its findings in order, written by the executors."""
+    cols = [c for c in findings.columns if c != "doc_id"]
+    listed = findings.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("group_nth", "nth", *[c for c in cols if c not in ("group_nth", "nth")]))).alias("findings"))
+    results.join(listed, "doc_id", "left").write.json(path)

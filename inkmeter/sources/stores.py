@@ -22,7 +22,7 @@ from ..operators.lexicon import dedupe_words, remove_word
 # fixed values: file names of a repository's configuration, in order, and the alphabet of short ids
 CONFIG_NAMES = ("prose.config.json", ".proserc.json", ".proserc")
 SHORT_ALPHABET = "ABCDEFGHJKMNPQRSTUVWXYZ23456789"
-GLOBAL = "global"
+GLOBAL, TEAM = "global", "team"
 
 
 def home(env: str = "INKMETER_HOME") -> Path:
@@ -190,13 +190,17 @@ def parse_config(raw: dict, path: str | None = None) -> RepoConfig:
         raise ValueError("instructions must be a string")
     style = raw.get("style")
     if style is not None:
-        dials = style.get("dials") if isinstance(style, dict) else None
-        if not isinstance(dials, dict) or not isinstance(style.get("name", ""), str):
-            raise ValueError("style must have dials")
-        for k, v in dials.items():
-            top = 10 if k in V.PERSONA_LINES else 100 if k in V.DIALS else None
-            if top is None or isinstance(v, bool) or not isinstance(v, int | float) or not 0 <= v <= top:
-                raise ValueError(f"style.dials.{k} must be from 0 to {top}" if top else f"unknown dial {k}")
+        if not isinstance(style, dict) or not isinstance(style.get("name"), str) or not style["name"].strip():
+            raise ValueError("style.name must be a string that isn't empty")
+        if not isinstance(style.get("dials"), dict):
+            raise ValueError("style.dials must be an object")
+        dials = {}
+        for k in (*V.PERSONA_LINES, *V.DIALS):
+            v, top = style["dials"].get(k), 10 if k in V.PERSONA_LINES else 100
+            if isinstance(v, bool) or not isinstance(v, int | float) or not 0 <= v <= top:
+                raise ValueError(f"style.dials.{k} must be a number from 0 to {top}")
+            dials[k] = v
+        style = {"name": style["name"].strip(), "dials": dials}
     return RepoConfig(words("bannedWords"), words("allowedWords"), one_of("register", V.REGISTERS), one_of("threshold", V.TIERS), raw.get("instructions"), style, path)
 
 

@@ -14,6 +14,7 @@ from inkmeter.operators import audit as A
 from inkmeter.operators import lexicon as L
 from inkmeter.operators import rhythm as R
 from inkmeter.operators import stats as S
+from inkmeter.plans import cli as CLI
 from inkmeter.plans import report
 from inkmeter.sources import files as FI
 from inkmeter.sources import stores as ST
@@ -75,15 +76,81 @@ def test_lint_report(spark, tmp_path):
     assert report.wrap("a bb ccc", "  ", 6) == ["  a bb", "  ccc"]
 
 
+TEAM_DIALS = {"formality": 3, "warmth": 8, "directness": 9} | {k: 50 for k in V.DIALS} | {"entropy": 80}
+
+
+def test_hidden_names_and_ignored_folders(spark, tmp_path):
+    for name in ("_posts/a.md", "docs/_c.md", "docs/b.md", ".github/d.md", "docs/.e.md", "node_modules/x/f.md", "docs/dist/g.md", "docs/h i+j%20.md", "docs/k[1].md", "docs/l.txt"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(f"text of {name}\n")
+    want = sorted(str(tmp_path / n) for n in ("_posts/a.md", "docs/_c.md", "docs/b.md", ".github/d.md", "docs/.e.md", "docs/h i+j%20.md", "docs/k[1].md"))
+    assert FI.list_files(spark, ["**/*.md", "docs/*.md"], str(tmp_path)) == want
+    got = {r.path: r.text for r in FI.read_files(spark, ["**/*.md"], str(tmp_path)).collect()}
+    assert got == {p: f"text of {p.removeprefix(str(tmp_path) + '/')}\n" for p in want}
+    assert [r.path for r in FI.read_files(spark, ["docs/_c.md", "docs/none.md", "docs"], str(tmp_path)).collect()] == [f"{tmp_path}/docs/_c.md"]
+    assert FI.read_files(spark, ["none/**/*.md"], str(tmp_path)).count() == 0
+
+
+def test_command_line(spark, tmp_path, capsys):
+    for bad in (["--threshold", "pink", "a"], ["--register"], ["--loud", "a"], [], ["--json"]):
+        with pytest.raises(ValueError):
+            CLI.parse_lint_args(bad)
+    a = CLI.parse_lint_args(["a.md", "--json", "--register", "memo", "b/**", "--threshold", "red"])
+    assert (a.patterns, a.register, a.threshold, a.as_json) == (["a.md", "b/**"], "memo", "red", True)
+    assert CLI.main(["lint", "--help"]) == 0 and "Usage" in capsys.readouterr().out and CLI.main(["sing"]) == 2 and CLI.main(["lint", "--pink"]) == 2
+    (tmp_path / ".git").mkdir()
+    (tmp_path / "a.md").write_text("A quiet harbour rope, plain and short.\n")
+    assert CLI.main(["lint", "a.md"], spark, str(tmp_path)) == 0
+    (tmp_path / ST.CONFIG_NAMES[0]).write_text(json.dumps({"bannedWords": ["rope", "quiet"], "allowedWords": ["quiet"], "register": "memo", "threshold": "yellow"}))
+    capsys.readouterr()
+    assert CLI.main(["lint", "*.md"], spark, str(tmp_path)) == 1
+    out = capsys.readouterr().out
+    assert "Using config:" in out and "register: memo" in out and "at or above yellow" in out and "rope" in out and "quiet " not in out.split("strengths")[0].split("rope")[1]
+    assert CLI.main(["lint", "*.md", "--threshold", "red"], spark, str(tmp_path)) == 0
+    (tmp_path / ST.CONFIG_NAMES[0]).write_text("{")
+    assert CLI.main(["lint", "*.md"], spark, str(tmp_path)) == 2
+
+
+def test_repository_configuration_in_the_tools(spark, tmp_path):
+    (tmp_path / "repo" / ".git").mkdir(parents=True)
+    p = Prose(spark, tmp_path / "home", cwd=str(tmp_path / "repo"))
+    with pytest.raises(ValueError):
+        p.get_style_guide("team")
+    before = p.audit_text("The rope and the rope hold.")
+    (tmp_path / "repo" / ST.CONFIG_NAMES[1]).write_text(json.dumps({"bannedWords": ["rope"], "register": "docs", "instructions": "No puns.", "style": {"name": "House", "dials": TEAM_DIALS}}))
+    after = p.audit_text("The rope and the rope hold.")
+    assert before["score"] == 0 and before["register"] == "general" and after["score"] > 0 and after["register"] == "docs"
+    assert p.audit_text("The rope and the rope hold.", register="memo")["register"] == "memo"
+    assert [s for s in p.list_styles()["styles"] if s["id"] == "team"][0]["name"] == "House"
+    p.set_style_instructions("Be brief.")
+    g = p.get_style_guide("team")
+    assert g["instructions"] == "No puns.\n\nBe brief." and g["guide"].startswith(V.PERSONA_LINES["formality"][0]) and g["dials"]["entropy"] == 80
+    assert p.get_style_guide("code-comment")["instructions"].startswith("No puns.")
+
+
+def test_retraining_merges_by_presence_and_forks_keep_words(spark, tmp_path):
+    seed = {"guide": "Write plainly.", "formality": 2, "warmth": 3, "directness": 4, "dials": {"entropy": 0}, "banned": ["tar"], "custom": ["eel"], "instructions": "Short."}
+    p = Prose(spark, tmp_path, published=lambda handle, slug: seed if (handle, slug) == ("ann", "calm-one") else None)
+    v = p.train_style("Harbour", ["red rope red rope holds. crew boats crew boats drift.", "red rope red rope again."])
+    assert v["topBigrams"][0] == "red rope"
+    w = p.train_style("harbour", ["crew boats crew boats wait.", "crew boats crew boats go."])
+    assert w["topBigrams"][0] == "crew boats" and "red rope" in w["topBigrams"]  # three samples, the old voice one of them
+    f = p.fork_style("ann/calm-one", "Mine")
+    assert (f["guide"], f["persona"]["directness"], f["forkedFrom"]) == ("Write plainly.", 4, "ann/calm-one")
+    assert p.list_dictionary(f["id"])["banned"] == ["tar"] and p.list_dictionary(f["id"])["custom"] == ["eel"] and p.get_style_instructions(f["id"]) == "Short."
+    with pytest.raises(ValueError):
+        p.fork_style("bob/none", "x")
+
+
 def test_configuration(tmp_path):
     (tmp_path / ".git").mkdir()
     (tmp_path / "a" / "b").mkdir(parents=True)
     name = ST.CONFIG_NAMES[0]
     assert ST.find_config(f"{tmp_path}/a/b") is None
-    (tmp_path / name).write_text(json.dumps({"bannedWords": ["rope"], "register": "memo", "threshold": "red", "style": {"name": "Team", "dials": {"formality": 3, "entropy": 80}}}))
+    (tmp_path / name).write_text(json.dumps({"bannedWords": ["rope"], "register": "memo", "threshold": "red", "style": {"name": " Team ", "dials": TEAM_DIALS}}))
     c = ST.find_config(f"{tmp_path}/a/b")
     assert (c.banned, c.register, c.threshold) == (["rope"], "memo", "red")
-    for bad in ({"bannedWords": "x"}, {"register": "song"}, {"threshold": 3}, {"instructions": 1}, {"style": {"dials": {"formality": 11}}}, {"style": {"dials": {"pitch": 1}}}, {"style": 1}, []):
+    for bad in ({"bannedWords": "x"}, {"register": "song"}, {"threshold": 3}, {"instructions": 1}, {"style": {"name": "x", "dials": TEAM_DIALS | {"formality": 11}}}, {"style": {"name": "x", "dials": {"formality": 1}}}, {"style": {"name": " ", "dials": TEAM_DIALS}}, {"style": 1}, []):
         with pytest.raises(ValueError):
             ST.parse_config(bad)
     (tmp_path / name).write_text("{")
