@@ -4,8 +4,10 @@ A document's fingerprint takes, bit by bit, the majority of its shingles' hashes
 dealt to shards: their 64 bits are cut into ``blocks`` blocks, and two fingerprints that differ in at most
 ``radius`` bits agree on at least ``blocks - radius`` of them, so they meet in the shard of some choice of as
 many blocks. A shard with two or more fingerprints builds a BK-tree, children keyed by their distance to the
-parent, and searches it for each of its members, following only edges within the radius. Links leave a shard as
-a spanning forest, so a large group of near copies never becomes all of its pairs.
+parent, and searches it for each of its members, following only edges within the radius. A shard of more than
+``TILE`` fingerprints is cut into tiles: a tree for each, searched for its own members and for those of the tiles
+after it, on different tasks. Links leave a tree as a spanning forest, so a large group of near copies never
+becomes all of its pairs.
 
 A tree of all fingerprints grows with the corpus and is not broadcast; each tree goes where its shard is.
 """
@@ -97,13 +99,16 @@ class BKTree:
                 for k in np.unique(d):
                     stack.append((node, int(k), rest[d == k]))
 
-    def near(self, radius: int) -> Iterator[tuple[int, np.ndarray]]:
-        stack = [(0, np.arange(len(self.values)))] if len(self.values) else []
+    def near(self, radius: int, searched: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
+        """searched: other fingerprints than the tree's own; the members yielded are then rows of it."""
+        own = searched is None
+        values = self.values if own else searched
+        stack = [(0, np.arange(len(values)))] if len(self.values) and len(values) else []
         while stack:
             node, queries = stack.pop()
             pivot = self.pivots[node]
-            d = distance(self.values[queries], self.values[pivot])
-            close = queries[(d <= radius) & (queries != pivot)]
+            d = distance(values[queries], self.values[pivot])
+            close = queries[(d <= radius) & (queries != pivot)] if own else queries[d <= radius]
             if len(close):
                 yield pivot, close
             for key, child in self.children[node].items():
@@ -112,14 +117,16 @@ class BKTree:
                     stack.append((child, go))
 
 
-def shard_links(values: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links among the fingerprints of a shard, as indices of their rows."""
-    if len(values) == 2:
-        return [(0, 1)] if distance(values[:1], values[1])[0] <= radius else []
+def shard_links(values: np.ndarray, radius: int, others: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the links among the fingerprints of a shard, as indices of their rows.
+
+    others: of the links between them and ``others`` instead, whose rows are counted on.
+    """
     uf = UnionFind()
     out = []
-    for pivot, close in BKTree(values).near(radius):
-        for q in close.tolist():
+    shift = 0 if others is None else len(values)
+    for pivot, close in BKTree(values).near(radius, others):
+        for q in (close + shift).tolist():
             if uf.find(q) != uf.find(pivot):
                 uf.union(q, pivot)
                 out.append((q, pivot))
@@ -134,31 +141,120 @@ def _shard_keys(fp: Column, radius: int, blocks: int) -> Column:
     for n, chosen in enumerate(combinations(range(blocks), blocks - radius)):
         mask = sum(masks[k] for k in chosen)
         signed = mask - (1 << BITS) if mask >= 1 << (BITS - 1) else mask
-        keys.append(F.struct(F.lit(n).cast("short").alias("choice"), fp.bitwiseAND(F.lit(signed)).alias("bits")))
+        keys.append(F.xxhash64(F.lit(n), fp.bitwiseAND(F.lit(signed))))
     return F.array(*keys)
 
 
+def grouped_runs(batches: Iterator[pa.RecordBatch], key: str, value: str, tile: int) -> Iterator[tuple[int, np.ndarray, int, bool]]:
+    """Of rows sorted by key and value: (key, distinct values, place of the first, whole) of every run of two or more.
+
+    A run of more than ``tile`` values comes in parts that aren't whole; no more than a batch and a tile are held.
+    """
+    now: int | None = None
+    held: list[np.ndarray] = []
+    size = place = 0
+    last = None  # the value before, as equal ones stand together
+
+    def close(more: bool) -> Iterator[tuple[int, np.ndarray, int, bool]]:
+        if size > 1 or size and place:
+            yield now, np.concatenate(held), place, not place and not more
+
+    for b in batches:
+        k, v = b.column(key).to_numpy(), b.column(value).to_numpy()
+        if not len(k):
+            continue
+        cuts = np.concatenate([[0], np.flatnonzero(k[1:] != k[:-1]) + 1, [len(k)]])
+        lone = np.diff(cuts) == 1
+        for n, (s, e) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
+            if lone[n] and 0 < n < len(lone) - 1:  # most: a value that meets none
+                continue
+            if k[s] != now:
+                yield from close(False)
+                now, held, size, place, last = int(k[s]), [], 0, 0, None
+            part = v[s:e]
+            fresh = part[np.concatenate([[last is None or part[0] != last], part[1:] != part[:-1]])]
+            last = part[-1]
+            if len(fresh):
+                held.append(fresh)
+                size += len(fresh)
+            if size > tile:
+                yield from close(True)
+                held, place, size = [], place + size, 0
+    yield from close(False)
+
+
+#: Members of a shard or bucket that are searched or compared as one; larger ones are cut into tiles.
+TILE = 512
+_SLOT = "key long, a long, b long, pos long"
+
+
+def _found(key: int, a: np.ndarray | list, b: np.ndarray | list | None, pos: np.ndarray | None) -> pa.RecordBatch:
+    """Links a, b; or members a of a large run with their places."""
+    n = len(a)
+    none = pa.nulls(n, pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(np.full(n, key)), pa.array(a, pa.int64()), none if b is None else pa.array(b, pa.int64()), none if pos is None else pa.array(pos, pa.int64())], names=["key", "a", "b", "pos"])
+
+
+def tile_units(members: DataFrame, tile: int) -> DataFrame:
+    """key, unit, role, a: each pair of tiles of a large run's members (key, a, pos), and each tile with itself.
+
+    Role 1 is the unit's first tile, role 2 its second.
+    """
+    sizes = members.groupBy("key").agg(F.ceil((F.max("pos") + 1) / tile).cast("long").alias("k"))
+    own = F.floor(F.col("pos") / tile).cast("long")
+    first = F.transform(F.sequence(own, F.col("k") - 1), lambda j: F.struct((own * F.col("k") + j).alias("unit"), F.lit(1).cast("long").alias("role")))
+    second = F.transform(F.sequence(F.lit(0).cast("long"), own), lambda i: F.struct((i * F.col("k") + own).alias("unit"), F.lit(2).cast("long").alias("role")))
+    dealt = members.join(sizes, "key").select("key", "a", F.explode(F.concat(first, second)).alias("u"))
+    return dealt.select("key", "u.unit", "u.role", "a")
+
+
+def units_of(batches: Iterator[pa.RecordBatch], value: str) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Of rows sorted by key, unit and role: (key, unit, values of the first tile, values of the second)."""
+    now: tuple[int, int] | None = None
+    held: tuple[list, list] = ([], [])
+    done = lambda: (*now, *(np.concatenate(x) if x else np.zeros(0, np.int64) for x in held))
+    for b in batches:
+        rows = [b.column(c).to_numpy() for c in ("key", "unit", "role", value)]
+        k = np.stack(rows[:3], 1)
+        cuts = np.concatenate([[0], np.flatnonzero((k[1:] != k[:-1]).any(1)) + 1, [len(k)]]) if len(k) else np.zeros(1, int)
+        for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            at = (int(k[s, 0]), int(k[s, 1]))
+            if at != now:
+                if now is not None:
+                    yield done()
+                now, held = at, ([], [])
+            held[int(k[s, 2]) - 1].append(rows[3][s:e])
+    if now is not None:
+        yield done()
+
+
 def near_groups(prints: DataFrame, radius: int, blocks: int) -> DataFrame:
     """fp, component_id, members of every distinct fingerprint of ``prints`` (id, fp).
 
     component_id: the least id of all rows whose fingerprints are reachable over links.
     """
     distinct = stable(prints.groupBy("fp").agg(F.min("id").alias("least_id")), "fingerprints")
-    shards = distinct.select("fp", F.explode(_shard_keys(F.col("fp"), radius, blocks)).alias("k")).groupBy("k.choice", "k.bits").agg(F.collect_list("fp").alias("fps")).filter(F.size("fps") > 1).select("fps")
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            a, z = [], []
-            col = b.column("fps")
-            flat, at = col.values.to_numpy(), col.offsets.to_numpy()
-            for s, e in zip(at[:-1], at[1:], strict=True):
-                part = np.sort(flat[s:e])
-                for i, j in shard_links(part.view(np.uint64)[:, None], radius):
-                    a.append(part[i])
-                    z.append(part[j])
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(z, pa.int64())], names=["a", "b"])
-
-    links = shards.mapInArrow(work, "a long, b long")
+    slots = distinct.select(F.explode(_shard_keys(F.col("fp"), radius, blocks)).alias("key"), F.col("fp").alias("a"))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, values, place, is_whole in grouped_runs(batches, "key", "a", TILE):
+            if not is_whole:
+                yield _found(key, values, None, np.arange(place, place + len(values)))
+            elif found := shard_links(values.view(np.uint64)[:, None], radius):
+                yield _found(key, values[[i for i, _ in found]], values[[j for _, j in found]], None)
+
+    def search_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by key, unit and role."""
+        for key, _, one, two in units_of(batches, "a"):
+            x, y = one.view(np.uint64)[:, None], two.view(np.uint64)[:, None]
+            if found := shard_links(x, radius, y):
+                both = np.concatenate([one, two])
+                yield _found(key, both[[i for i, _ in found]], both[[j for _, j in found]], None)
+
+    first = stable(slots.repartition("key").sortWithinPartitions("key", "a").mapInArrow(search, _SLOT), "shard-links")
+    units = tile_units(first.filter("b IS NULL"), TILE)
+    more = units.repartition("key", "unit").sortWithinPartitions("key", "unit", "role").mapInArrow(search_tiles, _SLOT)
+    links = first.filter("b IS NOT NULL").select("a", "b").unionByName(more.select("a", "b"))
     classes = connected_components(links)
     named = stable(distinct.join(classes.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp")), "labels")
     least = stable(named.groupBy("label").agg(F.min("least_id").alias("component_id")), "least-ids")
@@ -182,9 +278,6 @@ def simhash_components(docs: DataFrame, shingle: int = 3, radius: int = 2, block
 WIDE = 4
 #: Near copies: minima that make a bucket's key, and the chance that a pair at the similarity meets in no bucket.
 BAND, MISS = 6, 1e-4
-#: Members of a bucket's tile; larger buckets are compared tile by tile.
-TILE = 512
-
 
 def mixed_hashes(h: np.ndarray, k: int) -> np.ndarray:
     """The k-th family of hashes, from the first by a multiply-and-shift mix."""
@@ -277,17 +370,24 @@ def similar_components(docs: DataFrame, shingle: int = 5, similarity: float = 0.
 
     rows = stable(src.mapInArrow(sketches, "id long, fp binary, keys array<long>"), "sketches")
     distinct = stable(rows.groupBy("fp").agg(F.min("id").alias("node"), F.first("keys").alias("keys")), "distinct-sets")
-    slots = distinct.select("node", F.explode("keys").alias("key"))
-    shared = slots.groupBy("key").agg(F.sort_array(F.collect_set("node")).alias("nodes")).filter(F.size("nodes") > 1)
-    buckets = stable(shared.select("nodes").distinct().withColumn("bucket", F.monotonically_increasing_id()), "buckets")
-
-    # a bucket of several tiles is compared by pairs of tiles, each within itself too
-    n_tiles = F.ceil(F.size("nodes") / TILE).cast("long")
-    members = buckets.select("bucket", n_tiles.alias("tiles"), F.posexplode("nodes").alias("at", "node"))
-    tile = F.floor(F.col("at") / TILE)
-    others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1), lambda u: u != tile)
-    units = F.when(F.col("tiles") == 1, F.array(F.lit(0).cast("long"))).otherwise(F.transform(others, lambda u: F.least(u, tile) * F.col("tiles") + F.greatest(u, tile)))
-    dealt = members.select("bucket", "node", F.explode(units).alias("unit"))
+    slots = distinct.select(F.explode("keys").alias("key"), F.col("node").alias("a"))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Small buckets as lists of nodes, members of large ones a row each."""
+        keys, nodes, first = [], [], []
+        for key, values, place, is_whole in grouped_runs(batches, "key", "a", TILE):
+            keys.append(key), nodes.append(values), first.append(None if is_whole else place)
+            if len(keys) >= 4096:
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(nodes, pa.list_(pa.int64())), pa.array(first, pa.int64())], names=["key", "nodes", "first"])
+                keys, nodes, first = [], [], []
+        if keys:
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(nodes, pa.list_(pa.int64())), pa.array(first, pa.int64())], names=["key", "nodes", "first"])
+
+    met = stable(slots.repartition("key").sortWithinPartitions("key", "a").mapInArrow(meet, "key long, nodes array<long>, first long"), "buckets")
+    # the same few documents meet in many buckets: their list is compared once
+    small = met.filter("first IS NULL").select(F.array_sort("nodes").alias("nodes")).distinct().withColumn("key", F.xxhash64("nodes"))
+    lists = small.select("key", F.lit(-1).cast("long").alias("unit"), F.lit(1).cast("long").alias("role"), F.explode("nodes").alias("a"))
+    large = met.filter("first IS NOT NULL").select("key", "first", F.posexplode("nodes").alias("at", "a")).select("key", "a", (F.col("first") + F.col("at")).alias("pos"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -295,35 +395,72 @@ def similar_components(docs: DataFrame, shingle: int = 5, similarity: float = 0.
             fp = [xxhash.xxh3_128_digest(x.astype("<u8").tobytes()) for x in s]
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(fp, pa.binary()), pa.array([x.view(np.int64) for x in s], pa.list_(pa.int64()))], names=["node", "fp", "hashes"])
 
-    wanted = stable(buckets.select(F.explode("nodes").alias("id")).distinct(), "candidates")
+    wanted = stable(met.select(F.explode("nodes").alias("id")).distinct(), "candidates")
     held = src.join(wanted, "id", "left_semi").mapInArrow(sets, "node long, fp binary, hashes array<long>").filter(F.size("hashes") > 0)
     held = stable(held.groupBy("node", "fp").agg(F.first("hashes").alias("hashes")).drop("fp"), "shingle-sets")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by bucket and unit."""
+        """Rows come sorted by key, unit and role."""
+        node: list[int] = []
+        parts: list[np.ndarray] = []
+        roles: list[int] = []
+        last = None
 
-        def closed(node: list, parts: list) -> pa.RecordBatch:
+        def closed() -> pa.RecordBatch:
             starts = np.concatenate([[0], np.cumsum([len(x) for x in parts])])
             found = set_links(np.concatenate(parts), starts, similarity)
             return pa.RecordBatch.from_arrays([pa.array([node[i] for i, _ in found], pa.int64()), pa.array([node[j] for _, j in found], pa.int64())], names=["a", "b"])
 
-        node: list[int] = []
-        parts: list[np.ndarray] = []
-        last = None
         for b in batches:
             col = b.column("hashes")
             flat, at = col.values.to_numpy(), col.offsets.to_numpy()
-            for k, (*key, own) in enumerate(zip(*(b.column(c).to_pylist() for c in ("bucket", "unit", "node")), strict=True)):
-                if key != last and node:
-                    yield closed(node, parts)
-                    node, parts = [], []
-                last = key
-                node.append(own)
-                parts.append(flat[at[k] : at[k + 1]].copy())
-        if node:
-            yield closed(node, parts)
-
-    met = dealt.join(held, "node").select("bucket", "unit", "node", "hashes").repartition("bucket", "unit").sortWithinPartitions("bucket", "unit")
-    classes = connected_components(met.mapInArrow(compare, "a long, b long"))
+            for k, (*key, own) in enumerate(zip(*(b.column(c).to_pylist() for c in ("key", "unit", "a")), strict=True)):
+                if key != last:
+                    if len(node) > 1:
+                        yield closed()
+                    node, parts, last = [], [], key
+                if own not in node[-1:]:  # a tile with itself comes in both roles
+                    node.append(own)
+                    parts.append(flat[at[k] : at[k + 1]].copy())
+        if len(node) > 1:
+            yield closed()
+
+    def linked(units: DataFrame) -> DataFrame:
+        dealt = units.join(held, units["a"] == held["node"]).select("key", "unit", "role", "a", "hashes")
+        return dealt.repartition("key", "unit").sortWithinPartitions("key", "unit", "a").mapInArrow(compare, "a long, b long")
+
+    links = linked(lists)
+    if large.limit(1).count():
+        # a large bucket is mostly one group: its members are held against its first one, and only members that no
+        # link joins to the bucket's largest class are held against all tiles
+        first = stable(links.unionByName(linked(_stars(large))), "similar-links")
+        label = connected_components(first).withColumnRenamed("node", "a")
+        classed = large.join(label, "a", "left").withColumn("label", F.coalesce("label", "a"))
+        sizes = classed.groupBy("key", "label").count()
+        main = sizes.groupBy("key").agg(F.max_by("label", F.struct("count", "label")).alias("main"))
+        apart = stable(classed.join(main, "key").select("key", "a", "pos", (F.col("label") != F.col("main")).alias("apart")), "apart")
+        links = first.unionByName(linked(_cross(apart)))
+    classes = connected_components(links)
     named = stable(distinct.select("node", "fp").join(classes, "node", "left").select("fp", F.coalesce("label", "node").alias("component_id")), "similar-classes")
     return rows.select("id", "fp").join(named, "fp").select(F.col("id").alias(id_col), "component_id")
+
+
+def _stars(large: DataFrame) -> DataFrame:
+    """Each tile of a large bucket's members, and the bucket's first member with each."""
+    tile = F.floor(F.col("pos") / TILE).cast("long")
+    sizes = large.groupBy("key").agg(F.max(tile).alias("last"))
+    hub = large.filter("pos = 0").join(sizes, "key").select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))).alias("unit"), "a")
+    return hub.unionByName(large.filter("pos > 0").select("key", tile.alias("unit"), "a")).withColumn("role", F.lit(1).cast("long"))
+
+
+def _cross(members: DataFrame) -> DataFrame:
+    """Tiles of the members that stand apart, each with every tile of the bucket."""
+    order = F.floor(F.col("pos") / TILE).cast("long")
+    sizes = members.groupBy("key").agg(F.max(order).alias("last"), F.max(F.when(F.col("apart"), order)).alias("odd")).filter("odd IS NOT NULL")
+    wide = F.col("last") + 1
+    all_tiles = members.join(sizes, "key").select("key", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("odd")), lambda i: i * wide + order)).alias("unit"), "a")
+    odd = members.filter("apart").join(sizes, "key").select("key", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("last")), lambda j: order * wide + j)).alias("unit"), "a")
+    # units without a member that stands apart have nothing to compare
+    some = odd.select("key", "unit").distinct()
+    return all_tiles.join(some, ["key", "unit"], "left_semi").unionByName(odd).distinct().withColumn("role", F.lit(1).cast("long"))
+

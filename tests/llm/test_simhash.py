@@ -128,3 +128,61 @@ def test_large_buckets_are_compared_in_tiles(spark, monkeypatch):
     base = [f"w{k}" for k in range(150)]
     rows = [(n, " ".join([*base[: (at := int(rng.integers(140)))], f"new{n}", *base[at + 1 + int(rng.integers(9)) :]]), "en", "a") for n in range(40)]
     assert {r.doc_id: r.component_id for r in S.similar_components(docs(spark, rows)).collect()} == jaccard_components([r[:2] for r in rows])
+
+
+def test_large_buckets_of_several_groups(spark, monkeypatch):
+    """Groups that meet in buckets without linking: the second pass must find links of what stands apart."""
+    monkeypatch.setattr(S, "TILE", 3)
+    rng = np.random.default_rng(8)
+    rows = []
+    for g in range(4):
+        own = [f"w{k}" for k in range(100)] + [f"g{g}-{k}" for k in range(25)]
+        for n in range(12):
+            w = list(own)
+            for at in rng.integers(0, len(w), int(rng.integers(0, 4))):
+                w[int(at)] = f"new{g}-{n}-{at}"
+            rows.append((100 * g + n, " ".join(w), "en", "a"))
+    want = jaccard_components([r[:2] for r in rows])
+    assert len(set(want.values())) > 3
+    assert {r.doc_id: r.component_id for r in S.similar_components(docs(spark, rows)).collect()} == want
+
+
+def test_dense_shards_are_searched_in_tiles(spark, monkeypatch):
+    monkeypatch.setattr(S, "TILE", 8)
+    rng = np.random.default_rng(9)
+    values = sorted({int(x) << 3 | 5 << 40 for x in rng.integers(0, 1 << 12, 90)})
+    rows = [(k, v) for k, v in enumerate(values)]
+    comp = list(range(len(values)))
+    for _ in values:  # the least place reachable
+        for i, a in enumerate(values):
+            comp[i] = min(comp[j] for j, b in enumerate(values) if (a ^ b).bit_count() <= 2)
+        comp = [comp[c] for c in comp]
+    got = {r.fp: r.component_id for r in S.near_groups(spark.createDataFrame(rows, "id long, fp long"), 2, 6).collect()}
+    assert got == dict(zip(values, comp)) and 1 < len(set(comp)) < len(values)
+
+
+def test_grouped_runs_equal_a_plain_loop():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(10)
+    for size in (1, 2, 7, 1000):
+        rows = sorted((int(k), int(v)) for k, v in zip(rng.integers(0, 25, 90) ** 2 // 20, rng.integers(0, 12, 90)))
+        batches = [pa.RecordBatch.from_pydict({"key": [k for k, _ in rows[s : s + size]], "a": [v for _, v in rows[s : s + size]]}) for s in range(0, len(rows), size)]
+        got, whole = {}, {}
+        for key, values, place, is_whole in S.grouped_runs(iter(batches), "key", "a", 4):
+            assert place == len(got.get(key, []))
+            got.setdefault(key, []).extend(values.tolist())
+            whole[key] = is_whole
+        want = {}
+        for k, v in rows:
+            want.setdefault(k, set()).add(v)
+        assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items() if len(v) > 1}
+        assert all(len(want[k]) <= 4 or not w for k, w in whole.items()) and all(w or len(want[k]) > 4 for k, w in whole.items())
+
+
+def test_very_long_text(spark):
+    long = "Words of a very long text that goes on. " * 60_000
+    rows = [(1, long, "en", "a"), (2, long.upper(), "en", "a"), (3, "x" * 2_000_000, "en", "a")]
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in S.simhash_components(docs(spark, rows)).collect()}
+    assert got[1] == got[2] and got[1][1] == 1 and got[3][1] == 3
+    assert {r.doc_id: r.component_id for r in S.similar_components(docs(spark, rows)).collect()} == {1: 1, 2: 1, 3: 3}
