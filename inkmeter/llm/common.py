@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 from pathlib import Path
@@ -28,12 +30,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one only where none is named, as in tests."""
+    """The folder named in spark.checkpoint.dir; a temporary one only where none is named and all tasks run here."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not _own_dir:
         _own_dir.append("file://" + tempfile.mkdtemp(prefix="inkmeter-"))
+        atexit.register(shutil.rmtree, _own_dir[0].removeprefix("file://"), ignore_errors=True)
     return _own_dir[0]
 
 
@@ -55,13 +60,16 @@ def stable(df: DataFrame, what: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete every intermediate table written so far; call it when no result that reads them is needed."""
+def release(spark: SparkSession, paths: list[str] | None = None) -> None:
+    """Delete intermediate tables, all that were written so far unless some are named.
+
+    Call it when no result that reads them is needed any more: results are read lazily from the last of them.
+    """
     jvm = spark.sparkContext._jvm
-    for path in _written:
+    for path in list(_written if paths is None else paths):
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    _written.clear()
+        _written.remove(path)
 
 
 def remainder(id_col: str, m: int) -> Column:

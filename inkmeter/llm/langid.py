@@ -21,6 +21,8 @@ from .common import whole
 SIZE, ORDER = 400, 3
 #: n-grams that a task gathers of a language before it sums them up.
 HELD = 2_000_000
+#: Characters of a text whose n-grams are held at once.
+SLICE = 1 << 18
 PAD, BITS = ord("_"), 21
 _letters: list[np.ndarray] = []
 
@@ -51,13 +53,40 @@ def grams(text: str, order: int = ORDER) -> np.ndarray:
     return np.concatenate(out)
 
 
+def slices(text: str) -> Iterator[str]:
+    """The text in pieces of about ``SLICE`` characters that end between words, so their n-grams add up to the text's.
+
+    A word of several slices is kept whole.
+    """
+    at = 0
+    while len(text) - at > SLICE:
+        end = at + SLICE
+        while end < len(text) and text[end - 1].isalpha():
+            end += 1
+        yield text[at:end]
+        at = end
+    yield text[at:]
+
+
+def gram_counts(text: str, order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
+    """The text's distinct n-grams and how often each occurs, slice by slice."""
+    u, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for part in slices(text):
+        v, m = np.unique(grams(part, order), return_counts=True)
+        if not len(u):
+            u, n = v, m
+        elif len(v):
+            u, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+            n = np.bincount(at, np.concatenate([n, m]), len(u)).astype(np.int64)
+    return u, n
+
+
 def gram_text(code: int) -> str:
     return "".join(chr(x) for x in (code >> 2 * BITS, code >> BITS & (1 << BITS) - 1, code & (1 << BITS) - 1) if x)
 
 
-def ranked(codes: np.ndarray, size: int) -> np.ndarray:
-    """The ``size`` most frequent n-grams, ties by their characters."""
-    u, n = np.unique(codes, return_counts=True)
+def ranked(u: np.ndarray, n: np.ndarray, size: int) -> np.ndarray:
+    """The ``size`` most frequent of distinct n-grams, ties by their characters."""
     return u[np.argsort(-n, kind="stable")[:size]]
 
 
@@ -100,14 +129,15 @@ def learn_profiles(docs: DataFrame, size: int = SIZE, order: int = ORDER, text_c
 
         for b in batches:
             for lang, text in zip(b.column("lang").to_pylist(), b.column("text"), strict=True):
-                g = grams(text.as_py(), order)
-                held.setdefault(lang, []).append(g)
-                room += len(g)
-                if room > HELD:
-                    add_up()
-                    room = 0
-                    if sum(len(u) for u, _ in sums.values()) > HELD:
-                        yield rows()
+                for part in slices(text.as_py()):
+                    g = grams(part, order)
+                    held.setdefault(lang, []).append(g)
+                    room += len(g)
+                    if room > HELD:
+                        add_up()
+                        room = 0
+                        if sum(len(u) for u, _ in sums.values()) > HELD:
+                            yield rows()
         add_up()
         yield rows()
 
@@ -131,10 +161,10 @@ class Identifier:
 
     def __call__(self, text: str) -> tuple[str, float]:
         """Language and confidence, from 0 (two languages are as near) to 1; ``und``, 0 without a letter."""
-        codes = grams(text, self.p.order)
+        codes, n = gram_counts(text, self.p.order)
         if not len(codes) or not self.langs:
             return "und", 0.0
-        own = ranked(codes, self.p.size)
+        own = ranked(codes, n, self.p.size)
         at = np.minimum(np.searchsorted(self.known, own), len(self.known) - 1)
         there = np.where((self.known[at] == own)[:, None], self.place[at], -1)
         d = np.where(there < 0, self.p.size, np.abs(there - np.arange(len(own))[:, None])).sum(0)
