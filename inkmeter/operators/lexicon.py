@@ -13,6 +13,7 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from ..functions import fixed as V
 from ..functions import text as X
@@ -142,6 +143,17 @@ def remove_word(words: Iterable[str], word: str) -> list[str]:
     return [w for w in words if w.lower() != word.strip().lower()]
 
 
+def merged_scopes(words: DataFrame, shared: str = "global") -> DataFrame:
+    """style, nth, word: of a table (scope, ord, word) each style's words, shared ones first, the first casing of each kept."""
+    clean = words.withColumn("word", X.trim(F.col("word"))).filter("word <> ''")
+    styles = words.filter(F.col("scope") != shared).select(F.col("scope").alias("style")).distinct()
+    sources = styles.select("style", F.explode(F.array(F.lit(shared), F.col("style"))).alias("scope"))
+    mine = sources.join(clean, "scope")
+    order = [F.col("scope") != shared, F.col("ord")]
+    once = mine.withColumn("k", F.row_number().over(W.partitionBy("style", F.lower("word")).orderBy(*order))).filter("k = 1")
+    return once.select("style", F.row_number().over(W.partitionBy("style").orderBy(*order)).alias("nth"), "word")
+
+
 def phrase_pattern(term: str) -> str:
     """A literal, any case, with a boundary on a side that is a word character."""
     return "(?i)" + (r"\b" if re.match(r"[A-Za-z0-9_]", term) else "") + X.quote(term) + (r"\b" if re.search(r"[A-Za-z0-9_]$", term) else "")

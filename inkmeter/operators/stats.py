@@ -20,6 +20,21 @@ def _share(a: Column, b: Column) -> Column:
     return F.when(b > 0, a / b).otherwise(F.lit(0.0))
 
 
+def sentence_openers(sentences: Column) -> Column:
+    """The first word of each sentence that has one, in lower case."""
+    return F.array_remove(F.transform(sentences, lambda s: F.lower(F.regexp_extract(s, V.WORD, 0))), "")
+
+
+def diversity(openers: Column) -> Column:
+    """Different openers by all; 0 for fewer than two."""
+    return F.when(F.size(openers) < 2, F.lit(0.0)).otherwise(F.size(F.array_distinct(openers)) / F.size(openers))
+
+
+def variety(text: Column) -> Column:
+    """The share of the marks that a text has at all."""
+    return sum((F.contains(text, F.lit(m)).cast("int") for m in V.VARIETY_MARKS), F.lit(0)) / F.lit(len(V.VARIETY_MARKS))
+
+
 def text_stats(docs: DataFrame, text_col: str = "text", paragraph: str = r"\n\s*\n") -> DataFrame:
     """``docs`` with word_count, sentence_count and the numeric statistics; per row, without a shuffle.
 
@@ -29,15 +44,13 @@ def text_stats(docs: DataFrame, text_col: str = "text", paragraph: str = r"\n\s*
     d = docs.withColumn("_t", t).withColumn("_w", X.alpha_words(F.col("_t"))).withColumn("_s", X.sentences_scan(F.col("_t")))
     d = d.withColumn("_l", F.transform("_s", lambda s: F.regexp_count(s, F.lit(V.WORD))))
     d = d.withColumn("_p", F.transform(X.paragraphs(F.col("_t"), paragraph), lambda p: F.greatest(F.lit(1), X.sentence_count(p))))
-    d = d.withColumn("_o", F.array_remove(F.transform("_s", lambda s: F.lower(F.regexp_extract(s, V.WORD, 0))), ""))
+    d = d.withColumn("_o", sentence_openers(F.col("_s")))
     d = d.withColumn("_lm", X.moments(F.col("_l"))).withColumn("_pm", X.moments(F.col("_p")))
     d = d.withColumn("_n", F.greatest(F.lit(1), F.size("_w")))
     lengths, pars = F.col("_lm"), F.col("_pm")
     per = lambda count, scale: count / F.col("_n") * scale
     apostrophe = F.contains(F.col("_t"), F.lit("'")) | F.contains(F.col("_t"), F.lit("’"))
     contractions = F.when(apostrophe, F.regexp_count(F.col("_t"), X.rx(V.CONTRACTION))).otherwise(F.lit(0))
-    diversity = F.when(F.size("_o") < 2, F.lit(0.0)).otherwise(F.size(F.array_distinct("_o")) / F.size("_o"))
-    variety = sum((F.contains(F.col("_t"), F.lit(m)).cast("int") for m in V.VARIETY_MARKS), F.lit(0)) / F.lit(len(V.VARIETY_MARKS))
     sentences = F.size("_s")
     values = {
         "avg_sentence_length": _share(lengths["s"], lengths["n"]),
@@ -50,7 +63,7 @@ def text_stats(docs: DataFrame, text_col: str = "text", paragraph: str = r"\n\s*
         "question_rate": _share(F.size(F.filter("_s", lambda s: s.endswith("?"))), sentences),
         "avg_word_length": F.length(F.array_join("_w", "")) / F.col("_n"),
         "fragment_rate": _share(F.size(F.filter("_l", lambda k: (k > 0) & (k <= 3))), sentences),
-        "structural_entropy": (diversity + variety) / 2,
+        "structural_entropy": (diversity(F.col("_o")) + variety(F.col("_t"))) / 2,
         "relational_pronoun_rate": per(F.regexp_count(F.col("_t"), X.rx(V.RELATIONAL)), 1000),
     }
     return d.select(*docs.columns, F.col("_n").cast("long").alias("word_count"), sentences.cast("long").alias("sentence_count"), *[X.fixed(v, NUMERIC[k]).alias(k) for k, v in values.items()])

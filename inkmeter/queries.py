@@ -213,6 +213,17 @@ def text_stats(spark, sf_dir):
     return S.text_stats(table(spark, sf_dir, "documents").select("doc_id", "text"), paragraph=LINES).drop("text")
 
 
+@query(f"WITH s AS (SELECT doc_id, text, list_filter(list_transform({SCAN.format('text')}, lambda x: lower(regexp_extract(x, {lit(V.WORD)}))), lambda x: x <> '') AS o FROM documents) SELECT doc_id, CASE WHEN len(o) < 2 THEN 0 ELSE len(list_distinct(o))::DOUBLE / len(o) END AS diversity FROM s")
+def opener_diversity(spark, sf_dir):
+    t = F.col("text")
+    return table(spark, sf_dir, "documents").select("doc_id", S.diversity(S.sentence_openers(X.sentences_scan(t))).alias("diversity"))
+
+
+@query(f"SELECT doc_id, ({' + '.join(f'contains(text, {lit(m)})::INT' for m in V.VARIETY_MARKS)}) / 5.0::DOUBLE AS variety FROM documents")
+def punctuation_variety(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", S.variety(F.col("text")).alias("variety"))
+
+
 CAPS = f"""
     cs AS (SELECT doc_id, unnest({SCAN.format('text')}) AS s FROM documents),
     cw AS (SELECT doc_id, unnest(({WORDS.format('s')})[2:]) AS w FROM cs),
@@ -404,6 +415,77 @@ def lexicon_inflection(spark, sf_dir):
     return L.inflected(spark.createDataFrame([(t,) for t in _TERMS], "term string"))
 
 
+# --- the whole audit in SQL ---
+def blanked(x: str, pattern: str) -> str:
+    """Every match replaced by as many spaces, line breaks kept."""
+    parts, found = f"regexp_split_to_array({x}, {lit(pattern)})", f"regexp_extract_all({x}, {lit(pattern)})"
+    return f"array_to_string(list_transform(range(1, len({parts}) + 1), lambda i: ({parts})[i] || coalesce(regexp_replace(({found})[i], '[^\\n]', ' ', 'g'), '')), '')"
+
+
+def counts_sql(lexicon: L.Lexicon, rows: str = "d") -> str:
+    """CTEs over ``rows`` (doc_id, register, text): entry, and found with the counts of what is in force, scored or not."""
+    entries = lexicon.resolved()
+    kept = [(e.ord, e.id, e.term, e.key, e.category, e.subcategory, e.confidence, e.severity, e.strength, V.LIFECYCLE_WEIGHT[e.lifecycle], int(e.lifecycle == "hard_evidence"), e.hint, e.note, int(e.custom)) for e in entries]
+    forms = [(f, e.ord, int(e.may_be_name)) for e in entries if e.is_word for f in lexicon.forms(e)]
+    off = [(r, t) for table in (V.DETECTOR_SUPPRESSIONS, V.TERM_SUPPRESSIONS) for r, keys in table.items() for t in keys]
+    per = [
+        f"SELECT doc_id, register, {e.ord} AS ord, len(regexp_extract_all(regexp_replace(regexp_replace(text, '\\s', '  ', 'g'), '^|$', ' ', 'g'), '—|\\s--\\s')) AS k FROM {rows}" if e.id == "em-dash-rate"
+        else f"SELECT doc_id, register, {e.ord} AS ord, len(regexp_extract_all(text, {lit(X.re2(lexicon.pattern(e)))})) AS k FROM {rows}"
+        for e in entries if not e.is_word
+    ]
+    words = "[A-Za-z0-9_]+"
+    marked = "regexp_replace(text, '([.!?]\\s*)([A-Z])', '\\1' || chr(30) || '\\2', 'g')"
+    return f"""
+        {values('entry', ('ord', 'id', 'term', 'key', 'category', 'subcategory', 'confidence', 'severity', 'strength', 'life', 'hard', 'hint', 'note', 'custom'), kept)},
+        {values('form', ('token', 'ord', 'may_be_name'), forms)}, {values('quiet', ('register', 'what'), off)},
+        tk AS (SELECT doc_id, register, unnest(regexp_extract_all({marked}, '{words}|' || chr(30) || '{words}')) AS w, generate_subscripts(regexp_extract_all({marked}, '{words}|' || chr(30) || '{words}'), 1) AS nth FROM {rows}),
+        hit AS (SELECT doc_id, register, ord, count(*) AS k FROM tk JOIN form ON lower(replace(w, chr(30), '')) = token
+                WHERE NOT (may_be_name = 1 AND nth > 1 AND regexp_matches(w, '^[A-Z]')) GROUP BY ALL
+                UNION ALL {' UNION ALL '.join(per)}),
+        found AS (
+            SELECT doc_id, hit.register, hit.ord, entry.* EXCLUDE (ord), k AS count, confidence = 'red' OR k >= 2 AS scored
+            FROM hit JOIN entry USING (ord) LEFT JOIN (SELECT key AS own FROM entry WHERE custom = 1) c ON own = key AND custom = 0
+            LEFT JOIN (SELECT key AS red, term AS rterm, id AS rid FROM entry WHERE custom = 0 AND confidence = 'red') b ON red = key AND custom = 1
+            WHERE k > 0 AND NOT EXISTS (SELECT 1 FROM quiet WHERE quiet.register = hit.register AND custom = 0 AND (what = key OR what = id))
+              AND (own IS NULL OR confidence = 'red')
+              AND (red IS NULL OR EXISTS (SELECT 1 FROM quiet WHERE quiet.register = hit.register AND (what = red OR what = rid))))"""
+
+
+def audit_sql(lexicon: L.Lexicon, source: str, paragraph: str = r"\n\s*\n") -> str:
+    """The audit of ``source`` (doc_id, register, text), a result row a document, from the rules alone."""
+    pars = PARS.replace(r"'\n'", lit(paragraph))
+    piece, flags = PIECE.replace(PARS.format("text"), pars.format("text")), FLAGS_SQL.replace(DOCS, "").replace(PARS.format("text"), pars.format("text"))
+    text = blanked(blanked("coalesce(text, '')", r"(?s)```.*?```|~~~.*?~~~"), r"`[^`\n]+`")
+    weight = " ".join(f"WHEN {lit(k)} THEN {v}" for k, v in V.RHYTHM_WEIGHT.items())
+    long = f"total_words >= {V.STRUCTURE_WORDS}"
+    announced = f"len(list_filter(ps, lambda p: len(p) = 1 AND {WS.format('p[1]')} <= {V.ENUMERATION_WORDS} AND regexp_matches(p[1], {lit(V.ENUMERATION)}) AND regexp_matches(p[1], {lit(V.SELF_REFERENCE)}))) > 0"
+    ordinal = f"len(list_filter(range(1, len(ps) + 1), lambda i: regexp_matches(({pars.format('text')})[i], {lit(V.ORDINAL_OPENER)}) OR coalesce(regexp_matches(ps[i][1], {lit(V.LABEL_FRAGMENT)}), false)))"
+    summary = " ".join(f"WHEN {lit(k)} THEN {lit(v)}" for k, v in V.TIER_SUMMARY.items())
+    strong = [f"specificity >= {V.STRONG_SPECIFICITY}", f"concrete_abstract >= {V.STRONG_RATIO}", f"burstiness >= {V.STRONG_BURSTINESS}::DOUBLE"]
+    notes = ", ".join(f"CASE WHEN {c} THEN {lit(t)} END" for c, t in zip(strong, V.STRENGTH_NOTES, strict=True))
+    little = lit(V.LITTLE_TEXT).replace("%d", "' || word_count || '").replace("%s", "' || CASE WHEN word_count = 1 THEN '' ELSE 's' END || '")
+    return f"""
+        d AS (SELECT doc_id, register, {text} AS text FROM ({source})), {flags.strip().lstrip(',')},
+        {STRENGTHS_SQL}, {counts_sql(lexicon)},
+        s AS (SELECT doc_id, sum(strength * (1 + least(count - 1, 4) * 0.5::DOUBLE) * life::DOUBLE) AS weighted_sum, max(hard) = 1 AS evidence FROM found WHERE scored GROUP BY doc_id),
+        beat AS (SELECT *, {long} AND {announced} AS announced_enumeration, {ordinal} AS ordinal_paragraphs,
+                        {long} AND coalesce(register NOT IN {in_list(V.ORDINAL_SUPPRESSED)}, true) AND {ordinal} >= {V.SCAFFOLD_PARAGRAPHS} AS ordinal_scaffold FROM flags),
+        j AS (SELECT beat.doc_id, beat.register, {WS.format('beat.text')} AS word_count, specificity, concrete_abstract, burstiness, strong_signals, coalesce(weighted_sum, 0)::DOUBLE AS ws, coalesce(evidence, false) AS evidence,
+                     uniform_paragraphs::INT + low_burstiness::INT + register_drift::INT + announced_enumeration::INT + ordinal_scaffold::INT AS beats
+              FROM beat JOIN strong USING (doc_id) LEFT JOIN s USING (doc_id)),
+        e AS (SELECT *, ws / ((word_count + 1500) / 1000.0::DOUBLE) AS density FROM j),
+        f AS (SELECT *, CASE WHEN word_count = 0 THEN 0 ELSE least(100, CASE WHEN ws > 0 THEN floor(100 * density / (density + 100) + 0.5)::INT ELSE 0 END + beats * CASE register {weight} ELSE {V.DEFAULT_RHYTHM_WEIGHT} END) END::INT AS score FROM e),
+        g AS (SELECT *, CASE WHEN strong_signals >= 2 AND NOT evidence AND score >= {V.TIER_BOUNDS[1]} THEN 'yellow' ELSE {TIER} END AS tier FROM f),
+        audited AS (SELECT doc_id, coalesce(register, 'general') AS register, score, tier, word_count::BIGINT AS word_count, CASE WHEN word_count > 0 THEN specificity ELSE 0 END::DOUBLE AS specificity,
+               CASE WHEN word_count > 0 THEN concrete_abstract ELSE 0 END::DOUBLE AS concrete_abstract, CASE WHEN word_count > 0 THEN burstiness ELSE 0 END::DOUBLE AS burstiness,
+               CASE WHEN word_count = 0 THEN []::VARCHAR[] WHEN word_count < {V.RELIABLE_WORDS} THEN [{little}] ELSE list_filter([{notes}], lambda x: x IS NOT NULL) END AS notes,
+               CASE WHEN word_count = 0 THEN 'Empty input.' ELSE CASE tier {summary} END END AS summary FROM g)"""
+
+
+def builtin(banned=(), allowed=()) -> L.Lexicon:
+    return L.Lexicon.of(L.builtin_entries(), banned, allowed)
+
+
 AUDIT_TEXTS = [
     (1, None, "We leverage robust, robust tools. Nothing else here."), (2, "docs", "In order to build a framework, a framework must validate its framework."), (3, None, "In order to build a framework, a framework must validate its framework."),
     (4, "essay", "We evaluate and evaluate, and the matrix propagates. The matrix stays."), (5, None, "We met at Neon. The neon glow and the neon sign."), (6, None, "It is worth noting that ropes fray. It is worth noting twice."),
@@ -415,42 +497,47 @@ def audit_texts(spark) -> DataFrame:
     return spark.createDataFrame(AUDIT_TEXTS, "doc_id long, register string, text string")
 
 
-def _expected(cols: tuple[str, ...], rows: list[tuple]) -> str:
-    return "WITH " + values("x", cols, rows) + f" SELECT {', '.join(c + '::BIGINT AS ' + c if c in ('doc_id', 'matches', 'findings') else c for c in cols)} FROM x"
+def _texts_sql(ids: str) -> str:
+    return f"SELECT doc_id::BIGINT AS doc_id, register, text FROM tx WHERE doc_id IN ({ids})"
+
+
+def _found_sql(lexicon: L.Lexicon, ids: str) -> str:
+    return "WITH " + values("tx", ("doc_id", "register", "text"), AUDIT_TEXTS) + f", d AS ({_texts_sql(ids)}), {counts_sql(lexicon)}"
 
 
-@query(_expected(("doc_id", "term", "matches"), [(2, "validate", 0)]).replace("FROM x", "FROM x WHERE matches > 0") + " UNION ALL SELECT 3, 'framework', 3 UNION ALL SELECT 3, 'in order to', 1 UNION ALL SELECT 4, 'matrix', 2")
+CUSTOM = (["Robust", "LEVERAGE", "tools"], ["Tools"])
+
+
+@query(_found_sql(builtin(), "2, 3, 4") + " SELECT doc_id, term, count AS matches FROM found")
 def register_suppression(spark, sf_dir):
-    found = L.findings(audit_texts(spark).filter("doc_id IN (2, 3, 4)"), L.Lexicon.of(L.builtin_entries()), register_col="register")
+    found = L.findings(audit_texts(spark).filter("doc_id IN (2, 3, 4)"), builtin(), register_col="register")
     return found.select("doc_id", "term", F.col("count").alias("matches"))
 
 
-@query(_expected(("doc_id", "term", "confidence", "category", "matches"), [(1, "leverage", "red", "verb", 1), (1, "Robust", "red", "custom", 2), (3, "framework", "orange", "noun", 3), (3, "in order to", "orange", "phrase", 1)]))
+@query(_found_sql(builtin(*CUSTOM), "1, 3") + " SELECT doc_id, term, confidence, category, count AS matches FROM found")
 def custom_upgrade(spark, sf_dir):
-    lexicon = L.Lexicon.of(L.builtin_entries(), ["Robust", "LEVERAGE", "tools"], ["Tools"])
-    found = L.findings(audit_texts(spark).filter("doc_id IN (1, 3)"), lexicon)
+    found = L.findings(audit_texts(spark).filter("doc_id IN (1, 3)"), builtin(*CUSTOM))
     return found.select("doc_id", "term", "confidence", "category", F.col("count").alias("matches"))
 
 
-@query(_expected(("doc_id", "term", "subcategory", "findings"), [(6, "it is worth noting", "didactic-hedge, editorializing-marker", 2)]))
+@query(_found_sql(builtin(), "6") + ", m AS (SELECT doc_id, lower(term) AS term, string_agg(DISTINCT subcategory, ', ' ORDER BY subcategory) AS subcategory, min(count) AS findings FROM found GROUP BY ALL) SELECT doc_id, term, subcategory, findings FROM m")
 def duplicate_span_merge(spark, sf_dir):
     d = audit_texts(spark).filter("doc_id = 6")
-    found = L.with_spans(L.findings(d, L.Lexicon.of(L.builtin_entries())), d)
+    found = L.with_spans(L.findings(d, builtin()), d)
     return LI.merge_duplicate_spans(found).select("doc_id", "term", "subcategory", F.size("matches").cast("long").alias("findings"))
 
 
-@query("SELECT * FROM (VALUES ('style-a', 1, 'Rope'), ('style-a', 2, 'tar'), ('style-a', 3, 'Eel'), ('style-b', 1, 'Rope'), ('style-b', 2, 'tar'), ('style-b', 3, 'cod')) v(style, nth, word)")
-def dictionary_scope_merge(spark, sf_dir):
-    from pyspark.sql.window import Window as W
+SCOPE_WORDS = [("global", 0, "Rope"), ("global", 1, " tar "), ("global", 2, "ROPE"), ("style-a", 0, "rope"), ("style-a", 1, "Eel"), ("style-a", 2, "  "), ("style-b", 0, "cod"), ("style-b", 1, "TAR")]
 
-    words = spark.createDataFrame(
-        [("global", 0, "Rope"), ("global", 1, " tar "), ("global", 2, "ROPE"), ("style-a", 0, "rope"), ("style-a", 1, "Eel"), ("style-a", 2, "  "), ("style-b", 0, "cod"), ("style-b", 1, "TAR")], "scope string, ord int, word string"
-    )
-    styles = words.filter("scope <> 'global'").select(F.col("scope").alias("style")).distinct()
-    mine = styles.join(words, (F.col("scope") == "global") | (F.col("scope") == F.col("style"))).withColumn("word", X.trim(F.col("word"))).filter("word <> ''")
-    order = [F.col("scope") != "global", F.col("ord")]
-    once = mine.withColumn("k", F.row_number().over(W.partitionBy("style", F.lower("word")).orderBy(*order))).filter("k = 1")
-    return once.select("style", F.row_number().over(W.partitionBy("style").orderBy(*order)).alias("nth"), "word")
+
+@query(
+    "WITH " + values("w", ("scope", "ord", "word"), SCOPE_WORDS)
+    + """, m AS (SELECT s.scope AS style, w.scope <> 'global' AS own, ord, trim(word) AS word FROM (SELECT DISTINCT scope FROM w WHERE scope <> 'global') s JOIN w ON w.scope IN ('global', s.scope) WHERE trim(word) <> ''),
+    k AS (SELECT *, row_number() OVER (PARTITION BY style, lower(word) ORDER BY own, ord) AS k FROM m)
+    SELECT style, row_number() OVER (PARTITION BY style ORDER BY own, ord)::INT AS nth, word FROM k WHERE k = 1"""
+)
+def dictionary_scope_merge(spark, sf_dir):
+    return L.merged_scopes(spark.createDataFrame(SCOPE_WORDS, "scope string, ord int, word string"))
 
 
 MIXED = f"""
@@ -489,6 +576,28 @@ def lint_groups(spark, sf_dir):
     return LI.grouped(mixed_findings(spark, sf_dir), cap=2).select("doc_id", "grp", "term", "nth", F.col("omitted").cast("long").alias("omitted"))
 
 
+GROUPED_ENTRIES = [
+    L.Entry(0, "ertion", "Formatting tells", "a", "orange", 45), L.Entry(1, "rely", "verb", "b", "red", 80), L.Entry(2, "with", "Whole-piece rhythm", "c", "orange", 45), L.Entry(3, "the", "filler", "d", "red", 30), L.Entry(4, "that", "Formatting tells", "e", "red", 45),
+]
+
+
+@query(f"""
+    WITH {TOKENS}, {NAMES}, {values('x', ('ord', 'term', 'category', 'confidence', 'sev'), [(e.ord, e.term, e.category, e.confidence, {'red': 1, 'orange': 2}[e.confidence]) for e in GROUPED_ENTRIES])},
+    c AS (SELECT doc_id, token, count(*) AS k FROM t SEMI JOIN x ON term = token GROUP BY ALL), m AS (SELECT doc_id, token, count(*) AS k FROM n SEMI JOIN x ON term = token GROUP BY ALL),
+    f AS (SELECT c.doc_id, x.*, c.k - coalesce(m.k, 0) AS count, category IN {in_list(V.LEXICAL_CATEGORIES)} AS lexical FROM c LEFT JOIN m USING (doc_id, token) JOIN x ON term = c.token
+          WHERE c.k > coalesce(m.k, 0) AND (confidence = 'red' OR c.k - coalesce(m.k, 0) >= 2)),
+    g AS (SELECT *, CASE WHEN lexical THEN {lit(V.LEXICAL_GROUP)} ELSE category END AS grp FROM f),
+    h AS (SELECT doc_id, grp, sum(count) AS total, min(ord) AS first FROM g GROUP BY ALL),
+    o AS (SELECT doc_id, grp, row_number() OVER (PARTITION BY doc_id ORDER BY NOT regexp_matches(grp, '(?i)rhythm|structural'), total DESC, first) AS group_nth FROM h)
+    SELECT doc_id, grp, group_nth::INT AS group_nth, term, CASE sev WHEN 1 THEN 'high' ELSE 'medium' END AS severity,
+           row_number() OVER (PARTITION BY doc_id, grp ORDER BY CASE WHEN lexical THEN 0 ELSE sev END, count DESC, CASE WHEN lexical THEN term END, ord)::INT AS nth
+    FROM g JOIN o USING (doc_id, grp)
+""")
+def lint_group_order(spark, sf_dir):
+    lexicon = L.Lexicon(tuple(GROUPED_ENTRIES), frozenset(f for e in GROUPED_ENTRIES for f in L.inflections(e.term)))
+    return LI.grouped(L.findings(documents(spark, sf_dir), lexicon), cap=None).select("doc_id", "grp", "group_nth", "term", "severity", "nth")
+
+
 @query(f"""
     WITH {user_sums(BANNED_KEYS)}, z AS (SELECT *, {TIER} AS tier FROM r)
     SELECT regexp_extract(source, 'src.*') AS source, count(*) AS files, count(*) FILTER (tier IN ('orange', 'red')) AS failing, max(score) AS worst FROM z JOIN documents USING (doc_id) GROUP BY ALL
@@ -513,24 +622,70 @@ def elicited_material(spark, sf_dir):
     return FA.fact_usage(docs, facts).select("doc_id", "total_facts", "used_facts", "plain_use", "meets_quota")
 
 
-@query()
+AUDIT_COLUMNS = "doc_id, register, score, tier, word_count, specificity, concrete_abstract, burstiness, notes, summary"
+
+
+@query(f"WITH {DOCS.replace('d AS', 'src AS', 1)}, {audit_sql(builtin(BANNED, ALLOWED), 'SELECT doc_id, register, text FROM src', LINES)} SELECT {AUDIT_COLUMNS} FROM audited")
 def full_audit(spark, sf_dir):
-    """Score and tier with the built-in lexicon, rhythm and strengths; the tests hold its parts to account."""
-    own = L.Lexicon.of(L.builtin_entries(), BANNED, ALLOWED)
-    results, _ = A.audit(documents(spark, sf_dir), own, paragraph=LINES)
+    """Score, tier, strengths and what is said of them, with the built-in lexicon and a user's dictionary."""
+    results, _ = A.audit(documents(spark, sf_dir), builtin(BANNED, ALLOWED), paragraph=LINES)
     return results
 
 
-#: Worked out by hand from the rules.
-AUDITED = [
-    (1, 49, "orange", 8), (2, 0, "green", 12), (3, 37, "orange", 12), (4, 31, "yellow", 11), (5, 44, "orange", 11), (6, 61, "red", 12), (7, 0, "green", 8), (8, 47, "yellow", 8), (9, 57, "red", 7), (10, 0, "green", 0),
+_LONG = "Harbour crews count crates by hand before dawn, and nobody asks why. The tide turns. Ropes, nets, tar and eels wait on the quay while the clerk writes 17 names in 3 ledgers for Anna Berg of Bergen. "
+#: Texts for the rules that prose rarely meets: hard evidence, caps, bonuses of rhythm and enumerations, code, little text.
+RULE_TEXTS = [
+    *AUDIT_TEXTS, (11, None, _LONG * 9 + "See https://a.example/?utm_source=chatgpt.com now, and leverage it."), (12, None, _LONG * 9 + "We leverage, leverage and leverage it. It is worth noting. Let me walk you through it."),
+    (13, "blog", "\n\n".join([_PAD] * 5)), (14, "essay", "\n\n".join(["There are three reasons below.", _PAD, "First, the boats left.", _PAD, "Second, they came.", _PAD])), (15, "docs", "One word" ), (16, "memo", "First, a.\n\n" + _PAD + "\n\nSecond, b."),
+    (17, None, "First, a.\n\n" + _PAD + "\n\nSecond, b.\n\nFinally, leverage and streamline; dive, dive, dive. As an AI language model I cannot provide legal advice. [Your Name] oai_citation"),
+    (18, "general", "~~~\nleverage\n~~~ It's not just a boat, it's a home. No wind. No waves. No boats. `dive` in\n```\nNeon\n"), (19, "email", "x"),
 ]
 
 
-@query("WITH " + values("x", ("doc_id", "score", "tier", "words"), AUDITED) + " SELECT doc_id::BIGINT AS doc_id, score, tier, words::BIGINT AS word_count FROM x")
+def rule_texts(spark) -> DataFrame:
+    return spark.createDataFrame(RULE_TEXTS, "doc_id long, register string, text string")
+
+
+@query("WITH " + values("src", ("doc_id", "register", "text"), RULE_TEXTS) + f", {audit_sql(builtin(), 'SELECT doc_id::BIGINT AS doc_id, register, text FROM src')} SELECT {AUDIT_COLUMNS} FROM audited")
 def audit_fixtures(spark, sf_dir):
-    results, _ = A.audit(audit_texts(spark), L.Lexicon.of(L.builtin_entries()))
-    return results.select("doc_id", "score", "tier", "word_count")
+    results, _ = A.audit(rule_texts(spark), builtin())
+    return results
+
+
+@query(
+    "WITH " + values("src", ("doc_id", "register", "text"), RULE_TEXTS) + f", {audit_sql(builtin(), 'SELECT doc_id::BIGINT AS doc_id, register, text FROM src')} "
+    "SELECT doc_id, ord, term, category, subcategory, confidence, severity, count, scored, hint, note FROM found"
+)
+def audit_findings(spark, sf_dir):
+    _, found = A.audit(rule_texts(spark), builtin())
+    return found.filter("ord < 100000")
+
+
+def _detail_sql(flag: str, *cols: str) -> str:
+    out = lit(V.RHYTHM_DETAILS[flag])
+    for c in cols:
+        out = out.replace("{}", f"' || {c} || '", 1)
+    return out
+
+
+_DETAILS = {
+    "uniform_paragraphs": ("paragraph_count",), "low_burstiness": ("piece_sentences", "floor(avg_sentence_words + 0.5)::BIGINT"), "register_drift": ("register",), "announced_enumeration": (), "ordinal_scaffold": ("ordinal_paragraphs",),
+}
+
+
+def rhythm_rows_sql(source: str, paragraph: str) -> str:
+    rows = [f"SELECT doc_id, {lit(i)} AS finding_id, {lit(n)} AS name, {lit(c)} AS confidence, {lit(v)} AS severity, {_detail_sql(k, *_DETAILS[k])} AS note FROM beat WHERE {k}" for k, (i, n, c, v) in V.RHYTHM_FINDINGS.items()]
+    return f"{audit_sql(builtin(), source, paragraph)} {' UNION ALL '.join(rows)}"
+
+
+@query("WITH " + values("src", ("doc_id", "register", "text"), RULE_TEXTS) + ", " + rhythm_rows_sql("SELECT doc_id::BIGINT AS doc_id, register, text FROM src", r"\n\s*\n"))
+def rhythm_finding_fixtures(spark, sf_dir):
+    return R.rhythm_findings(rule_texts(spark).withColumn("text", X.strip_code(F.col("text"))))
+
+
+@query(f"WITH {DOCS.replace('d AS', 'src AS', 1)}, " + rhythm_rows_sql("SELECT doc_id, register, text FROM src", LINES))
+def rhythm_finding_rows(spark, sf_dir):
+    return R.rhythm_findings(documents(spark, sf_dir), paragraph=LINES)
 
 
 # --- voices ---
@@ -626,6 +781,33 @@ def merge_presence(spark, sf_dir):
     return S.merge_by_presence(ranked, "voice", "doc_id")
 
 
+def _merged_tops(name: str, top: str) -> str:
+    """CTEs that end in ``name`` (voice, tokens): the first tokens of each voice by the samples that have them."""
+    return (
+        f"{name}_g AS (SELECT source AS voice, token, count(*) AS samples, min({{'a': doc_id, 'b': rank}}) AS first FROM {top} JOIN documents USING (doc_id) WHERE rank <= 8 GROUP BY ALL), "
+        f"{name}_r AS (SELECT *, row_number() OVER (PARTITION BY voice ORDER BY samples DESC, first) AS rank FROM {name}_g), {name} AS (SELECT voice, list(token ORDER BY rank) AS tokens FROM {name}_r WHERE rank <= 10 GROUP BY voice)"
+    )
+
+
+@query(
+    f"WITH {MERGED}, {TOP_WORDS}, {BIGRAMS}, {_merged_tops('tw', 'top_words')}, {_merged_tops('tb', 'top_bigrams')}, "
+    "q AS (SELECT merged.*, coalesce(tw.tokens, []) AS words, coalesce(tb.tokens, []) AS bigrams FROM merged LEFT JOIN tw USING (voice) LEFT JOIN tb USING (voice)) SELECT voice, "
+    + _guide_sql().replace(
+        "CASE WHEN structural_entropy < 0.33",
+        "CASE WHEN len(bigrams) > 0 THEN 'Recurring phrasing across samples: ' || array_to_string(bigrams[1:5], ', ') || '.' END, "
+        "CASE WHEN len(words) > 0 AND sample_count >= 3 THEN 'Distinctive word choices, reached for more than a generic baseline would predict: ' || array_to_string(words[1:5], ', ') || '.' END, CASE WHEN structural_entropy < 0.33",
+    )
+    + " AS guide FROM q"
+)
+def style_guide_words(spark, sf_dir):
+    d = voice_samples(spark, sf_dir)
+    out = merged_voices(spark, sf_dir)
+    for name, top in (("words", S.top_words(d)), ("bigrams", S.top_bigrams(d))):
+        merged = S.merge_by_presence(top.join(d.select("doc_id", "voice"), "doc_id"), "voice", "doc_id")
+        out = out.join(S.as_list(merged, "voice", name), "voice", "left").withColumn(name, F.coalesce(name, F.array().cast("array<string>")))
+    return out.select("voice", VO.stats_guide(F.col("sample_count"), F.col("bigrams"), F.col("words")).alias("guide"))
+
+
 DRAFTS = "drafts AS (SELECT item_id AS draft_id, 'src' || (item_id % 20) AS voice, text FROM benchmark)"
 
 
@@ -670,7 +852,7 @@ def history_cap(spark, sf_dir):
 
 
 @query(f"""
-    WITH {BIGRAMS}, {HISTORY.replace('nth <= 20', 'nth <= 3')}, total AS (SELECT voice, count(*) AS total FROM h GROUP BY voice HAVING count(*) >= 3),
+    WITH {BIGRAMS}, {HISTORY}, total AS (SELECT voice, count(*) AS total FROM h GROUP BY voice HAVING count(*) >= 3),
     dr AS (SELECT doc_id AS draft_id, source AS voice,
                   array_to_string(list_transform(regexp_extract_all(text, '[A-Za-z'']+')[1:6], lambda x: lower(x)), ' ') AS opener FROM documents),
     oh AS (SELECT voice, opener, count(*) AS matches FROM h GROUP BY ALL),
@@ -681,7 +863,7 @@ def history_cap(spark, sf_dir):
 """)
 def self_repetition(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    return VO.self_repetition(d.select(F.col("doc_id").alias("draft_id"), F.col("source").alias("voice"), "text"), VO.fingerprints(voice_samples(spark, sf_dir), cap=3))
+    return VO.self_repetition(d.select(F.col("doc_id").alias("draft_id"), F.col("source").alias("voice"), "text"), VO.fingerprints(voice_samples(spark, sf_dir)))
 
 
 # --- the rest ---
