@@ -851,8 +851,19 @@ def history_cap(spark, sf_dir):
     return VO.fingerprints(voice_samples(spark, sf_dir)).select("voice", "doc_id", "nth", "opener")
 
 
-@query(f"""
-    WITH {BIGRAMS}, {HISTORY}, total AS (SELECT voice, count(*) AS total FROM h GROUP BY voice HAVING count(*) >= 3),
+#: Samples of voices that repeat themselves, beside the documents, whose voices hardly do.
+PLANTED = [
+    (10_000_001 + k, "planted", f"{opener} and {'red rope ' * 3}holds {'tar barrel ' * (2 if k % 2 else 0)}today, as number {k} says.")
+    for k, opener in enumerate(["The crew mended the nets"] * 3 + ["Nobody saw the boats leave", "A quiet day at sea", "The crew mended the nets", "Rain fell on the quay"])
+] + [(10_000_101 + k, "short", f"One red rope red rope {k}.") for k in range(2)]
+
+
+def _planted_sql(sql: str) -> str:
+    return values("planted", ("doc_id", "source", "text"), PLANTED) + ", docs2 AS (SELECT doc_id, source, text FROM documents UNION ALL SELECT doc_id, source, text FROM planted), " + sql.replace("FROM documents", "FROM docs2")
+
+
+@query("WITH " + _planted_sql(f"""
+    {BIGRAMS}, {HISTORY}, total AS (SELECT voice, count(*) AS total FROM h GROUP BY voice HAVING count(*) >= 3),
     dr AS (SELECT doc_id AS draft_id, source AS voice,
                   array_to_string(list_transform(regexp_extract_all(text, '[A-Za-z'']+')[1:6], lambda x: lower(x)), ' ') AS opener FROM documents),
     oh AS (SELECT voice, opener, count(*) AS matches FROM h GROUP BY ALL),
@@ -860,10 +871,11 @@ def history_cap(spark, sf_dir):
     f AS (SELECT draft_id, voice, 'opener' AS kind, opener AS term, matches, 0.4::DOUBLE AS bar FROM dr JOIN oh USING (voice, opener) WHERE opener <> ''
           UNION ALL SELECT draft_id, voice, 'phrase', token, matches, 0.3::DOUBLE FROM dr JOIN (SELECT doc_id AS draft_id, token FROM top_bigrams WHERE rank <= 8) USING (draft_id) JOIN ph USING (voice, token))
     SELECT draft_id, voice, kind, term, matches, total FROM f JOIN total USING (voice) WHERE matches::DOUBLE / total >= bar
-""")
+"""))
 def self_repetition(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
-    return VO.self_repetition(d.select(F.col("doc_id").alias("draft_id"), F.col("source").alias("voice"), "text"), VO.fingerprints(voice_samples(spark, sf_dir)))
+    planted = spark.createDataFrame(PLANTED, "doc_id long, voice string, text string")
+    d = voice_samples(spark, sf_dir).select("doc_id", "voice", "text").unionByName(planted)
+    return VO.self_repetition(d.withColumnRenamed("doc_id", "draft_id"), VO.fingerprints(d))
 
 
 # --- the rest ---
