@@ -33,7 +33,7 @@ HEAD, WORDS, BUCKETS = 200_000, 2048, 64
 HIDDEN = 16
 #: Documents that make a worker's share of a round, rounds after which the workers' weights are averaged, at least, and
 #: shares of a round from which on more documents give more rounds too.
-SHARE, ROUNDS, WIDE = 1024, 3, 8
+SHARE, ROUNDS, WIDE = 1024, 3, 16
 #: Parallel streams, steps of a window, and Adagrad's rate.
 STREAMS, WINDOW, RATE = 512, 20, 0.2
 #: In scoring: documents that advance together, and steps of a window.
@@ -138,6 +138,9 @@ def learn_vocabulary(docs: DataFrame, text_col: str = "text") -> tuple[Vocabular
     return Vocabulary(head, sizes, tokens + n_docs, distinct + (n_docs > 0), n_docs, mass), counts
 
 
+NAMES = ("gates", "rec", "rec_b", "cls", "cls_b", "out", "out_b")
+
+
 class Weights:
     """The model's parameters as views into one flat vector."""
 
@@ -291,6 +294,23 @@ def first_squares(w: Weights) -> np.ndarray:
     return np.full(w.flat.shape, 1e-6, np.float32)
 
 
+def by_rows(w: Weights, square: np.ndarray) -> np.ndarray:
+    """The mean of the squares of each row of each parameter: what a share tells of its step sizes."""
+    v = w.like(square)
+    return np.concatenate([getattr(v, n).reshape(len(getattr(v, n)), -1).mean(1) for n in NAMES]).astype(np.float32)
+
+
+def from_rows(w: Weights, rows: np.ndarray) -> np.ndarray:
+    """Sums of squares that are alike within a row."""
+    v = w.like(np.empty_like(w.flat))
+    at = 0
+    for n in NAMES:
+        a = getattr(v, n)
+        a.reshape(len(a), -1)[:] = rows[at : at + len(a), None]
+        at += len(a)
+    return v.flat
+
+
 def rounds_and_shares(docs: int) -> tuple[int, int]:
     """More documents give more shares, and by their logarithm more rounds: training deepens with the corpus."""
     total = max(1, docs // SHARE)
@@ -380,27 +400,27 @@ def learn_weights(docs: DataFrame, v: Vocabulary, shared: Broadcast, id_col: str
             if held:
                 seen += go_on()
             if seen:
-                cut = np.array_split(np.concatenate([flat, square]).astype(np.float64) * seen, PIECES)
-                yield _batch(piece=pa.array(np.arange(PIECES)), sums=pa.array(cut, pa.list_(pa.float64())), seen=pa.array(np.full(PIECES, seen)))
+                cut = np.array_split(np.concatenate([flat, by_rows(own, square)]), PIECES)
+                yield _batch(piece=pa.array(np.arange(PIECES)), means=pa.array(cut, pa.list_(pa.float32())), seen=pa.array(np.full(PIECES, seen)))
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums: dict[int, np.ndarray] = {}
             seen: Counter = Counter()
             for b in batches:
-                for p, x, k in zip(b.column("piece").to_pylist(), b.column("sums"), b.column("seen").to_pylist(), strict=True):
-                    x = x.values.to_numpy()
+                for p, x, k in zip(b.column("piece").to_pylist(), b.column("means"), b.column("seen").to_pylist(), strict=True):
+                    x = x.values.to_numpy().astype(np.float64) * k
                     sums[p] = sums[p] + x if p in sums else x
                     seen[p] += k
             if sums:
                 yield _batch(piece=pa.array(list(sums), pa.int64()), sums=pa.array(list(sums.values()), pa.list_(pa.float64())), seen=pa.array([seen[p] for p in sums], pa.int64()))
 
-        kind = "piece long, sums array<double>, seen long"
-        mine = part.filter(F.pmod(F.col("h"), F.lit(rounds)) == r).repartition(shares, "h").mapInArrow(work, kind)
-        got = mine.repartition("piece").mapInArrow(add, kind).toArrow().sort_by("piece")  # PIECES rows
+        mine = part.filter(F.pmod(F.col("h"), F.lit(rounds)) == r).repartition(shares, "h").mapInArrow(work, "piece long, means array<float>, seen long")
+        got = mine.repartition("piece").mapInArrow(add, "piece long, sums array<double>, seen long").toArrow().sort_by("piece")  # PIECES rows
         total = got.column("seen")[0].as_py() if got.num_rows else 0
         if total:
             both = (np.concatenate([np.asarray(x.values) for x in got.column("sums")]) / total).astype(np.float32)
-            w, square = w.like(both[: len(w.flat)].copy()), both[len(w.flat) :].copy()
+            w = w.like(both[: len(w.flat)].copy())
+            square = from_rows(w, both[len(w.flat) :])
     return w
 
 

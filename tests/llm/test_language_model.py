@@ -184,3 +184,11 @@ def test_a_head_wider_than_its_bound_is_not_empty(spark, monkeypatch):
     d = docs(spark, [(k, f"w{k} v{k}", "en", "a") for k in range(300)])
     v, _ = LM.learn_vocabulary(d)
     assert 10 < len(v.head) <= 50
+
+
+def test_step_sizes_by_rows():
+    w = LM.first_weights(small())
+    square = np.arange(len(w.flat), dtype=np.float32)
+    back = w.like(LM.from_rows(w, LM.by_rows(w, square)))
+    mine = w.like(square)
+    assert np.allclose(back.gates, mine.gates.mean(1, keepdims=True)) and np.allclose(back.rec_b, mine.rec_b) and np.allclose(back.out_b, mine.out_b)
