@@ -88,30 +88,21 @@ class Entry:
 def inflections(term: str) -> list[str]:
     """Regular forms of an alphabetic word: plural, past, -ing, -ly; approximate on purpose."""
     t = term.lower()
-    silent_e = re.search(r"[^e]e$", t) is not None
-    final_y = re.search(r"[^aeiou]y$", t) is not None
-    hissing = re.search(r"(?:[sxz]|[cs]h)$", t) is not None
-    stem = t[:-1]
-    forms = [
-        f"{t}es" if hissing else f"{stem}ies" if final_y else f"{t}s",
-        f"{t}d" if silent_e else f"{stem}ied" if final_y else f"{t}ed",
-        f"{stem}ing" if silent_e else f"{t}ing",
-        f"{t[:-2]}ly" if t.endswith("le") else f"{stem}ily" if final_y else f"{t}ly",
-    ]
+    forms = [next(t[: len(t) - cut] + added for ending, cut, added in rules if re.search(ending, t)) for rules in V.INFLECTIONS]
     return [f for f in dict.fromkeys(forms) if f != t]
 
 
 def inflected(terms: DataFrame, term_col: str = "term") -> DataFrame:
-    """term, form: the same rules as native expressions, for lexicons that are tables; forms that are terms go."""
+    """term, form: the same rules over a lexicon that is a table; forms that are terms go."""
     t = F.lower(F.col(term_col))
-    stem = F.substring(t, F.lit(1), F.length(t) - 1)
-    e, y = t.rlike("[^e]e$"), t.rlike("[^aeiou]y$")
-    forms = F.array(
-        F.when(t.rlike("([sxz]|[cs]h)$"), F.concat(t, F.lit("es"))).when(y, F.concat(stem, F.lit("ies"))).otherwise(F.concat(t, F.lit("s"))),
-        F.when(e, F.concat(t, F.lit("d"))).when(y, F.concat(stem, F.lit("ied"))).otherwise(F.concat(t, F.lit("ed"))),
-        F.when(e, F.concat(stem, F.lit("ing"))).otherwise(F.concat(t, F.lit("ing"))),
-        F.when(t.endswith("le"), F.concat(F.substring(t, F.lit(1), F.length(t) - 2), F.lit("ly"))).when(y, F.concat(stem, F.lit("ily"))).otherwise(F.concat(t, F.lit("ly"))),
-    )
+
+    def form(rules) -> Column:
+        out = F.lit(None).cast("string")
+        for ending, cut, added in reversed(rules):
+            out = F.when(t.rlike(ending), F.concat(F.substring(t, F.lit(1), F.length(t) - cut), F.lit(added))).otherwise(out)
+        return out
+
+    forms = F.array(*map(form, V.INFLECTIONS))
     words = terms.filter(F.col(term_col).rlike(r"^[A-Za-z]{3,}\z")).select(F.col(term_col).alias("term"), F.explode(F.array_distinct(forms)).alias("form"))
     explicit = terms.select(F.lower(term_col).alias("form")).distinct()
     return words.join(explicit, "form", "left_anti").select("term", "form")
