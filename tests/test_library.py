@@ -142,6 +142,23 @@ def test_retraining_merges_by_presence_and_forks_keep_words(spark, tmp_path):
         p.fork_style("bob/none", "x")
 
 
+def test_orders_of_reports(spark, tmp_path):
+    """Categories by matches, ties in the lexicon's order; drift by distance; repetition by share."""
+    p = Prose(spark, tmp_path)
+    got = p.audit_text("We curate and we ponder. The landscape, the landscape! Robust therefore robust; thus on the other hand.")
+    assert [c for c, _ in got["categoryBreakdown"]] == ["verb", "adjective", "noun", "transition", "phrase"] and [n for _, n in got["categoryBreakdown"]] == [2, 2, 2, 2, 1]
+    assert [f["term"] for f in got["findings"]] == ["robust", "landscape"] and "metaphorically" in got["findings"][1]["note"]
+    v = p.create_style_from_dials("Odd", {"sentenceLength": 100, "contractionUse": 100, "questionUse": 50})
+    drift = p.check_voice_match(v["id"], "Short one. Very short. So short. No more. Not one.")["findings"]
+    assert [d["delta"] for d in drift] == sorted((d["delta"] for d in drift), reverse=True) and len(drift) > 2
+    w = p.train_style("Habit", ["The crew mended the nets: red rope red rope, tar barrel tar barrel.", "The crew mended the nets: red rope red rope.", "The crew mended the nets: red rope red rope."])
+    rep = p.check_self_repetition(w["id"], "The crew mended the nets: red rope red rope and tar barrel tar barrel.")
+    shares = [r["matches"] / r["total"] for r in rep]
+    assert shares == sorted(shares, reverse=True) and {r["kind"] for r in rep} == {"opener", "phrase"}
+    again = p.create_style_from_dials(" odd ", {"sentenceLength": 0})
+    assert (again["id"], again["shortId"], again["stats"]["avg_sentence_length"]) == (v["id"], v["shortId"], 8.0)
+
+
 def test_configuration(tmp_path):
     (tmp_path / ".git").mkdir()
     (tmp_path / "a" / "b").mkdir(parents=True)
