@@ -69,17 +69,14 @@ def text_stats(docs: DataFrame, text_col: str = "text", paragraph: str = r"\n\s*
     return d.select(*docs.columns, F.col("_n").cast("long").alias("word_count"), sentences.cast("long").alias("sentence_count"), *[X.fixed(v, NUMERIC[k]).alias(k) for k, v in values.items()])
 
 
-def _positions(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, n, pos, raw, word of every word in a row."""
-    words = X.alpha_words(F.coalesce(F.col(text_col), F.lit("")))
-    d = docs.select(F.col(id_col), words.alias("w")).select(id_col, F.greatest(F.lit(1), F.size("w")).alias("n"), F.posexplode("w").alias("pos", "raw"))
-    return d.withColumn("word", F.lower("raw"))
+def _inner_words(text: Column) -> Column:
+    """The words that don't open a sentence."""
+    return F.flatten(F.transform(X.sentences_scan(text), lambda s: F.slice(X.alpha_words(s), 2, 1 << 30)))
 
 
 def capitalization_rates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, word, total, capitalized, rate over words that don't open a sentence."""
-    sents = F.transform(X.sentences_scan(F.coalesce(F.col(text_col), F.lit(""))), lambda s: F.slice(X.alpha_words(s), 2, 1 << 30))
-    w = docs.select(F.col(id_col), F.explode(F.flatten(sents)).alias("raw"))
+    w = docs.select(F.col(id_col), F.explode(_inner_words(F.coalesce(F.col(text_col), F.lit("")))).alias("raw"))
     up = F.col("raw").rlike("^[A-Z]").cast("int")
     g = w.groupBy(id_col, F.lower("raw").alias("word")).agg(F.count(F.lit(1)).alias("total"), F.sum(up).alias("capitalized"))
     return g.withColumn("rate", F.col("capitalized") / F.col("total"))
@@ -97,11 +94,21 @@ def _by_lift(counts: DataFrame, id_col: str, weight: Column, limit: int) -> Data
 
 
 def top_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = 8) -> DataFrame:
-    """id, token, count, lift, rank."""
-    words = _positions(docs, id_col, text_col).filter(~F.col("word").isin(*V.STOPWORDS) & (F.length("word") >= 3))
-    counts = words.groupBy(id_col, F.col("word").alias("token")).agg(F.count(F.lit(1)).alias("count"), F.min("pos").alias("first"), F.first("n").alias("n")).filter("count >= 2")
-    names = capitalization_rates(docs, id_col, text_col).filter(F.col("rate") >= V.PROPER_NOUN_RATE).select(id_col, F.col("word").alias("token"))
-    return _by_lift(counts.join(names, [id_col, "token"], "left_anti"), id_col, _weight(F.col("token")), limit)
+    """id, token, count, lift, rank; names, mostly capitalised where they don't open a sentence, are left out.
+
+    All words and, after them, those that don't open a sentence are counted together: one shuffle of partial sums.
+    """
+    t = F.coalesce(F.col(text_col), F.lit(""))
+    d = docs.select(F.col(id_col), X.alpha_words(t).alias("w"), _inner_words(t).alias("s"))
+    rows = d.select(id_col, F.size("w").alias("k"), F.posexplode(F.concat("w", "s")).alias("pos", "raw")).withColumn("token", F.lower("raw"))
+    rows = rows.filter(~F.col("token").isin(*V.STOPWORDS) & (F.length("token") >= 3))
+    own = F.col("pos") < F.col("k")
+    counts = rows.groupBy(id_col, "token").agg(
+        F.count_if(own).alias("count"), F.min(F.when(own, F.col("pos"))).alias("first"), F.first(F.greatest(F.lit(1), F.col("k"))).alias("n"),
+        F.count_if(~own).alias("inner"), F.count_if(~own & F.col("raw").rlike("^[A-Z]")).alias("capitals"),
+    )
+    name = (F.col("inner") > 0) & (F.col("capitals") / F.col("inner") >= V.PROPER_NOUN_RATE)
+    return _by_lift(counts.filter((F.col("count") >= 2) & ~name), id_col, _weight(F.col("token")), limit)
 
 
 def top_bigrams(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = 8) -> DataFrame:
