@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -16,14 +17,31 @@ _written: list[str] = []
 _own_dir: list[str] = []
 
 
+#: Bytes of a batch to Python workers: texts can be long, and a batch is held several times over.
+BATCH_BYTES = 16 << 20
+
+
 def on_workers(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package where they share its folder; elsewhere it is shipped by --py-files."""
+    """Let Python workers import this package where they share its folder; elsewhere it is shipped by --py-files.
+
+    The session's bound on a batch is lowered to ``BATCH_BYTES`` where it is larger, and stays so: results are lazy.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if _bytes(spark.conf.get(key)) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
     env, root = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH")) if x)
     return spark
 
 
+def _bytes(setting: str) -> float:
+    """A setting like 64m or 67108864b in bytes; none: without a bound."""
+    m = re.fullmatch(r"(-?\d+)\s*([kmgt]?)b?", setting.strip().lower())
+    n = int(m[1]) << {"": 0, "k": 10, "m": 20, "g": 30, "t": 40}[m[2]] if m and not m[1].startswith("-") else 0
+    return n or float("inf")
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     on_workers(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

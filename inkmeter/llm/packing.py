@@ -25,6 +25,8 @@ from .common import stable, whole
 
 #: Blocks into which the pieces of one length are dealt for ranking.
 BLOCKS = 128
+#: Rows of a table that may be broadcast.
+MOST = 1_000_000
 
 
 # Fixed value: the splitting pattern of the byte-level pre-tokenizer.
@@ -254,14 +256,17 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int, width: int = 1024, s
         base.append((r["length"], r["block"], hist.get(r["length"], 0)))
         hist[r["length"]] = hist.get(r["length"], 0) + r["n"]
     spark = docs.sparkSession
-    bases = spark.createDataFrame(base, "length long, block int, base long")
-    places = spark.createDataFrame(intervals(plan(hist, width, slack)), "length long, a long, z long, seq long, m int, at long")
+    # bounded whatever the corpus: width * BLOCKS rows, and three intervals a pattern or kind of open sequence; checked all the same
+    few = lambda df, rows: F.broadcast(df) if rows <= MOST else df
+    bases = few(spark.createDataFrame(base, "length long, block int, base long"), len(base))
+    found = intervals(plan(hist, width, slack))
+    places = spark.createDataFrame(found, "length long, a long, z long, seq long, m int, at long")
     narrow = pieces.drop("ids")
     rank = F.row_number().over(W.partitionBy("length", "block").orderBy(F.col("id").asc_nulls_first(), "piece", "ids_crc32")) - 1
-    ranked = narrow.withColumn("r", rank).join(F.broadcast(bases), ["length", "block"]).withColumn("r", F.col("r") + F.col("base"))
+    ranked = narrow.withColumn("r", rank).join(bases, ["length", "block"]).withColumn("r", F.col("r") + F.col("base"))
     # of each length the intervals' starts in order; a search in the array finds the one of a rank
     lists = places.groupBy("length").agg(F.sort_array(F.collect_list(F.struct("a", "seq", "m", "at"))).alias("list"))
-    placed = ranked.join(F.broadcast(lists), "length").withColumn("slot", _last_at_most())
+    placed = ranked.join(few(lists, len(found)), "length").withColumn("slot", _last_at_most())
     k = F.col("r") - F.col("slot.a")
     out = placed.select(
         F.col("id").alias(id_col), "piece", "start", "length", "ids_crc32", (F.col("slot.seq") + F.floor(k / F.col("slot.m"))).cast("long").alias("sequence_id"), (F.col("slot.at") + F.pmod(k, F.col("slot.m")) * F.col("length")).cast("long").alias("offset")

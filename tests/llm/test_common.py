@@ -26,3 +26,9 @@ def test_release_deletes_what_was_written(spark):
     before = list(C._written)
     C.release(spark, C._written[-1:])
     assert not os.path.exists(path) and C._written == before[:-1]
+
+
+def test_batches_to_workers_are_bounded(spark):
+    assert [C._bytes(x) for x in ("64m", "67108864b", "2 g", "100", "-1b", "0")] == [64 << 20, 64 << 20, 2 << 30, 100, float("inf"), float("inf")]
+    C.on_workers(spark)
+    assert C._bytes(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= C.BATCH_BYTES
