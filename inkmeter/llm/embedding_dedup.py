@@ -32,6 +32,8 @@ TILE = 4096
 MISS = 1e-4
 #: Bits of the sketch, and deviations beyond the mean at the threshold up to which sketches are near.
 SKETCH, REACH = 64, 7
+#: Vectors whose bits are held at once.
+CODED = 2048
 
 
 def mixed(*parts: np.ndarray) -> np.ndarray:
@@ -56,9 +58,14 @@ class Index:
     def codes(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The substring of each vector in each table, and its sketch."""
         n = self.width * self.tables
-        bits = np.concatenate([(unit - self.mean) @ r > 0 for r in self.rotations], axis=1)
-        keys = (bits[:, :n].reshape(len(unit), self.tables, self.width) @ (1 << np.arange(self.width, dtype=np.int64))).astype(np.int64)
-        return keys, np.packbits(bits[:, n : n + SKETCH], axis=1, bitorder="little").view("<u8")[:, 0]
+        power = 1 << np.arange(self.width, dtype=np.int64)
+        keys, sketch = np.empty((len(unit), self.tables), np.int64), np.empty(len(unit), np.uint64)
+        for at in range(0, len(unit), CODED):
+            x = unit[at : at + CODED] - self.mean
+            bits = np.concatenate([x @ r > 0 for r in self.rotations], axis=1)
+            keys[at : at + CODED] = bits[:, :n].reshape(len(x), self.tables, self.width) @ power
+            sketch[at : at + CODED] = np.packbits(bits[:, n : n + SKETCH], axis=1, bitorder="little").view("<u8")[:, 0]
+        return keys, sketch
 
     def buckets(self, keys: np.ndarray, label: np.ndarray) -> np.ndarray:
         """The bucket of each vector in each table."""
@@ -155,8 +162,8 @@ def _whole_runs(batches: Iterator[pa.RecordBatch], cols: tuple[str, ...], most:
         yield pa.Table.from_batches(held), False
 
 
-#: Compared cells at once.
-ROOM = 1 << 21
+#: Compared cells at once, and linked pairs whose substrings are compared at once.
+ROOM, PAIRS = 1 << 21, 1 << 16
 
 
 def _members(near: dict[int, int], tile: int):
@@ -169,6 +176,7 @@ def _members(near: dict[int, int], tile: int):
         passing, place = None, 0  # the bucket that is passed whole, and its slots so far
         for t, more in _whole_runs(batches, ("bucket",), tile):
             bucket, cid, sketch, dim = (t.column(c).to_numpy() for c in ("bucket", "cid", "sketch", "dim"))
+            sketch = sketch.view(np.uint64)  # bits of a signed difference would be counted of its absolute value
             starts = _runs(bucket[:, None])
             pos = np.arange(len(bucket)) - np.repeat(starts[:-1], np.diff(starts))
             keep = np.zeros(len(bucket), bool)
@@ -219,9 +227,13 @@ def _compare(index: Index, left: tuple, right: tuple, bucket: np.ndarray, cosine
     ids2, rows2, y, k2, _ = right
     link = np.einsum("gid,gjd->gij", x, y) >= cosine
     link &= ids[:, :, None] != ids2[:, None, :]
-    g, i, j = np.nonzero(link)
-    first = (k[g, i] == k2[g, j]).argmax(1)  # sharing a bucket, they agree somewhere
-    link[g, i, j] = homes[g, i, first] == bucket[g]
+    cells = link.reshape(-1)
+    pairs = np.flatnonzero(cells)
+    for at in range(0, len(pairs), PAIRS):
+        some = pairs[at : at + PAIRS]
+        g, i, j = np.unravel_index(some, link.shape)
+        first = (k[g, i] == k2[g, j]).argmax(1)  # sharing a bucket, they agree somewhere
+        cells[some] = homes[g, i, first] == bucket[g]
     n = (link * rows2[:, None, :]).sum(-1)
     a, b = _least_labels(link, ids, ids2)
     out = [(ids[m], n[m], a[m]) for m in [n > 0]]
@@ -244,6 +256,16 @@ def _buckets(indexes: dict[int, Index], cosine: float):
         homes = index.buckets(keys, t.column("label").to_numpy()[rows])
         return tuple(v.reshape(*shape, *v.shape[1:]) for v in (t.column("cid").to_numpy()[rows], t.column("n").to_numpy()[rows], unit, keys, homes))
 
+    def crossed(t: pa.Table, dim: int, left: np.ndarray, right: np.ndarray, bucket: np.ndarray) -> list:
+        """Of one large bucket: left rows against right ones, as many at once as there is room for."""
+        y = side(t, right, dim, (1, len(right)))
+        per = max(1, ROOM // len(right))
+        found = []
+        for c in range(0, len(left), per):
+            part = left[c : c + per]
+            found += _compare(indexes[dim], side(t, part, dim, (1, len(part))), y, bucket, cosine, False)
+        return found
+
     def closed(t: pa.Table) -> Iterator[pa.RecordBatch]:
         key = np.stack([t.column(c).to_numpy() for c in GROUP], 1)
         role = t.column("role").to_numpy()
@@ -255,6 +277,11 @@ def _buckets(indexes: dict[int, Index], cosine: float):
             mine = key[starts[:-1], 3] == dim
             for s in np.unique(sizes[both & mine & (sizes > 1)]).tolist():
                 at = starts[:-1][both & mine & (sizes == s)]
+                if s * s > ROOM:
+                    for a in at.tolist():
+                        rows = np.arange(a, a + s)
+                        found += crossed(t, dim, rows, rows, key[a : a + 1, 0])
+                    continue
                 per = max(1, ROOM // (s * max(s, dim)))
                 for c in range(0, len(at), per):
                     part = at[c : c + per]
@@ -266,11 +293,7 @@ def _buckets(indexes: dict[int, Index], cosine: float):
             l, r = rows[role[a:z] == 1], rows[role[a:z] == 2]
             if not len(r):
                 continue
-            right = side(t, r, dim, (1, len(r)))
-            per = max(1, ROOM // len(r))
-            for c in range(0, len(l), per):
-                part = l[c : c + per]
-                found += _compare(indexes[dim], side(t, part, dim, (1, len(part))), right, key[a : a + 1, 0], cosine, False)
+            found += crossed(t, dim, l, r, key[a : a + 1, 0])
         if found:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*found, strict=True)], names=["cid", "n", "least"])
 

@@ -137,3 +137,37 @@ def test_codes_are_balanced():
     r = ED.learn_rotation(x - x.mean(0), 24, rng)
     assert np.allclose(r.T @ r, np.eye(24), atol=1e-8)
     assert np.abs(((x - x.mean(0)) @ r > 0).mean(0) - 0.5).max() < 0.1
+
+
+def test_a_dense_bucket_takes_little_memory():
+    """A bucket whose vectors all link: the links' substrings in every table were held at once, which grows with its square."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(11)
+    index = ED.build_index(rng.standard_normal((2000, 32)), 2_000_000, 0.98)
+    c = rng.standard_normal(32)
+    for s in (1000, 1600):
+        raw = pa.array([(c + 1e-9 * rng.standard_normal(32)).tobytes() for _ in range(s)], pa.binary())
+        unit = ED.units_of(raw, 32)
+        bucket = index.buckets(index.codes(unit)[0], np.ones(s, np.int64))[0, 0]
+        cols = {"bucket": np.full(s, bucket), "tile": np.zeros(s, np.int64), "label": np.ones(s, np.int64), "dim": np.full(s, 32), "role": np.zeros(s, np.int64), "cid": np.arange(s), "n": np.ones(s, np.int64)}
+        b = pa.RecordBatch.from_pydict({k: pa.array(v) for k, v in cols.items()} | {"v": raw})
+        tracemalloc.start()
+        try:
+            out = pa.Table.from_batches(ED._buckets({32: index}, 0.98)(iter([b]))).to_pydict()
+            assert tracemalloc.get_traced_memory()[1] < 200e6
+        finally:
+            tracemalloc.stop()
+        n = np.bincount(out["cid"], out["n"], s)
+        assert (n == s - 1).all() and set(out["least"]) == {0}
+
+
+def test_every_bit_of_a_sketch_counts_once():
+    import pyarrow as pa
+
+    sketch = np.array([5, 5 | 1 << 63, 9, 9 | 1 << 63 | 2, 0, (1 << 63) - 1], np.uint64).view(np.int64)
+    b = pa.RecordBatch.from_pydict({"bucket": [1, 1, 2, 2, 3, 3], "cid": [0, 1, 2, 3, 4, 5], "sketch": sketch, "dim": np.full(6, 8, np.int32)})
+    got = [c for x in ED._members({8: 2}, 4)(iter([b])) for c in x.column("cid").to_pylist()]
+    assert got == [0, 1, 2, 3]
