@@ -10,6 +10,9 @@ after it, on different tasks. Links leave a tree as a spanning forest, so a larg
 becomes all of its pairs.
 
 A tree of all fingerprints grows with the corpus and is not broadcast; each tree goes where its shard is.
+
+Near copies by similarity (``similar_components``) go the same way with wider fingerprints of shingle sets; what their
+trees find is then compared exactly.
 """
 
 from __future__ import annotations
@@ -274,8 +277,9 @@ def simhash_components(docs: DataFrame, shingle: int = 3, radius: int = 2, block
     return prints.join(groups, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Wide fingerprints, an estimate of similarity: 64-bit words of each.
-WIDE = 4
+#: Wide fingerprints, an estimate of similarity: 64-bit words of each, and deviations beyond the mean at the similarity up to
+#: which trees are searched; so many also cover sets of a few shingles, whose bits differ more often than the angle says.
+WIDE, REACH = 4, 6
 #: Near copies: minima that make a bucket's key, and the chance that a pair at the similarity meets in no bucket.
 BAND, MISS = 6, 1e-4
 
@@ -290,11 +294,16 @@ def mixed_hashes(h: np.ndarray, k: int) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def similar_radius(similarity: float) -> tuple[float, int]:
-    """The share of bits in which wide fingerprints of that similarity differ, and the radius of an estimated link."""
+def similar_radius(similarity: float) -> int:
+    """Bits in which wide fingerprints of sets of that similarity differ at most."""
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
     n = WIDE * BITS
-    return share, round(n * share + 0.5 * math.sqrt(n * share * (1 - share)))
+    return min(n, math.ceil(n * share + REACH * math.sqrt(n * share * (1 - share))))
+
+
+def wide_print(hashes: np.ndarray) -> np.ndarray:
+    """The fingerprint of a set of shingles: ``WIDE`` words, each from a family of hashes of its own."""
+    return np.array([fingerprint(mixed_hashes(hashes, k)) for k in range(WIDE)], np.uint64)
 
 
 def shingle_set(text: bytes, size: int) -> np.ndarray:
@@ -321,29 +330,31 @@ class Bands:
         return (least * self.weight).reshape(self.count, BAND).sum(1, dtype=np.uint64).view(np.int64)
 
 
-def set_links(values: np.ndarray, starts: np.ndarray, similarity: float) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs of sets with that Jaccard similarity or more; set k is values[starts[k]:starts[k + 1]].
+def set_links(prints: np.ndarray, radius: int, values: np.ndarray, starts: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs of sets that a BK-tree finds within the radius and whose Jaccard similarity is that or more.
 
-    Pairs that links already join aren't compared; all others are, exactly.
+    prints: the sets' wide fingerprints; set k is values[starts[k]:starts[k + 1]]. Pairs that links already join aren't
+    compared; all others that the tree finds are, exactly.
     """
     sizes = np.diff(starts)
-    n = len(sizes)
     codes = np.unique(values, return_inverse=True)[1]
-    label = np.arange(n)
+    label = np.arange(len(sizes))
     has = np.zeros(len(values), bool)
     out = []
-    for p in range(n - 1):
-        open_ = label[p + 1 :] != label[p]
-        if not open_.any():
+    for p, close in BKTree(prints).near(radius):
+        close = close[(close > p) & (label[close] != label[p])]  # each pair is found from both sides
+        if not len(close):
             continue
         own = codes[starts[p] : starts[p + 1]]
         has[own] = True
-        both = np.add.reduceat(has[codes[starts[p + 1] :]], starts[p + 1 : -1] - starts[p + 1], dtype=np.int64)
-        has[own] = False
-        for q in (p + 1 + np.flatnonzero(open_ & (both / (sizes[p + 1 :] + sizes[p] - both) >= similarity))).tolist():
-            if label[q] != label[p]:
+        for q in close.tolist():
+            if label[q] == label[p]:
+                continue
+            both = int(np.count_nonzero(has[codes[starts[q] : starts[q + 1]]]))
+            if both / (sizes[p] + sizes[q] - both) >= similarity:
                 label[label == label[q]] = label[p]
                 out.append((p, q))
+        has[own] = False
     return out
 
 
@@ -351,13 +362,13 @@ def similar_components(docs: DataFrame, shingle: int = 5, similarity: float = 0.
     """id, component_id of every row with an id, for near copies of ``similarity`` or more.
 
     Two documents link where the Jaccard similarity of their whole texts' sets of shingles is ``similarity`` or
-    more; equal sets, empty ones too, are one. Candidates meet in buckets by least hashes: a pair at the
-    similarity meets in none with a chance of ``MISS``, a nearer pair still less. In a bucket the sets themselves
-    are compared, so nothing links on an estimate. Rows that repeat an id are in one class; null text counts as
-    empty.
+    more; equal sets, empty ones too, are one. Shards are keyed by least hashes: a pair at the similarity meets in
+    none with a chance of ``MISS``, a nearer pair still less. Documents that share a shard get a wide fingerprint of
+    their set; each shard's BK-tree over these is searched for its members, and pairs within the radius have their sets
+    compared, so nothing links on an estimate. Rows that repeat an id are in one class; null text counts as empty.
     """
     src = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), whole(text_col).alias("text"))
-    bands = Bands(similarity)
+    bands, radius = Bands(similarity), similar_radius(similarity)
 
     def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -393,40 +404,43 @@ def similar_components(docs: DataFrame, shingle: int = 5, similarity: float = 0.
         for b in batches:
             s = [shingle_set(x.as_buffer().to_pybytes(), shingle) for x in b.column("text").cast(pa.binary())]
             fp = [xxhash.xxh3_128_digest(x.astype("<u8").tobytes()) for x in s]
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(fp, pa.binary()), pa.array([x.view(np.int64) for x in s], pa.list_(pa.int64()))], names=["node", "fp", "hashes"])
+            prints = [wide_print(x).astype("<u8").tobytes() for x in s]
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(fp, pa.binary()), pa.array([x.view(np.int64) for x in s], pa.list_(pa.int64())), pa.array(prints, pa.binary())], names=["node", "fp", "hashes", "print"])
 
     wanted = stable(met.select(F.explode("nodes").alias("id")).distinct(), "candidates")
-    held = src.join(wanted, "id", "left_semi").mapInArrow(sets, "node long, fp binary, hashes array<long>").filter(F.size("hashes") > 0)
-    held = stable(held.groupBy("node", "fp").agg(F.first("hashes").alias("hashes")).drop("fp"), "shingle-sets")
+    held = src.join(wanted, "id", "left_semi").mapInArrow(sets, "node long, fp binary, hashes array<long>, print binary").filter(F.size("hashes") > 0)
+    held = stable(held.groupBy("node", "fp").agg(F.first("hashes").alias("hashes"), F.first("print").alias("print")).drop("fp"), "shingle-sets")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by key, unit and role."""
         node: list[int] = []
         parts: list[np.ndarray] = []
-        roles: list[int] = []
+        prints: list[bytes] = []
         last = None
 
         def closed() -> pa.RecordBatch:
             starts = np.concatenate([[0], np.cumsum([len(x) for x in parts])])
-            found = set_links(np.concatenate(parts), starts, similarity)
+            tree = np.frombuffer(b"".join(prints), "<u8").reshape(-1, WIDE)
+            found = set_links(tree, radius, np.concatenate(parts), starts, similarity)
             return pa.RecordBatch.from_arrays([pa.array([node[i] for i, _ in found], pa.int64()), pa.array([node[j] for _, j in found], pa.int64())], names=["a", "b"])
 
         for b in batches:
             col = b.column("hashes")
             flat, at = col.values.to_numpy(), col.offsets.to_numpy()
-            for k, (*key, own) in enumerate(zip(*(b.column(c).to_pylist() for c in ("key", "unit", "a")), strict=True)):
+            for k, (*key, own, wide) in enumerate(zip(*(b.column(c).to_pylist() for c in ("key", "unit", "a", "print")), strict=True)):
                 if key != last:
                     if len(node) > 1:
                         yield closed()
-                    node, parts, last = [], [], key
+                    node, parts, prints, last = [], [], [], key
                 if own not in node[-1:]:  # a tile with itself comes in both roles
                     node.append(own)
                     parts.append(flat[at[k] : at[k + 1]].copy())
+                    prints.append(wide)
         if len(node) > 1:
             yield closed()
 
     def linked(units: DataFrame) -> DataFrame:
-        dealt = units.join(held, units["a"] == held["node"]).select("key", "unit", "role", "a", "hashes")
+        dealt = units.join(held, units["a"] == held["node"]).select("key", "unit", "role", "a", "hashes", "print")
         return dealt.repartition("key", "unit").sortWithinPartitions("key", "unit", "a").mapInArrow(compare, "a long, b long")
 
     links = linked(lists)

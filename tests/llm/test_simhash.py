@@ -186,3 +186,42 @@ def test_very_long_text(spark):
     got = {r.doc_id: (r.fingerprint, r.component_id) for r in S.simhash_components(docs(spark, rows)).collect()}
     assert got[1] == got[2] and got[1][1] == 1 and got[3][1] == 3
     assert {r.doc_id: r.component_id for r in S.similar_components(docs(spark, rows)).collect()} == {1: 1, 2: 1, 3: 3}
+
+
+def test_trees_of_fingerprints_choose_what_is_compared():
+    """Sets that fingerprints hold apart aren't compared, all that are near are, and only exact similarity links."""
+    rng = np.random.default_rng(12)
+    sets = [np.unique(rng.integers(0, 1 << 63, 200, np.uint64))]
+    for cut in (5, 15, 30, 60, 120):
+        sets.append(np.unique(np.concatenate([sets[0][cut:], rng.integers(0, 1 << 63, cut, np.uint64)])))
+    starts = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+    prints = np.stack([S.wide_print(x) for x in sets])
+    radius = S.similar_radius(0.8)
+    links = S.set_links(prints, radius, np.concatenate(sets), starts, 0.8)
+    alike = lambda i, j: len(np.intersect1d(sets[i], sets[j])) / len(np.union1d(sets[i], sets[j]))
+    assert all(alike(i, j) >= 0.8 for i, j in links)
+    joined = {x for link in links for x in link}
+    assert joined == {i for i in range(6) if any(i != j and alike(i, j) >= 0.8 for j in range(6))} == {0, 1, 2}
+    far = np.stack([S.wide_print(x ^ np.uint64(k)) for k, x in enumerate(sets)])  # fingerprints that tell of no nearness
+    assert S.set_links(far, radius, np.concatenate(sets), starts, 0.8) == []
+
+
+def test_radius_holds_pairs_at_the_similarity():
+    """Also of the smallest sets: four shingles of five."""
+    rng = np.random.default_rng(13)
+    for shared, one, two in ((4, 0, 1), (8, 1, 1), (16, 0, 4), (80, 10, 10), (800, 0, 200)):
+        away = []
+        for _ in range(300):
+            h = rng.integers(0, 1 << 63, shared + one + two, np.uint64) * np.uint64(2) + rng.integers(0, 2, shared + one + two, np.uint64)
+            x, y = S.wide_print(h[: shared + one]), S.wide_print(np.concatenate([h[:shared], h[shared + one :]]))
+            away.append(int(np.bitwise_count(x ^ y).sum()))
+        assert max(away) <= S.similar_radius(0.8) < S.WIDE * S.BITS // 2 - 6 * 8
+
+
+def test_near_copies_search_trees(spark, monkeypatch):
+    """The stage's links come through the search of fingerprints: with a radius that admits none, there are none."""
+    words = [f"w{k}" for k in range(400)]
+    rows = [(1, " ".join(words), "en", "a"), (2, " ".join([*words[:200], "other", *words[201:]]), "en", "a")]
+    assert {r.doc_id: r.component_id for r in S.similar_components(docs(spark, rows)).collect()} == {1: 1, 2: 1}
+    monkeypatch.setattr(S, "similar_radius", lambda similarity: -1)
+    assert {r.doc_id: r.component_id for r in S.similar_components(docs(spark, rows)).collect()} == {1: 1, 2: 2}
