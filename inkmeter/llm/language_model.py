@@ -17,7 +17,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -203,88 +203,105 @@ def _exponentials(z: np.ndarray, safe: bool) -> tuple[np.ndarray, np.ndarray | f
 
 def log_probs(w: Weights, starts: np.ndarray, cls_of: np.ndarray, states: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Log-probability of each target: of its class, and of it within the class."""
-    c, rows = cls_of[target], np.arange(len(target))
-    z = states @ w.cls.T
+    c = cls_of[target]
+    order = by_number(c)
+    # by class from here on, so that a class's rows stand together
+    s, y, c, rows = states[order], target[order], c[order], np.arange(len(target))
+    z = s @ w.cls.T
     z += w.cls_b
     said = z[rows, c]
     e, top = _exponentials(z, bounded(w.cls, w.cls_b))
-    out = said - top - np.log(e @ np.ones(e.shape[1], e.dtype))
+    p = said - top - np.log(e @ np.ones(e.shape[1], e.dtype))
     safe = bounded(w.out, w.out_b)
-    order = np.argsort(c, kind="stable")
-    cut = np.searchsorted(c[order], np.arange(len(starts)))
-    for k in np.flatnonzero(np.diff(cut)):
+    cut = np.searchsorted(c, np.arange(len(starts)))
+    for k in np.flatnonzero(np.diff(cut)).tolist():
         a, b = starts[k], starts[k + 1]
         if b - a == 1:
             continue
-        at = order[cut[k] : cut[k + 1]]
-        z = states[at] @ w.out[a:b].T
+        i, j = cut[k], cut[k + 1]
+        z = s[i:j] @ w.out[a:b].T
         z += w.out_b[a:b]
-        said = z[rows[: len(at)], target[at] - a]
+        said = z[rows[: j - i], y[i:j] - a]
         e, top = _exponentials(z, safe)
-        out[at] += said - top - np.log(e @ np.ones(b - a, e.dtype))
+        p[i:j] += said - top - np.log(e @ np.ones(b - a, e.dtype))
+    out = np.empty_like(p)
+    out[order] = p
     return out
 
 
+def by_number(x: np.ndarray) -> np.ndarray:
+    """The stable order of small numbers; 16 bits are sorted by radix."""
+    return np.argsort(x.astype(np.uint16) if x.max(initial=0) < 1 << 16 else x, kind="stable")
+
+
 def gradients(w: Weights, starts: np.ndarray, cls_of: np.ndarray, xs: np.ndarray, ys: np.ndarray, h0: np.ndarray, end: int) -> tuple[Weights, np.ndarray, float]:
     """Of the mean negative log-probability over a window (time by stream), the last state and the mean."""
     steps, b = xs.shape
     d, n = w.hidden, xs.size
     h, seen = h0, []
     states = np.empty((steps, b, d), np.float32)
+    befores = np.empty((steps, b, d), np.float32)
     for t in range(steps):
         fresh = (xs[t] != end)[:, None]  # a new document starts from nothing
-        before = h * fresh
+        before = np.multiply(h, fresh, out=befores[t])
         h, parts = step(w, xs[t], before)
         states[t] = h
-        seen.append((before, fresh, parts))
+        seen.append((fresh, parts))
     g = w.like()
-    s, y = states.reshape(n, d), ys.ravel()
-    c, rows = cls_of[y], np.arange(n)
+    y = ys.ravel()
+    c = cls_of[y]
+    order = by_number(c)
+    # by class from here on, so that a class's rows stand together
+    s, y, c = states.reshape(n, d)[order], y[order], c[order]
+    rows = np.arange(n)
     z = s @ w.cls.T
     z += w.cls_b
     p, _ = _exponentials(z, bounded(w.cls, w.cls_b))
-    p /= (p @ np.ones(p.shape[1], p.dtype))[:, None]
-    loss = -np.log(p[rows, c]).sum()
-    p[rows, c] -= 1
-    p /= n
+    p *= (1 / (n * (p @ np.ones(p.shape[1], p.dtype))))[:, None]
+    loss = -np.log(n * p[rows, c]).sum()
+    p[rows, c] -= 1 / n
     g.cls[:], g.cls_b[:] = p.T @ s, np.ones(n, p.dtype) @ p
     ds = p @ w.cls
-    order = np.argsort(c, kind="stable")
-    cut = np.searchsorted(c[order], np.arange(len(starts)))
+    cut = np.searchsorted(c, np.arange(len(starts)))
     safe = bounded(w.out, w.out_b)
-    for k in np.flatnonzero(np.diff(cut)):
+    for k in np.flatnonzero(np.diff(cut)).tolist():
         a, e = starts[k], starts[k + 1]
         if e - a == 1:
             continue
-        r = order[cut[k] : cut[k + 1]]
-        own = s[r]
-        z = own @ w.out[a:e].T
+        i, j = cut[k], cut[k + 1]
+        own, out = s[i:j], w.out[a:e]
+        z = own @ out.T
         z += w.out_b[a:e]
         q, _ = _exponentials(z, safe)
-        q /= (q @ np.ones(e - a, q.dtype))[:, None]
-        at = (rows[: len(r)], y[r] - a)
-        loss -= np.log(q[at]).sum()
-        q[at] -= 1
-        q /= n
-        g.out[a:e], g.out_b[a:e] = q.T @ own, np.ones(len(r), q.dtype) @ q
-        ds[r] += q @ w.out[a:e]
-    ds = ds.reshape(steps, b, d)
+        q *= (1 / (n * (q @ np.ones(e - a, q.dtype))))[:, None]
+        at = (rows[: j - i], y[i:j] - a)
+        loss -= np.log(n * q[at]).sum()
+        q[at] -= 1 / n
+        g.out[a:e], g.out_b[a:e] = q.T @ own, np.ones(j - i, q.dtype) @ q
+        ds[i:j] += q @ out
+    back = np.empty_like(ds)
+    back[order] = ds
+    ds = back.reshape(steps, b, d)
     dh = np.zeros((b, d), np.float32)
     dx = np.empty((steps, b, 3 * d), np.float32)
+    da = np.empty((steps, b, 3 * d), np.float32)
+    rec = np.ascontiguousarray(w.rec.T)
     for t in range(steps - 1, -1, -1):
-        before, fresh, (keep, reset, new, inner) = seen[t]
-        dh = dh + ds[t]
-        dnew = dh * (1 - keep) * (1 - new * new)
-        dx[t, :, :d] = dh * (before - new) * keep * (1 - keep)
+        fresh, (keep, reset, new, inner) = seen[t]
+        dh += ds[t]
+        gone = 1 - keep
+        dnew = dh * gone
+        dx[t, :, :d] = dnew * (befores[t] - new) * keep
+        dnew *= 1 - new * new
         dx[t, :, d : 2 * d] = dnew * inner * reset * (1 - reset)
         dx[t, :, 2 * d :] = dnew
-        da = dx[t].copy()
-        da[:, 2 * d :] *= reset
-        g.rec += before.T @ da
-        g.rec_b += da.sum(0)
-        dh = (dh * keep + da @ w.rec.T) * fresh
+        da[t, :, : 2 * d] = dx[t, :, : 2 * d]
+        np.multiply(dnew, reset, out=da[t, :, 2 * d :])
+        dh = (dh * keep + da[t] @ rec) * fresh
+    flat = da.reshape(n, 3 * d)
+    g.rec[:], g.rec_b[:] = befores.reshape(n, d).T @ flat, np.ones(n, np.float32) @ flat
     x = xs.ravel()
-    by = np.argsort(x, kind="stable")
+    by = by_number(x)
     first = np.concatenate([[0], np.flatnonzero(np.diff(x[by])) + 1])
     g.gates[x[by[first]]] = np.add.reduceat(dx.reshape(n, 3 * d)[by], first, axis=0)
     return g, h, float(loss / n)
@@ -367,20 +384,67 @@ def _tokens(v: Vocabulary, head: dict[bytes, int], token: np.ndarray, words: lis
     return out, at, rare
 
 
+def tokenised(docs: DataFrame, v: Vocabulary, shared: Broadcast, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """The written table of every document's tokens (16 bits each, its end left out) and of all that its text alone tells.
+
+    Texts are read and cut into words once, for learning and scoring. uid names a row, h deals it to a round and a share.
+    """
+    from pyspark.sql import types as T
+
+    src = docs.select(F.col(id_col).alias("id"), *carry, F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"), whole(text_col).alias("text"))
+    schema = T.StructType([*src.schema.fields[:-1], *T._parse_datatype_string("uid long, n_tokens long, known long, base double, extra double, rare array<binary>, times array<int>, toks binary").fields])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v, head, token = _lookup(shared)
+        log_c = np.log10(v.head_counts + 1)
+        log_mass = np.log10(v.bucket_mass)
+        place = np.full(v.size, -1)
+        place[v.token_of_bucket] = np.arange(BUCKETS)  # bucket of a token
+        uid = TaskContext.get().partitionId() << 40
+        log_end = np.log10(v.docs + 1)
+        for b in batches:
+            toks, base, known, extra, n_tok, rare_words, times = [], [], [], [], [], [], []
+            for text in b.column("text").cast(pa.binary()):
+                t, at, rare = _tokens(v, head, token, words_of(text.as_buffer().to_pybytes()))
+                there = log_c[at[at >= 0]].sum()
+                k = place[t]
+                k = k[k >= 0]
+                # a bucket word's share of its bucket: head words' counts here, rare words' after the join
+                extra.append(log_c[at[at >= len(v.token_of_word)]].sum() - log_mass[k].sum())
+                base.append(there + log_end)
+                known.append(len(at) - len(rare) + (v.docs > 0))
+                n_tok.append(len(at) + 1)
+                c = Counter(rare)
+                rare_words.append(list(c))
+                times.append(list(c.values()))
+                toks.append(t.astype("<u2").tobytes())
+            cols = [pa.array(np.arange(uid, uid + len(toks))), pa.array(n_tok, pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(extra, pa.float64()), pa.array(rare_words, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int32())), pa.array(toks, pa.binary())]
+            uid += len(toks)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *cols], names=schema.names)
+
+    return stable(src.mapInArrow(work, schema), "tokens")
+
+
 def learn_weights(docs: DataFrame, v: Vocabulary, shared: Broadcast, id_col: str = "doc_id", text_col: str = "text") -> Weights:
-    """Train on every document, dealt to rounds and shares by a hash; weights and Adagrad's sums are averaged by tokens."""
-    spark = docs.sparkSession
+    """Train on every document; see ``learn_from``."""
+    return learn_from(tokenised(docs, v, shared, id_col, text_col), v) if v.docs else first_weights(v)
+
+
+def learn_from(table: DataFrame, v: Vocabulary) -> Weights:
+    """Train on every row of ``tokenised``, dealt to rounds and shares by a hash; weights and Adagrad's sums are averaged by tokens."""
+    spark = table.sparkSession
     w = first_weights(v)
     square = first_squares(w)
-    part = docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"), whole(text_col).alias("text"))
+    part = table.select("h", "toks")
     if not v.docs:
         return w
+    shared = spark.sparkContext.broadcast(replace(v, head=v.head[:WORDS], head_counts=v.head_counts[:WORDS]))  # what training reads of it
     rounds, shares = rounds_and_shares(v.docs)
     for r in range(rounds):
         now = spark.sparkContext.broadcast((w.flat, square))
 
         def work(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
-            v, head, token = _lookup(shared)
+            v = shared.value
             flat, square = (x.copy() for x in now.value)
             own = Weights(v.size, len(v.starts) - 1, HIDDEN, flat)
             seen, held, size = 0, [], 0
@@ -391,8 +455,8 @@ def learn_weights(docs: DataFrame, v: Vocabulary, shared: Broadcast, id_col: str
                 return train(own, v, [t for _, t in texts], square=square)
 
             for b in batches:
-                for h, x in zip(b.column("h").to_pylist(), b.column("text").cast(pa.binary()), strict=True):
-                    t = _tokens(v, head, token, words_of(x.as_buffer().to_pybytes()))[0].astype(np.int32)
+                for h, x in zip(b.column("h").to_pylist(), b.column("toks").to_pylist(), strict=True):
+                    t = np.frombuffer(x, "<u2").astype(np.int32)
                     held.append(((h, t.tobytes()), t))
                     size += len(t)
                 if size > HELD_TOKENS:  # however long the texts of a share are, so many tokens are held
@@ -457,58 +521,40 @@ def score_group(w: Weights, v: Vocabulary, cls_of: np.ndarray, docs: list[np.nda
 
 def score_documents(docs: DataFrame, v: Vocabulary, counts: DataFrame, w: Weights, shared: Broadcast, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """id, ``carry``, n_tokens, n_known, train_tokens, base_score, score of every whole document."""
-    spark = docs.sparkSession
-    weights = spark.sparkContext.broadcast((w.flat, w.vocab_size, w.classes, w.hidden))
+    return score_from(tokenised(docs, v, shared, id_col, text_col, carry), v, counts, w, id_col, carry)
+
+
+def score_from(table: DataFrame, v: Vocabulary, counts: DataFrame, w: Weights, id_col: str = "doc_id", carry: tuple[str, ...] = ()) -> DataFrame:
+    """``score_documents`` of a table of tokens."""
+    weights = table.sparkSession.sparkContext.broadcast((w.flat, w.vocab_size, w.classes, w.hidden))
+    small = table.sparkSession.sparkContext.broadcast(replace(v, head=v.head[:WORDS], head_counts=v.head_counts[:WORDS]))
     from pyspark.sql import types as T
 
-    src = docs.select(F.col(id_col).alias("id"), *carry, whole(text_col).alias("text"))
-    schema = T.StructType([*src.schema.fields[:-1], *T._parse_datatype_string("uid long, n_tokens long, known long, base double, model double, rare array<binary>, times array<int>").fields])
+    src = table.select("id", *carry, "uid", "n_tokens", "known", "base", "extra", "toks")
+    schema = T.StructType([*src.schema.fields[:-2], T.StructField("model", T.DoubleType())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, head, token = _lookup(shared)
+        v = small.value
         flat, *shape = weights.value
         own = Weights(*shape, flat=flat)
         cls_of = np.repeat(np.arange(len(v.starts) - 1), np.diff(v.starts))
-        log_c = np.log10(v.head_counts + 1)
-        log_mass = np.log10(v.bucket_mass)
-        place = np.full(v.size, -1)
-        place[v.token_of_bucket] = np.arange(BUCKETS)  # bucket of a token
-        uid = TaskContext.get().partitionId() << 40
-        log_end = np.log10(v.docs + 1)
         for b in batches:
-            toks, base, known, extra, n_tok, rare_words, times = [], [], [], [], [], [], []
-            for text in b.column("text").cast(pa.binary()):
-                t, at, rare = _tokens(v, head, token, words_of(text.as_buffer().to_pybytes()))
-                there = log_c[at[at >= 0]].sum()
-                k = place[t]
-                k = k[k >= 0]
-                # a bucket word's share of its bucket: head words' counts here, rare words' after the join
-                extra.append(log_c[at[at >= len(v.token_of_word)]].sum() - log_mass[k].sum())
-                base.append(there + log_end)
-                known.append(len(at) - len(rare) + (v.docs > 0))
-                n_tok.append(len(at) + 1)
-                c = Counter(rare)
-                rare_words.append(list(c))
-                times.append(list(c.values()))
-                toks.append(t.astype(np.int32))
+            toks = [np.frombuffer(x, "<u2").astype(np.int32) for x in b.column("toks").to_pylist()]
             size = np.array([len(t) for t in toks])
             order = np.argsort(-size, kind="stable")
             model = np.zeros(len(toks))
             for g in range(0, len(order), TOGETHER):
                 rows = order[g : g + TOGETHER]
                 model[rows] = score_group(own, v, cls_of, [toks[k] for k in rows]) / np.log(10)
-            cols = [pa.array(np.arange(uid, uid + len(toks))), pa.array(n_tok, pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(model + extra), pa.array(rare_words, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int32()))]
-            uid += len(toks)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *cols], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(model + b.column("extra").to_numpy())], names=schema.names)
 
     scored = stable(src.mapInArrow(work, schema), "scores")
-    tail = scored.select("uid", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("uid", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
+    tail = table.select("uid", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("uid", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
     found = tail.join(counts, "word").groupBy("uid").agg(F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("rare_log"), F.sum("times").alias("rare_known"))
     total = float(np.log10(v.train_tokens + v.distinct + 1))
     rare = F.coalesce("rare_log", F.lit(0.0))
     return (
-        scored.drop("rare", "times")
-        .join(found, "uid", "left")
+        scored.join(found, "uid", "left")
         .select(
             F.col("id").alias(id_col), *carry, "n_tokens", (F.col("known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"), F.lit(v.train_tokens).cast("long").alias("train_tokens"),
             (F.col("base") + rare - F.col("n_tokens") * total).alias("base_score"), (F.col("model") + rare).alias("score"),
@@ -516,15 +562,18 @@ def score_documents(docs: DataFrame, v: Vocabulary, counts: DataFrame, w: Weight
     )
 
 
-def language_model_scores(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+def language_model_scores(docs: DataFrame, training: DataFrame | str, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """Learn from ``training`` and score ``docs``: one row per row of ``docs``, repeated rows too.
 
+    training: a table, or a condition on the columns ``carry`` of ``docs``; the latter spares a second reading.
     Null text is empty and has one token, its end. base_score: sum over tokens of log10((c + 1) / (N + V + 1));
     score: the model's log10 probability of the words and the end. Without training documents every count is 0.
     """
     import uuid
 
-    v, counts = learn_vocabulary(training, text_col)
+    within = isinstance(training, str)
+    v, counts = learn_vocabulary(docs.filter(training) if within else training, text_col)
     shared = docs.sparkSession.sparkContext.broadcast({"id": uuid.uuid4().hex, "vocabulary": v})
-    w = learn_weights(training, v, shared, id_col, text_col)
-    return score_documents(docs, v, counts, w, shared, id_col, text_col, carry)
+    table = tokenised(docs, v, shared, id_col, text_col, carry)
+    w = learn_from(table.filter(training), v) if within else learn_weights(training, v, shared, id_col, text_col)
+    return score_from(table, v, counts, w, id_col, carry)

@@ -39,7 +39,7 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", held_out("doc_id", 7, 2).alias("held_out"), "text")
-    return language_model.language_model_scores(docs, docs.filter("NOT held_out"), carry=("held_out",))
+    return language_model.language_model_scores(docs, "NOT held_out", carry=("held_out",))
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -192,3 +192,27 @@ def test_step_sizes_by_rows():
     back = w.like(LM.from_rows(w, LM.by_rows(w, square)))
     mine = w.like(square)
     assert np.allclose(back.gates, mine.gates.mean(1, keepdims=True)) and np.allclose(back.rec_b, mine.rec_b) and np.allclose(back.out_b, mine.out_b)
+
+
+def test_texts_are_cut_into_words_once_for_learning_and_scoring(spark):
+    """A condition on the scored rows gives what a table of training rows gives; learning needs no text."""
+    rows = [(n, " ".join(f"w{(n * k) % 23}" for k in range(n % 40)), "en", "a") for n in range(300)] + [(None, None, "en", "a"), (7, "w1 w2", "en", "a")]
+    d = docs(spark, rows).selectExpr("*", "coalesce(doc_id % 7 = 2, false) held_out")
+    one = LM.language_model_scores(d, "NOT held_out", carry=("held_out",)).collect()
+    two = LM.language_model_scores(d, d.filter("NOT held_out"), carry=("held_out",)).collect()
+    key = lambda r: (str(r.doc_id), r.n_tokens)
+    assert len(one) == len(two) == len(rows)
+    for a, b in zip(sorted(one, key=key), sorted(two, key=key)):
+        assert a[:5] == b[:5] and abs(a.base_score - b.base_score) < 1e-9 and abs(a.score - b.score) < 1e-3
+    v, _ = LM.learn_vocabulary(d)
+    shared = spark.sparkContext.broadcast({"id": "once", "vocabulary": v})
+    table = LM.tokenised(d, v, shared).select("h", "toks")
+    assert np.abs(LM.learn_from(table, v).flat - LM.learn_weights(d, v, shared).flat).max() < 1e-3
+
+
+def test_numbers_are_ordered_stably():
+    rng = np.random.default_rng(14)
+    for top in (3, 2113, 1 << 16, 1 << 20):
+        x = rng.integers(0, top, 5000)
+        assert (LM.by_number(x) == np.argsort(x, kind="stable")).all()
+    assert len(LM.by_number(np.zeros(0, np.int64))) == 0
