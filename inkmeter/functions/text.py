@@ -85,8 +85,20 @@ def _lead(body: str) -> tuple[str, str]:
     return f"(?=[{''.join(sorted(set().union(*firsts)))}])(?<!\\w)", "(?:" + "|".join(x[2:] for x in parts) + ")"
 
 
+_CAPITAL, _TITLE_WORD = "[A-Z][a-z]+", "(?:[A-Z][a-z]+|and|or|of|the|in|for|to|a|an)"
+#: Patterns that repeat a group of alternatives, and forms with the same matches whose loops give nothing back: Java
+#: recurses for every round that it may have to undo, so a run of some thousand title words overflowed the stack.
+#: A title is its first two words, then stretches that each end in a capitalised word before a line's end.
+_FLAT = {
+    rf"(?m)^({_CAPITAL}(?:\s+{_TITLE_WORD})+\s+{_CAPITAL})\s*$": (
+        rf"(?m)^({_CAPITAL}\s++{_TITLE_WORD}(?!\S)(?:(?:\s++(?!{_CAPITAL}\s*$){_TITLE_WORD}(?!\S))*+\s++{_CAPITAL}(?=\s*$))++)\s*$"
+    ),
+}
+
+
 def java(pattern: str) -> str:
     """A neutral pattern in Java's dialect: ASCII boundaries, Unicode white space, strict end of text."""
+    pattern = _FLAT.get(pattern, pattern)
     m = re.match(r"\(\?([a-z]+)\)", pattern)
     flags = m.group(1) if m else ""
     lead, body = _lead(pattern[m.end() :] if m else pattern)

@@ -63,3 +63,28 @@ def test_citation_markup_needs_no_other_literal(spark, text):
     p = next(p for p in V.PATTERNS if p.id == "ai-citation-markup")
     row = spark.createDataFrame([(text,)], "t string").select(F.regexp_count("t", X.rx(p.regex)).alias("n"), L.pattern_counts(F.col("t"), F.lower("t"), [(p.id, p.regex, L.GATES[p.id])]).alias("found")).head()
     assert sum(f["count"] for f in row["found"]) == row["n"]
+
+
+def test_long_runs_of_title_words(spark):
+    """Java's loops that can be undone recurse: a run of this many words overflowed the stack and took the process with it."""
+    from pyspark.sql import functions as F
+
+    texts = ["Nets " * 20_000, "Nets and " * 10_000 + "\nTar", "The of\n" * 5_000 + "Mending The Old Nets"]
+    title = next(p.regex for p in V.PATTERNS if p.id == "title-case-header")
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    assert [r.n for r in rows.select("k", F.regexp_count("t", X.rx(title)).alias("n")).orderBy("k").collect()] == [1, 1, 1]
+
+
+def test_flat_patterns_match_the_same():
+    import random
+    import re
+
+    deal = random.Random(7)
+    for pattern, flat in X._FLAT.items():
+        plain, same, n = re.compile(pattern), re.compile(flat), 0
+        for _ in range(20_000):
+            text = "".join(deal.choice(["Foo", "Ab", "and", "the", "an", "a", "FooBar", "foo", "X", "of.", "Foo-"]) + deal.choice([" ", " ", "\n", "\n", " \n ", "\n\n", "\t", ""]) for _ in range(deal.randint(1, 12)))
+            found = [m.span() for m in plain.finditer(text)]
+            assert [m.span() for m in same.finditer(text)] == found
+            n += len(found)
+        assert n > 100
