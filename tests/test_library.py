@@ -36,6 +36,13 @@ def test_empty_and_null_texts(spark):
     assert A.audit(empty, L.Lexicon.of(L.builtin_entries()))[0].count() == 0 and S.top_words(empty).count() == 0 and S.top_bigrams(empty).count() == 0
 
 
+def test_audit_of_a_long_run_of_title_words(spark):
+    d = spark.createDataFrame([(1, "Nets " * 20_000, None)], DOCS)
+    results, found = A.audit(d, L.Lexicon.of(L.builtin_entries()))
+    assert results.head().word_count == 20_000
+    assert [(r.term, r["count"]) for r in found.filter("ord < 100000").collect()] == [("Title Case In Every Section Heading", 1)]
+
+
 def test_neutral_registers_equal_none(spark):
     text = "We leverage robust, robust tools. " * 12
     d = spark.createDataFrame([(k, text, r) for k, r in enumerate([None, "general", "email", "social", "personal"])], DOCS)
