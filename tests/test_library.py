@@ -14,6 +14,7 @@ from inkmeter.operators import audit as A
 from inkmeter.operators import lexicon as L
 from inkmeter.operators import rhythm as R
 from inkmeter.operators import stats as S
+from inkmeter.operators import voices as VO
 from inkmeter.plans import cli as CLI
 from inkmeter.plans import report
 from inkmeter.sources import files as FI
@@ -248,3 +249,40 @@ def test_json_report_has_every_lexical_finding(spark, tmp_path):
     text = report.run(spark, [f"{tmp_path}/*.md"], lexicon)[0]
     assert f"…and {len(lexical) - V.LEXICAL_CAP} more (use --json for the full list)" in text
     assert sum(f"  {f['term']} " in text for f in lexical) <= V.LEXICAL_CAP
+
+
+def _plan(d):
+    return d._jdf.queryExecution().executedPlan().toString()
+
+
+def test_words_are_counted_within_the_row(spark):
+    d = spark.createDataFrame([(1, "Tar holds. Red rope and red rope, said Tar; tar holds red rope"), (2, None)], "doc_id long, text string")
+    for count in (S.top_words, S.top_bigrams, S.capitalization_rates):
+        assert "Exchange" not in _plan(count(d)), count.__name__
+    assert {r.token: r["count"] for r in S.top_words(d).collect()} == {"tar": 3, "red": 3, "rope": 3, "holds": 2}
+    caps = {r.word: (r.total, r.capitalized) for r in S.capitalization_rates(d).collect()}
+    assert caps["tar"] == (2, 1) and caps["red"] == (2, 0)
+
+
+def test_rows_that_share_an_id_are_counted_together(spark):
+    d = spark.createDataFrame([(1, "red rope"), (1, "Red rope. The Tar"), (2, "red rope")], "doc_id long, text string")
+    assert {(r.doc_id, r.token, r["count"]) for r in S.top_words(d).collect()} == {(1, "red", 2), (1, "rope", 2)}
+    assert [(r.doc_id, r.token, r["count"]) for r in S.top_bigrams(d).collect()] == [(1, "red rope", 2)]
+    assert {(r.doc_id, r.word, r.total, r.capitalized) for r in S.capitalization_rates(d).collect()} == {(1, "rope", 2, 0), (1, "tar", 1, 1), (2, "rope", 1, 0)}
+
+
+def test_latest_samples_are_chosen_without_their_texts(spark):
+    rows = [(i % 3, i // 3, f"red rope red rope {i}") for i in range(90)] + [(None, 1, "a b"), (None, None, "c d"), (4, None, "e f"), (4, 2, "g h")]
+    d = spark.createDataFrame(rows, "voice long, doc_id long, text string")
+    got = [(r.voice, r.doc_id, r.nth) for r in VO.fingerprints(d, cap=4).collect()]
+    want = [(v, 29 - k, k + 1) for v in range(3) for k in range(4)] + [(None, 1, 1), (None, None, 2), (4, 2, 1), (4, None, 2)]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_strengths_keep_letters_alone(spark):
+    text = "We saw Br\u00fcnn, \u0416Bergen \u4e2d and caf\u00e9-Statio\u0301n 12\tnot\u200bion. The na\u0103tion of \u201cAnna\u201d"
+    d = spark.createDataFrame([(1, text, None), (2, "The nation saw Anna.", None)], DOCS)
+    plain = X.re.sub(r"[^A-Za-z'\n -]+", "", text)
+    table = str.maketrans("", "", R.DROPPED)
+    assert X.re.sub(r"[^A-Za-z'\n -]+", "", text.translate(table)) == plain
+    assert {r.doc_id: r.strong_signals for r in R.strengths(d).collect()}.keys() == {1, 2}
