@@ -86,6 +86,10 @@ def rhythm_findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return flags.select(id_col, F.explode(F.array_compact(F.array(*rows))).alias("f")).select(id_col, "f.*")
 
 
+#: Characters that are no part of a word or a line, as far as a table of them is worth it.
+DROPPED = "".join(c for c in map(chr, [*range(128), *range(0xA0, 0x180), *range(0x2010, 0x2027), 0x20AC]) if c not in "'\n -" and not (c.isascii() and c.isalpha()))
+
+
 def strengths(docs: DataFrame, text_col: str = "text", paragraph: str = r"\n\s*\n", keep_metrics: bool = False) -> DataFrame:
     """``docs`` with specificity, concrete_abstract, burstiness, strong_signals and notes, and the metrics if asked for.
 
@@ -95,7 +99,9 @@ def strengths(docs: DataFrame, text_col: str = "text", paragraph: str = r"\n\s*\
     d = metrics(docs, text_col, paragraph)
     t = F.coalesce(F.col(text_col), F.lit(""))
     lines = F.concat(F.array_join(F.flatten("paragraph_sentences"), "\n"), F.lit("\n"))
-    d = d.withColumn("_c", F.regexp_replace(lines, r"[^A-Za-z'\n -]+", ""))
+    # marks, digits and common letters beyond ASCII go by a table; only texts with others need the pattern
+    d = d.withColumn("_c", F.translate(lines, DROPPED, ""))
+    d = d.withColumn("_c", F.when(F.octet_length("_c") == F.length("_c"), F.col("_c")).otherwise(F.regexp_replace("_c", r"[^A-Za-z'\n -]+", "")))
     names = F.regexp_count(F.col("_c"), F.lit(" [A-Z]"))
     ends = "(?:" + "|".join(V.ABSTRACT_SUFFIXES) + ")"
     abstract = F.regexp_count(F.lower("_c"), F.lit(rf"[ \n](?<=[a-z'-]{{3}}{ends}[ \n])"))
