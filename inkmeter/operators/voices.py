@@ -98,9 +98,21 @@ def train_voices(samples: DataFrame, voice_col: str = "voice", id_col: str = "do
     return out
 
 
+#: Voices whose cuts may be broadcast; beyond it the join is left to the planner.
+BROADCAST_VOICES = 200_000
+
+
 def fingerprints(samples: DataFrame, voice_col: str = "voice", id_col: str = "doc_id", text_col: str = "text", cap: int = V.HISTORY_CAP) -> DataFrame:
     """voice, id, opener, top_bigrams, nth of each voice's latest ``cap`` samples, nth 1 the latest by id."""
-    last = samples.withColumn("nth", F.row_number().over(W.partitionBy(voice_col).orderBy(F.col(id_col).desc()))).filter(F.col("nth") <= cap)
+    latest = F.row_number().over(W.partitionBy(voice_col).orderBy(F.col(id_col).desc()))
+    # each voice's oldest id to keep is found without texts; null: all of its samples can be among the latest
+    kept = samples.select(F.col(voice_col).alias("_voice"), F.col(id_col).alias("_id"))
+    kept = kept.withColumn("nth", F.row_number().over(W.partitionBy("_voice").orderBy(F.col("_id").desc()))).filter(F.col("nth") <= cap)
+    cuts = kept.groupBy("_voice").agg(F.when(F.count("_id") >= cap, F.min("_id")).alias("_cut"))
+    if samples.select(voice_col).distinct().limit(BROADCAST_VOICES + 1).count() <= BROADCAST_VOICES:
+        cuts = F.broadcast(cuts)
+    recent = samples.join(cuts, F.col(voice_col).eqNullSafe(F.col("_voice")) & (F.col("_cut").isNull() | (F.col(id_col) >= F.col("_cut")))).select(*samples.columns)
+    last = recent.withColumn("nth", latest).filter(F.col("nth") <= cap)
     pairs = S.as_list(S.top_bigrams(last, id_col, text_col), id_col, "top_bigrams")
     d = last.select(voice_col, id_col, "nth", X.opener(F.coalesce(F.col(text_col), F.lit(""))).alias("opener")).join(pairs, id_col, "left")
     return d.withColumn("top_bigrams", F.coalesce("top_bigrams", F.array().cast("array<string>")))
